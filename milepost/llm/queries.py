@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
 
-from . import bpe, decontaminate, line_dedup, url_filter, warc
+from . import bpe, decontaminate, language_id, line_dedup, toxicity, url_filter, warc
+from .shared import bound_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_fold(folds: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    bound_batches(spark)
+    model = toxicity.fitted(toxicity.sampled(docs, labels.where(in_fold(5) != 0)))
+    return toxicity.scored(docs, model).select("doc_id", F.coalesce(in_fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 BPE_RANKS, BPE_PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
@@ -42,10 +54,16 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.records(warc.read_archives(archives, payload=False)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fitted(docs.where(in_fold(4) != 2).select("doc_id", "text", "lang"))
+    return language_id.predicted(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(in_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.without_repeats(docs, count=True)
     return kept.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_decontaminate, op5_url_filter, op6_warc, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op4_decontaminate, op5_url_filter, op6_warc, op7_language_id, op9_line_dedup)}
