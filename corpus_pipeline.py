@@ -7,26 +7,48 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from milepost.llm import decontaminate, line_dedup
+from milepost.llm import bpe, decontaminate, language_id, line_dedup, near_duplicates
 from milepost.llm.shared import materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (`und`: no text or no letter) go."""
+    names = ("__mp_lang", "__mp_score")
+    kept = language_id.predicted(docs, language_id.fitted(docs), names=names)
+    return kept.where(F.col(names[0]) != "und").select(*docs.columns)
+
+
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines leave the texts."""
     return line_dedup.without_repeats(docs)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return near_duplicates.one_of_each(docs)
+
+
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES: list[tuple[str, Stage]] = [("line_dedup", line_dedup_stage), ("decontamination", decontaminate_stage)]
-#: Not expressible in SQL.
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text that is left, and how many."""
+    ids = bpe.encoded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_stage), ("line_dedup", line_dedup_stage), ("near_duplicates", near_duplicate_stage), ("decontamination", decontaminate_stage), ("byte_bpe", bpe_stage),
+]
+#: Language prediction, Jaccard groups and token ids are not expressible in SQL.
 ORACLE_SQL = None
 
 

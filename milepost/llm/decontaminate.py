@@ -133,6 +133,6 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", it
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without those that hold a benchmark window; all columns stay as they are."""
-    bad = benchmark_hits(docs, items).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).distinct()
+    bad = benchmark_hits(docs, items).where("n_hit > 0").select(F.col("doc_id").alias("__mp_id"), F.col("tk").alias("__mp_tk")).distinct()
     bad = materialise(bad, "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (text_key() == bad["_tk"]), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__mp_id"]) & (text_key() == bad["__mp_tk"]), "left_anti")

@@ -145,15 +145,15 @@ def fitted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
     return Model(families, within)
 
 
-def _predicted(batches: Iterator[pa.RecordBatch], text: str, model: Model) -> Iterator[pa.RecordBatch]:
+def _predicted(batches: Iterator[pa.RecordBatch], text: str, model: Model, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lang, score = model.predict(no_nulls(batch.column(text)).to_pylist())
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, *names])
 
 
-def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
+def predicted(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the predicted language and its score, in columns of these names."""
     bound_batches(docs.sparkSession)
-    new = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
-    schema = StructType([*(f for f in docs.schema.fields if f.name not in ("lang_pred", "score")), *new])
-    return docs.drop("lang_pred", "score").mapInArrow(lambda b: _predicted(b, text, model), schema)
+    new = [StructField(names[0], StringType()), StructField(names[1], DoubleType())]
+    schema = StructType([*(f for f in docs.schema.fields if f.name not in names), *new])
+    return docs.drop(*names).mapInArrow(lambda b: _predicted(b, text, model, names), schema)

@@ -137,7 +137,7 @@ def _kept(batches: Iterator[pa.RecordBatch], text: str, schema: pa.Schema, count
 
     for batch in batches:
         out, lines, dropped = [], [], []
-        for t, drop in zip(batch.column(text).to_pylist(), batch.column("_drop").to_pylist()):
+        for t, drop in zip(batch.column(text).to_pylist(), batch.column("__mp_drop").to_pylist()):
             n = lost = 0
             if drop or count:
                 parts = (t or "").encode("utf-8", "surrogatepass").split(b"\n")
@@ -150,19 +150,19 @@ def _kept(batches: Iterator[pa.RecordBatch], text: str, schema: pa.Schema, count
             out.append(t)
             lines.append(n)
             dropped.append(lost)
-        cols = [pa.array(out, f.type) if f.name == text else batch.column(f.name) for f in schema if f.name not in ("_lines", "_dropped")]
+        cols = [pa.array(out, f.type) if f.name == text else batch.column(f.name) for f in schema if f.name not in ("__mp_lines", "__mp_dropped")]
         yield pa.RecordBatch.from_arrays([*cols, *([pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())] if count else [])], names=[f.name for f in schema])
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, in_docs: int = DOCS, count: bool = False) -> DataFrame:
-    """docs with the repeated lines gone from text; with count also _lines (before) and _dropped."""
+    """docs with the repeated lines gone from text; with count also __mp_lines (before) and __mp_dropped."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     lost = repeated_lines(docs, doc_id, text, least, in_docs)
-    keyed = docs.withColumn("_tk", text_key(text))
-    all_of = keyed.join(lost, keyed[doc_id].eqNullSafe(lost["id"]) & (keyed["_tk"] == lost["tk"]), "left").select(*[keyed[c] for c in docs.columns], F.col("drop").alias("_drop"))
+    keyed = docs.withColumn("__mp_tk", text_key(text))
+    all_of = keyed.join(lost, keyed[doc_id].eqNullSafe(lost["id"]) & (keyed["__mp_tk"] == lost["tk"]), "left").select(*[keyed[c] for c in docs.columns], F.col("drop").alias("__mp_drop"))
     schema = docs.schema
     if count:
-        schema = StructType([*schema.fields, StructField("_lines", LongType()), StructField("_dropped", LongType())])
+        schema = StructType([*schema.fields, StructField("__mp_lines", LongType()), StructField("__mp_dropped", LongType())])
     arrow = to_arrow_schema(schema)
     return all_of.mapInArrow(lambda b: _kept(b, text, arrow, count), schema)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from . import bpe, decontaminate, language_id, line_dedup, top_k, toxicity, url_filter, warc
+from . import bpe, decontaminate, language_id, line_dedup, near_duplicates, top_k, toxicity, url_filter, warc
 from .shared import bound_batches
 
 
@@ -67,7 +67,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.without_repeats(docs, count=True)
-    return kept.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return kept.select("doc_id", F.col("__mp_lines").alias("n_lines"), F.col("__mp_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_top_k, op4_decontaminate, op5_url_filter, op6_warc, op7_language_id, op9_line_dedup)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("tk", "root")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_top_k, op4_decontaminate, op5_url_filter, op6_warc, op7_language_id, op9_line_dedup, op10_ngram_jaccard)}
