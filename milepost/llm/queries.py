@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from . import bpe, decontaminate, language_id, line_dedup, near_duplicates, top_k, toxicity, url_filter, warc
+from . import bpe, decontaminate, language_id, line_dedup, near_duplicates, suffix_dedup, top_k, toxicity, url_filter, warc
 from .shared import bound_batches
 
 
@@ -64,6 +64,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(in_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.without_repeats(docs, count=True)
@@ -74,4 +78,4 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("tk", "root")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_top_k, op4_decontaminate, op5_url_filter, op6_warc, op7_language_id, op9_line_dedup, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_top_k, op4_decontaminate, op5_url_filter, op6_warc, op7_language_id, op8_suffix_dedup, op9_line_dedup, op10_ngram_jaccard)}
