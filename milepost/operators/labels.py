@@ -119,8 +119,8 @@ def variant(panel: DataFrame, horizon: int, endpoint: bool) -> DataFrame:
     """Stagnation, non-improvement and escalation labels over a horizon (I15); endpoint: compare with T + horizon only."""
     spent, done, cost = "cumulative_expenditure", "physical_progress", "revised_cost"
     frame = BY.rangeBetween(horizon, horizon) if endpoint else BY.rangeBetween(1, horizon)
-    p = panel.withColumn("ahead", F.count("mi").over(BY.rangeBetween(1, horizon))).where(F.col("mi") + horizon <= segment_end())
-    p = p.select("regime", "ahead", (F.max(spent).over(frame) == F.col(spent)).alias("spent_flat"), (F.max(done).over(frame) <= F.col(done)).alias("no_progress"), (F.max(cost).over(frame) > F.col(cost)).alias("cost_up")).where(F.col("ahead") == horizon)
+    p = panel.withColumn("ahead", F.count("mi").over(BY.rangeBetween(1, horizon)))
+    p = p.select("regime", "ahead", (F.col("mi") + horizon <= segment_end()).alias("inside"), (F.max(spent).over(frame) == F.col(spent)).alias("spent_flat"), (F.max(done).over(frame) <= F.col(done)).alias("no_progress"), (F.max(cost).over(frame) > F.col(cost)).alias("cost_up")).where((F.col("ahead") == horizon) & F.col("inside"))
     one = lambda c: [F.count(c).alias(f"{c}_known"), count_if(F.col(c)).alias(c)]
     return p.groupBy("regime").agg(F.lit(horizon).alias("horizon"), F.lit(endpoint).alias("endpoint"), *one("spent_flat"), *one("no_progress"), *one("cost_up"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("labels",)
+FAMILIES = ("portfolio", "risk", "labels")
 
 
 def entries() -> list[tuple]:
