@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("portfolio", "risk", "labels")
+FAMILIES = ("portfolio", "risk", "labels", "validation")
 
 
 def entries() -> list[tuple]:
