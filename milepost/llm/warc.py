@@ -43,13 +43,13 @@ def bare_digest(h) -> str:
     return base64.b32encode(h.digest()).decode()
 
 
-def chunk_rows(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+def chunk_rows(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", chunk: int = CHUNK) -> DataFrame:
     """id, key, row, url, chunk, last, data: the payloads as chunk rows, a row's chunks next to each other."""
     raw = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    n = F.greatest(F.lit(1), F.ceil(F.octet_length("raw") / CHUNK)).cast("int")
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length("raw") / chunk)).cast("int")
     rows = pages.select(F.col(page_id).alias("id"), text_key(payload).alias("key"), F.monotonically_increasing_id().alias("row"), F.col(url).alias("url"), raw.alias("raw"))
     rows = rows.withColumn("n", n).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk"))
-    return rows.select("id", "key", "row", "url", "chunk", (F.col("chunk") == F.col("n") - 1).alias("last"), F.expr(f"substring(raw, chunk * {CHUNK} + 1, {CHUNK})").alias("data"))
+    return rows.select("id", "key", "row", "url", "chunk", (F.col("chunk") == F.col("n") - 1).alias("last"), F.expr(f"substring(raw, chunk * {chunk} + 1, {chunk})").alias("data"))
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,12 +118,12 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{n}" for n, _ in listed], pa.string()), pa.array([r for _, r in listed], pa.int64())], names=["archive", "records"])
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0, page_id: str = "page_id", url: str = "url", payload: str = "html", chunk: int = CHUNK) -> DataFrame:
     """Write the archives; returns archive, records for each of them."""
     spark = pages.sparkSession
     bound_batches(spark)
     folder = folder or scratch_path(spark, "archives")
-    chunks = chunk_rows(pages, page_id, url, payload)
+    chunks = chunk_rows(pages, page_id, url, payload, chunk)
     what = decided(chunks, least)
     met = chunks.join(what, chunks["id"].eqNullSafe(what["id"]) & (chunks["key"] == what["key"]))
     rows = met.select(chunks["id"], chunks["key"], "row", "url", "chunk", "last", "bytes", "digest", "keeper", F.when(F.col("keeper").isNull(), F.col("data")).otherwise(F.lit(b"")).alias("data"))
@@ -132,7 +132,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0,
     return materialise(done, "warc-list")
 
 
-def _chunks(archive: str) -> Iterator[dict]:
+def _chunks(archive: str, most: int) -> Iterator[dict]:
     fs, path = pyarrow.fs.FileSystem.from_uri(archive) if "://" in archive or archive.startswith("file:") else (pyarrow.fs.LocalFileSystem(), archive)
     with fs.open_input_stream(path, compression=None, buffer_size=1 << 20) as raw, gzip.GzipFile(fileobj=raw) as f:
         for number in itertools.count():
@@ -155,7 +155,7 @@ def _chunks(archive: str) -> Iterator[dict]:
                     break
             h, size = hashlib.sha1(), 0
             for chunk in itertools.count():
-                data = f.read(min(CHUNK, left))
+                data = f.read(min(most, left))
                 left -= len(data)
                 h.update(data)
                 size += len(data)
@@ -167,7 +167,7 @@ def _chunks(archive: str) -> Iterator[dict]:
                 raise ValueError(f"record {number} of {archive} is cut short")
 
 
-def _read(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], payload: bool, chunk: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("archive", pa.string()), ("record", pa.int64()), ("chunk", pa.int64()), ("last", pa.bool_()), ("headers", pa.map_(pa.string(), pa.string())), ("stated_bytes", pa.int64()), ("bytes_so_far", pa.int64()), ("digest_so_far", pa.string()), ("data", pa.binary())])
 
     def batch(rows: list[dict]) -> pa.RecordBatch:
@@ -177,7 +177,7 @@ def _read(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.Recor
         for archive in x.column("archive").to_pylist():
             rows: list[dict] = []
             held = 0
-            for row in _chunks(archive):
+            for row in _chunks(archive, chunk):
                 rows.append(row)
                 held += len(row["data"]) + 500
                 if held > 4 << 20:
@@ -187,10 +187,10 @@ def _read(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.Recor
                 yield batch(rows)
 
 
-def read_archives(archives: DataFrame, payload: bool = True) -> DataFrame:
+def read_archives(archives: DataFrame, payload: bool = True, chunk: int = CHUNK) -> DataFrame:
     """The chunk rows of the archives, each archive read by one task; payload=False leaves data null."""
     n = archives.count()
-    return archives.select("archive").repartition(max(1, min(n, 10_000)), "archive").mapInArrow(lambda b: _read(b, payload), READ)
+    return archives.select("archive").repartition(max(1, min(n, 10_000)), "archive").mapInArrow(lambda b: _read(b, payload, chunk), READ)
 
 
 def records(chunks: DataFrame) -> DataFrame:

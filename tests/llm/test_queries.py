@@ -1,0 +1,33 @@
+"""Queries with an oracle against DuckDB, and the pipeline, at the smallest size."""
+
+import duckdb
+import pytest
+
+from milepost.llm.oracles import ORACLES
+from milepost.llm.queries import QUERIES
+
+DIR = "/root/testdata/sf0.001"
+TABLES = "documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_oracle(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    want = con.execute(ORACLES[name]).df()
+    got = QUERIES[name](spark, DIR).toPandas()
+    cols = sorted(want.columns)
+    assert sorted(got.columns) == cols
+    rows = lambda df: sorted(tuple(map(str, r)) for r in df[cols].itertuples(index=False))
+    assert rows(got) == rows(want)
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    rows = corpus_pipeline.run(spark, DIR)
+    ids = [r["doc_id"] for r in rows.select("doc_id").collect()]
+    assert len(ids) == len(set(ids)) and 0.5 * docs.count() < len(ids) < docs.count()
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_duplicates", "decontamination", "byte_bpe"]
