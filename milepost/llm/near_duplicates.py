@@ -30,6 +30,8 @@ from .shared import Words, bound_batches, materialise, mixed, slices, text_key
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, PER_BAND = 30, 5
 HASHES, STEP, TOLERANCE = BANDS * PER_BAND, 15, 1e-6
+#: Bits of the map of texts to compare.
+MAP_BITS = 1 << 25
 #: Classes in a block: at least, and at most.
 BLOCK, MOST = 96, 1_024
 
@@ -165,6 +167,24 @@ def _met(key: tuple, table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"c": pa.array([names[x] for x in on], pa.binary()), "to": pa.array([head[label[x]] for x in on], pa.binary()), "classes": pa.array(classes[on]), "docs": pa.array(docs[on])})
 
 
+def key_map(keys: DataFrame) -> np.ndarray:
+    """A bit map of the texts (tk) in keys, MAP_BITS / 8 bytes whatever the input. It keeps most other texts out
+    of a shuffle; a fuller map only lets more of them through."""
+    bit = F.pmod("tk", F.lit(MAP_BITS))
+    words = keys.select(F.floor(bit / 64).alias("w"), (bit % 64).cast("int").alias("i")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, i))").alias("v"))
+    out = np.zeros(MAP_BITS // 64, np.uint64)
+    for r in words.toLocalIterator():
+        out[r["w"]] = np.uint64(r["v"] & (2**64 - 1))
+    return out
+
+
+def _mapped(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bit = np.mod(batch.column("tk").to_numpy(), MAP_BITS).astype(np.uint64)
+        on = (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+        yield batch.filter(pa.array(on))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of docs: root (names its group), doc_id, tk (of its text), class_id (smallest doc_id linked to it, over any
     number of links), copy_id (smallest doc_id with equal shingles), n_links (other rows at threshold or more)."""
@@ -176,18 +196,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tk"))
     classes = rows.where("c is not null").groupBy("c").agg(first.alias("rep"), F.count(F.lit(1)).alias("docs"))
     classes = materialise(classes.select("c", "rep.id", "rep.tk", "docs"), "shingle-classes")
-    sigs = rows.where("c is not null").select("c", "sig").groupBy("c").agg(F.first("sig").alias("sig"))
+    # 64 bits of a class's name are enough here: should two classes share them, they are only compared more often
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * (4 * PER_BAND) + 1, F.lit(4 * PER_BAND)))))
-    bands = materialise(sigs.select("c", band.alias("band")), "bands")
-    heads = materialise(bands.groupBy("band").agg(F.min("c").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "band-heads")
-    links = bands.join(heads, "band").where("c <> head").select(F.col("c").alias("a"), F.col("head").alias("b"))
+    bands = rows.where("c is not null").select(F.xxhash64("c").alias("k"), band.alias("band"))
+    heads = bands.groupBy("band").agg(F.min("k").alias("head"), F.max("k").alias("last")).where("head <> last").select("band", "head")
+    heads = materialise(heads, "band-heads")
+    links = bands.join(heads, "band").where("k <> head").select(F.col("k").alias("a"), F.col("head").alias("b"))
     groups = components(links)
-    members = materialise(groups.select(F.col("a").alias("c"), F.col("b").alias("root")).unionByName(groups.select(F.col("b").alias("c"), F.col("b").alias("root")).distinct()), "suspects")
+    nodes = groups.select(F.col("a").alias("k"), F.col("b").alias("root")).unionByName(groups.select(F.col("b").alias("k"), F.col("b").alias("root")).distinct())
+    members = materialise(classes.withColumn("k", F.xxhash64("c")).join(nodes, "k").drop("k"), "suspects")
     size = materialise(members.groupBy("root").agg(F.count(F.lit(1)).alias("m")), "suspect-sizes")
     per = F.least(F.greatest(F.lit(BLOCK), F.ceil(F.col("m") / 16)), F.lit(MOST))
     placed = members.join(size, "root").withColumn("blocks", F.ceil(F.col("m") / per).cast("int")).withColumn("block", F.pmod(F.xxhash64("c", F.lit(1)), F.col("blocks")).cast("int"))
-    placed = materialise(placed.join(classes, "c").select("c", "root", "blocks", "block", "id", "tk", "docs"), "suspects-placed")
-    texts = placed.alias("p").join(mine.alias("m"), F.col("p.id").eqNullSafe(F.col("m.id")) & (F.col("p.tk") == F.col("m.tk"))).select("c", "root", "blocks", "block", "docs", "text")
+    placed = materialise(placed.select("c", "root", "blocks", "block", "id", "tk", "docs"), "suspects-placed")
+    bits = key_map(placed)
+    some = mine.mapInArrow(lambda b: _mapped(b, bits), f"id {kind}, tk bigint, text string")
+    texts = placed.alias("p").join(some.alias("m"), F.col("p.id").eqNullSafe(F.col("m.id")) & (F.col("p.tk") == F.col("m.tk"))).select("c", "root", "blocks", "block", "docs", "text")
     units = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "c", "docs", "block", "text")
     found = units.groupBy("root", "i", "j").applyInArrow(lambda k, t: _met(k, _distinct(t), threshold), "c binary, to binary, classes bigint, docs bigint")
     found = materialise(found, "block-links")
