@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # Texts that mean that a value is missing; month names.
 MISSING = ("", "-", "/", "(-)", "na", "n/a", "n.a.", "nil", "none")
@@ -111,13 +112,13 @@ def code_style(c: Column) -> Column:
     return F.when(c.rlike("^[0-9]{6}$"), "SIX").when(c.rlike("^N[0-9]{8}$"), "LEGACY").when(c.rlike("^[0-9]{9}$"), "NINE").otherwise("OTHER")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def ascii_fold(text: pd.Series) -> pd.Series:
     """NFKD without what isn't ASCII."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def gestalt(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])

@@ -5,19 +5,22 @@ frames, so a missing month is a missing value, never a neighbour."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.months import SEGMENTS, index_of, month_index, months_between, text_or_null
 from ..functions.numbers import count_if, ratio
 
-BY = Window.partitionBy("project_code", "segment").orderBy("mi")
+def by() -> WindowSpec:
+    return Window.partitionBy("project_code", "segment").orderBy("mi")
+
+
 HORIZON = 3
 
 
 def at_offset(c: Column | str, k: int) -> Column:
     """The value exactly k months from here in the same segment."""
-    return F.max(c).over(BY.rangeBetween(k, k))
+    return F.max(c).over(by().rangeBetween(k, k))
 
 
 def segment_end() -> Column:
@@ -37,7 +40,7 @@ def labelled(panel: DataFrame, horizon: int = HORIZON) -> DataFrame:
     """Eligibility, label, event and reason, tested in a fixed order."""
     rev = F.col("revised_completion_date")
     p = effective(panel)
-    p = p.withColumn("ahead", F.count("mi").over(BY.rangeBetween(1, horizon))).withColumn("seen_before", F.coalesce(F.max(rev.isNotNull()).over(BY.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
+    p = p.withColumn("ahead", F.count("mi").over(by().rangeBetween(1, horizon))).withColumn("seen_before", F.coalesce(F.max(rev.isNotNull()).over(by().rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
     for k in range(1, horizon + 1):
         p = p.withColumn(f"r{k}", at_offset(rev, k))
     event = F.lit(None).cast("int")
@@ -65,14 +68,14 @@ def labelled(panel: DataFrame, horizon: int = HORIZON) -> DataFrame:
 
 def prior_counts(panel: DataFrame) -> DataFrame:
     """Upward schedule and cost revisions so far, and months observed."""
-    before, upto = BY.rowsBetween(Window.unboundedPreceding, -1), BY.rowsBetween(Window.unboundedPreceding, 0)
+    before, upto = by().rowsBetween(Window.unboundedPreceding, -1), by().rowsBetween(Window.unboundedPreceding, 0)
 
     def raised(revised: str, original: str) -> Column:
         level = F.coalesce(F.last(revised, True).over(before), F.first(original, True).over(upto))
         return (F.col(revised) > level).cast("int")
 
     p = panel.withColumn("_s", raised("revised_completion_date", "original_completion_date")).withColumn("_c", raised("revised_cost", "original_cost"))
-    return p.select(*panel.columns, F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("n_prior_schedule_extensions"), F.coalesce(F.sum("_c").over(upto), F.lit(0)).alias("n_prior_cost_revisions"), F.row_number().over(BY).cast("long").alias("observed_tenure_months"))
+    return p.select(*panel.columns, F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("n_prior_schedule_extensions"), F.coalesce(F.sum("_c").over(upto), F.lit(0)).alias("n_prior_cost_revisions"), F.row_number().over(by()).cast("long").alias("observed_tenure_months"))
 
 
 def features(panel: DataFrame, progress_from: str = "1997-06", start_from: str = "1999-02") -> DataFrame:
@@ -109,7 +112,7 @@ def persistence(panel: DataFrame) -> DataFrame:
     out = None
     for field in ("revised_completion_date", "revised_cost", "physical_progress"):
         has = F.col(field).isNotNull()
-        p = panel.withColumn("gap", ~has & F.coalesce(F.max(has).over(BY.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))).withColumn("lost", ~has & F.coalesce(F.lag(has).over(BY), F.lit(False)) & (F.col("mi") - F.lag("mi").over(BY) == 1))
+        p = panel.withColumn("gap", ~has & F.coalesce(F.max(has).over(by().rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))).withColumn("lost", ~has & F.coalesce(F.lag(has).over(by()), F.lit(False)) & (F.col("mi") - F.lag("mi").over(by()) == 1))
         one = p.groupBy("regime").agg(F.lit(field).alias("field"), F.count_distinct(F.when(F.col("gap"), F.struct("project_code", "segment"))).alias("projects"), count_if(F.col("gap")).alias("null_months"), count_if(F.col("lost")).alias("transitions"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -118,8 +121,8 @@ def persistence(panel: DataFrame) -> DataFrame:
 def variant(panel: DataFrame, horizon: int, endpoint: bool) -> DataFrame:
     """Stagnation, non-improvement and escalation labels over a horizon (I15); endpoint: compare with T + horizon only."""
     spent, done, cost = "cumulative_expenditure", "physical_progress", "revised_cost"
-    frame = BY.rangeBetween(horizon, horizon) if endpoint else BY.rangeBetween(1, horizon)
-    p = panel.withColumn("ahead", F.count("mi").over(BY.rangeBetween(1, horizon)))
+    frame = by().rangeBetween(horizon, horizon) if endpoint else by().rangeBetween(1, horizon)
+    p = panel.withColumn("ahead", F.count("mi").over(by().rangeBetween(1, horizon)))
     p = p.select("regime", "ahead", (F.col("mi") + horizon <= segment_end()).alias("inside"), (F.max(spent).over(frame) == F.col(spent)).alias("spent_flat"), (F.max(done).over(frame) <= F.col(done)).alias("no_progress"), (F.max(cost).over(frame) > F.col(cost)).alias("cost_up")).where((F.col("ahead") == horizon) & F.col("inside"))
     one = lambda c: [F.count(c).alias(f"{c}_known"), count_if(F.col(c)).alias(c)]
     return p.groupBy("regime").agg(F.lit(horizon).alias("horizon"), F.lit(endpoint).alias("endpoint"), *one("spent_flat"), *one("no_progress"), *one("cost_up"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.numbers import change, count_if, spread
 
-ERA = Window.partitionBy("project_code", "regime").orderBy("mi")
+def era() -> WindowSpec:
+    """A project's months in one era."""
+    return Window.partitionBy("project_code", "regime").orderBy("mi")
+
+
 AUDITED = ("approval_date", "start_date", "original_completion_date", "revised_completion_date", "original_cost", "revised_cost", "cumulative_expenditure", "physical_progress", "ministry", "sector", "state", "agency")
 #: Fields that a regime's layout lacks: absent by structure, not missing.
 ABSENT = {"LEGACY": ("ministry", "start_date")}
@@ -16,7 +20,7 @@ ABSENT = {"LEGACY": ("ministry", "start_date")}
 def adjacent(panel: DataFrame) -> DataFrame:
     """Rows whose month before is there too, within an era; columns p_* of that month."""
     fields = ("cumulative_expenditure", "physical_progress", "revised_cost", "revised_completion_date")
-    rows = panel.select("project_code", "regime", "report_month", "mi", *fields, F.lag("mi").over(ERA).alias("p_mi"), *[F.lag(c).over(ERA).alias(f"p_{c}") for c in fields])
+    rows = panel.select("project_code", "regime", "report_month", "mi", *fields, F.lag("mi").over(era()).alias("p_mi"), *[F.lag(c).over(era()).alias(f"p_{c}") for c in fields])
     return rows.where(F.col("mi") - F.col("p_mi") == 1)
 
 
@@ -37,7 +41,7 @@ def missingness(panel: DataFrame, *by: str) -> DataFrame:
     absent = F.lit(False)
     parts = []
     for f in AUDITED:
-        lacks = [era for era, fields in ABSENT.items() if f in fields]
+        lacks = [regime for regime, fields in ABSENT.items() if f in fields]
         absent = F.col("regime").isin(lacks) if lacks else F.lit(False)
         has = F.col(f).isNotNull() & (F.col(f).cast("string") != "")
         parts.append(F.struct(F.lit(f).alias("field"), F.when(absent, "absent").when(has, "present").otherwise("missing").alias("state")))
@@ -57,9 +61,9 @@ def change_events(panel: DataFrame, field: str) -> DataFrame:
 
 def unchanged_runs(panel: DataFrame, field: str) -> DataFrame:
     """Lengths of runs of one value over months that follow each other (2 and more), counted."""
-    step = F.col(field).isNotNull() & (F.lag(field).over(ERA) == F.col(field)) & (F.col("mi") - F.lag("mi").over(ERA) == 1)
+    step = F.col(field).isNotNull() & (F.lag(field).over(era()) == F.col(field)) & (F.col("mi") - F.lag("mi").over(era()) == 1)
     rows = panel.select("project_code", "regime", "mi", F.col(field), (~F.coalesce(step, F.lit(False))).cast("int").alias("start")).where(F.col(field).isNotNull())
-    runs = rows.withColumn("run", F.sum("start").over(ERA)).groupBy("project_code", "regime", "run").agg(F.count(F.lit(1)).alias("length")).where("length >= 2")
+    runs = rows.withColumn("run", F.sum("start").over(era())).groupBy("project_code", "regime", "run").agg(F.count(F.lit(1)).alias("length")).where("length >= 2")
     return runs.groupBy("regime", "length").agg(F.count(F.lit(1)).alias("runs"), F.count_distinct("project_code").alias("projects"))
 
 
@@ -87,8 +91,8 @@ def horizons(panel: DataFrame, *hs: int) -> DataFrame:
     ends = panel.groupBy("regime").agg(F.max("mi").alias("end"))
     p, out = panel.join(F.broadcast(ends), "regime"), None  # a row for each era
     for h in hs:
-        ahead, window = ERA.rangeBetween(1, h), ERA.rangeBetween(0, h)
-        at = lambda c: F.max(c).over(ERA.rangeBetween(h, h))  # noqa: E731, B023
+        ahead, window = era().rangeBetween(1, h), era().rangeBetween(0, h)
+        at = lambda c: F.max(c).over(era().rangeBetween(h, h))  # noqa: E731, B023
         first = F.first("revised_cost", True).over(window)
         reported = F.count("revised_cost").over(window)
         rows = p.select("regime", "project_code", (F.col("mi") + h <= F.col("end")).alias("inside"), (F.count("mi").over(ahead) == h).alias("complete"), (at("revised_cost") > F.col("revised_cost")).alias("cost_endpoint"), F.when(reported >= 2, F.max("revised_cost").over(window) > first).alias("cost_any"),

@@ -61,7 +61,12 @@ def link(s, d):
 LINK = LINK.replace("cm AS (SELECT project_code, min(mi)", "cm AS (SELECT CASE WHEN ent % 5 = 0 THEN '9' || project_code ELSE project_code END AS project_code, min(CASE WHEN ent % 12 = 0 THEN mi - 12 ELSE mi END)")
 BAND = "CASE WHEN observations >= 24 THEN '24+' WHEN observations >= 12 THEN '12-23' WHEN observations >= 6 THEN '6-11' WHEN observations >= 3 THEN '3-5' ELSE '1-2' END"
 IS = "last_seen IS NOT NULL AND completed_mi IS NOT NULL"
-ratio = F.col("revised_cost").cast("double") / F.col("original_cost").cast("double")
+
+
+def ratio():
+    return F.col("revised_cost").cast("double") / F.col("original_cost").cast("double")
+
+
 FIELDS4 = ("original_cost", "cumulative_expenditure", "physical_progress")
 ENTRIES = [
     ("f01_era_rows", lambda s, d: panel(s, d).groupBy("regime", "segment", "report_month").agg(F.count(F.lit(1)).alias("n_rows")), f"{ONLY} SELECT regime, segment, report_month, count(*) AS n_rows FROM panel GROUP BY 1, 2, 3"),
@@ -87,5 +92,5 @@ ENTRIES = [
     ("h06_reappearance", lambda s, d: link(s, d).where("completed_mi < last_seen").select("project_code", (F.col("completed_mi") - F.col("last_seen")).alias("lag"), F.array_join(F.array_compact(F.array(F.lit("REAPPEARS"), F.when(F.col("last_seen") - F.col("completed_mi") > 6, "LONG_OVERLAP"), F.when(F.col("physical_progress") < 100, "NOT_FINISHED"))), "|").alias("flags")), f"{LINK} SELECT project_code, completed_mi - last_seen AS lag, concat_ws('|', 'REAPPEARS', CASE WHEN last_seen - completed_mi > 6 THEN 'LONG_OVERLAP' END, CASE WHEN physical_progress < 100 THEN 'NOT_FINISHED' END) AS flags FROM lk WHERE completed_mi < last_seen"),
     ("h07_terminal_snapshot", lambda s, d: link(s, d).where("last_seen is not null and completed_mi is not null").select("project_code", "report_month", "completion_month", F.col("cumulative_expenditure").cast("double").alias("cumulative_expenditure")), f"{LINK} SELECT project_code, report_month, completion_month, CAST(cumulative_expenditure AS DOUBLE) AS cumulative_expenditure FROM lk WHERE {IS}"),
     ("h08_field_availability", lambda s, d: completed(s, d).agg(*[F.round(F.count(c) / F.count(F.lit(1)), 4).alias(c) for c in ("start_date", "approval_date", "revised_completion_date", "revised_cost", "state", "ministry")]), f"{BOTH} SELECT " + ", ".join(f"round(count({c})::DOUBLE / count(*), 4) AS {c}" for c in ("start_date", "approval_date", "revised_completion_date", "revised_cost", "state", "ministry")) + " FROM completed"),
-    ("h09_cost_outcome", lambda s, d: completed(s, d).agg(F.count(ratio).alias("known"), *[F.round(F.percentile(ratio, F.lit(p)), 4).alias(n) for n, p in (("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9))], count_if(ratio > 1).alias("over"), count_if(ratio < 1).alias("under"), count_if(ratio == 1).alias("on_budget")), f"{BOTH}, q AS (SELECT CAST(revised_cost AS DOUBLE) / CAST(original_cost AS DOUBLE) AS r FROM completed) SELECT count(r) AS known, " + ", ".join(f"round(quantile_cont(r, {p}), 4) AS {n}" for n, p in (("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9))) + ", count(*) FILTER (WHERE r > 1) AS over, count(*) FILTER (WHERE r < 1) AS under, count(*) FILTER (WHERE r = 1) AS on_budget FROM q"),
+    ("h09_cost_outcome", lambda s, d: completed(s, d).agg(F.count(ratio()).alias("known"), *[F.round(F.percentile(ratio(), F.lit(p)), 4).alias(n) for n, p in (("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9))], count_if(ratio() > 1).alias("over"), count_if(ratio() < 1).alias("under"), count_if(ratio() == 1).alias("on_budget")), f"{BOTH}, q AS (SELECT CAST(revised_cost AS DOUBLE) / CAST(original_cost AS DOUBLE) AS r FROM completed) SELECT count(r) AS known, " + ", ".join(f"round(quantile_cont(r, {p}), 4) AS {n}" for n, p in (("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9))) + ", count(*) FILTER (WHERE r > 1) AS over, count(*) FILTER (WHERE r < 1) AS under, count(*) FILTER (WHERE r = 1) AS on_budget FROM q"),
 ]

@@ -67,7 +67,10 @@ def _event(rule: str):
     return (lambda s, d: ev(s, d).where(F.col("rule") == rule).drop("rule")), f"{EVENTS} SELECT project_code, month_a, month_b, detail, size FROM ev WHERE rule = '{rule}'"
 
 
-IDLE = (F.col("cumulative_expenditure") == 0) & (F.col("physical_progress") > 0)
+def idle():
+    return (F.col("cumulative_expenditure") == 0) & (F.col("physical_progress") > 0)
+
+
 DIMS = ("report_month", "regime", "sector", "agency", "state", "ministry")
 RATES = f"WITH {PANEL_SQL}, lo AS (" + " UNION ALL ".join(f"SELECT project_code, coalesce({_idle}, false) AS f, '{x}' AS dimension, coalesce({x}, '(MISSING)') AS value FROM panel" for x in DIMS) + """), g AS (SELECT dimension, value, count(*) FILTER (WHERE f) AS flagged, count(DISTINCT project_code) FILTER (WHERE f) AS projects, count(*) AS n_rows FROM lo GROUP BY 1, 2)
 SELECT * FROM (SELECT *, round(flagged::DOUBLE / n_rows * 100, 4) AS rate, round(flagged::DOUBLE / sum(flagged) OVER (PARTITION BY dimension) * 100, 4) AS share FROM g) WHERE flagged > 0"""
@@ -126,7 +129,7 @@ ENTRIES = [
     ("e16_agency_categories", lambda s, d: ev(s, d).where("rule = 'agency_changed'").groupBy(F.col("detail").alias("category")).agg(F.count(F.lit(1)).alias("n")), f"{EVENTS} SELECT detail AS category, count(*) AS n FROM ev WHERE rule = 'agency_changed' GROUP BY 1"),
     ("e17_top_agency_pairs", lambda s, d: lg.pairs(panel(s, d)).where("a_agency <> b_agency").groupBy("a_agency", "b_agency").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "a_agency", "b_agency").limit(20), f"{PAIR} SELECT a_agency, b_agency, count(*) AS n FROM pr WHERE a_agency <> b_agency GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 20"),
     ("e18_rule_matrix", lambda s, d: ev(s, d).groupBy("month_a").pivot("rule", ["agency_changed", "expenditure_decreased", "progress_decreased", "revised_cost_decreased"]).count().na.fill(0), f"{EVENTS} SELECT month_a, " + ", ".join(f"count(*) FILTER (WHERE rule = '{r}') AS {r}" for r in ("agency_changed", "expenditure_decreased", "progress_decreased", "revised_cost_decreased")) + " FROM ev GROUP BY 1"),
-    ("e20_flag_rates", lambda s, d: lg.flag_rates(panel(s, d), IDLE, DIMS), RATES), ("e21_idle_transitions", _e21, f"{PAIR} SELECT month_a, {_st('b_cumulative_expenditure')} AS next_state, {_cl('physical_progress')} AS progress, count(*) AS n FROM pr WHERE a_cumulative_expenditure = 0 AND a_physical_progress > 0 GROUP BY 1, 2, 3"),
-    ("e22_flagged_in_two_months", lambda s, d: lg.two_months(panel(s, d), "1998-03", "1998-04", IDLE), f"{ONLY}, q AS (SELECT project_code, bool_or({_idle} AND report_month = '1998-03') AS a, bool_or({_idle} AND report_month = '1998-04') AS b FROM (SELECT * FROM panel WHERE report_month IN ('1998-03', '1998-04')) GROUP BY 1), z AS (SELECT coalesce(a, false) AS a, coalesce(b, false) AS b FROM q) SELECT count(*) FILTER (WHERE a AND b) AS both, count(*) FILTER (WHERE a AND NOT b) AS first_only, count(*) FILTER (WHERE b AND NOT a) AS second_only, count(*) FILTER (WHERE a OR b) AS unique_projects FROM z"),
+    ("e20_flag_rates", lambda s, d: lg.flag_rates(panel(s, d), idle(), DIMS), RATES), ("e21_idle_transitions", _e21, f"{PAIR} SELECT month_a, {_st('b_cumulative_expenditure')} AS next_state, {_cl('physical_progress')} AS progress, count(*) AS n FROM pr WHERE a_cumulative_expenditure = 0 AND a_physical_progress > 0 GROUP BY 1, 2, 3"),
+    ("e22_flagged_in_two_months", lambda s, d: lg.two_months(panel(s, d), "1998-03", "1998-04", idle()), f"{ONLY}, q AS (SELECT project_code, bool_or({_idle} AND report_month = '1998-03') AS a, bool_or({_idle} AND report_month = '1998-04') AS b FROM (SELECT * FROM panel WHERE report_month IN ('1998-03', '1998-04')) GROUP BY 1), z AS (SELECT coalesce(a, false) AS a, coalesce(b, false) AS b FROM q) SELECT count(*) FILTER (WHERE a AND b) AS both, count(*) FILTER (WHERE a AND NOT b) AS first_only, count(*) FILTER (WHERE b AND NOT a) AS second_only, count(*) FILTER (WHERE a OR b) AS unique_projects FROM z"),
     ("e23_increases_by_agency", lambda s, d: lg.pairs(panel(s, d)).where("a_cumulative_expenditure = 0 and b_cumulative_expenditure > 0").groupBy("a_agency").agg(F.count(F.lit(1)).alias("n")), f"{PAIR} SELECT a_agency, count(*) AS n FROM pr WHERE a_cumulative_expenditure = 0 AND b_cumulative_expenditure > 0 GROUP BY 1"),
 ]
