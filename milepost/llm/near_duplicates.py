@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Words, bound_batches, materialise, mixed, slices, text_key
+from .shared import Words, bound_batches, discard, materialise, mixed, slices, text_key
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, PER_BAND = 30, 5
@@ -105,12 +105,13 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        larger = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        larger = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         larger = materialise(larger, "larger")
         least = materialise(larger.groupBy("a").agg(F.min("b").alias("m")), "least")
         smaller = larger.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = materialise(smaller.distinct(), "links")
+        before, edges = edges, materialise(smaller.distinct(), "links")
+        discard(before, low, larger, least)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
         if now == state:
             return edges
@@ -201,8 +202,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bands = rows.where("c is not null").select(F.xxhash64("c").alias("k"), band.alias("band"))
     heads = bands.groupBy("band").agg(F.min("k").alias("head"), F.max("k").alias("last")).where("head <> last").select("band", "head")
     heads = materialise(heads, "band-heads")
-    links = bands.join(heads, "band").where("k <> head").select(F.col("k").alias("a"), F.col("head").alias("b"))
+    # sides that grow with the corpus meet by sort-merge at every size; AQE splits what is skewed
+    links = bands.join(heads.hint("merge"), "band").where("k <> head").select(F.col("k").alias("a"), F.col("head").alias("b"))
     groups = components(links)
+    discard(heads)
     nodes = groups.select(F.col("a").alias("k"), F.col("b").alias("root")).unionByName(groups.select(F.col("b").alias("k"), F.col("b").alias("root")).distinct())
     members = materialise(classes.withColumn("k", F.xxhash64("c")).join(nodes, "k").drop("k"), "suspects")
     size = materialise(members.groupBy("root").agg(F.count(F.lit(1)).alias("m")), "suspect-sizes")
@@ -211,10 +214,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = materialise(placed.select("c", "root", "blocks", "block", "id", "tk", "docs"), "suspects-placed")
     bits = key_map(placed)
     some = mine.mapInArrow(lambda b: _mapped(b, bits), f"id {kind}, tk bigint, text string")
-    texts = placed.alias("p").join(some.alias("m"), F.col("p.id").eqNullSafe(F.col("m.id")) & (F.col("p.tk") == F.col("m.tk"))).select("c", "root", "blocks", "block", "docs", "text")
+    texts = placed.alias("p").join(some.alias("m").hint("merge"), F.col("p.id").eqNullSafe(F.col("m.id")) & (F.col("p.tk") == F.col("m.tk"))).select("c", "root", "blocks", "block", "docs", "text")
     units = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "c", "docs", "block", "text")
     found = units.groupBy("root", "i", "j").applyInArrow(lambda k, t: _met(k, _distinct(t), threshold), "c binary, to binary, classes bigint, docs bigint")
     found = materialise(found, "block-links")
+    discard(groups, members, size, placed)
     linked = materialise(found.groupBy("c").agg(F.sum("docs").alias("linked")), "class-links")
     merged = components(found.where("c <> to").select(F.col("c").alias("a"), F.col("to").alias("b")))
     root = classes.join(merged, classes["c"] == merged["a"], "left").select("c", "id", "docs", F.coalesce("b", "c").alias("root"))
@@ -222,6 +226,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     smallest = materialise(root.groupBy("root").agg(F.min("id").alias("class_id")), "root-ids")
     of_class = root.join(smallest, "root").join(linked, "c", "left").select("c", "root", "class_id", F.col("id").alias("copy_id"), (F.col("docs") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     of_class = materialise(of_class, "class-results")
+    discard(found, linked, merged, root, smallest, classes)
     keyed = rows.select("id", "tk", F.coalesce("c", F.concat(F.lit(b"-"), F.hex("tk").cast("binary"), F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))).alias("c"))
     return keyed.join(of_class, "c", "left").select(
         F.coalesce("root", "c").alias("root"),
