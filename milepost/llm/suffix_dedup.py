@@ -1,21 +1,23 @@
 """Exact substring dedup by bucket refinement over sampled suffixes.
 
-A byte goes if a string of `SPAN` (100) bytes that covers it also starts earlier. Of all suffixes
-only those at winnowed q-grams take part: every run of 100 bytes holds one, at a place that its
-content decides, so equal runs hold equal ones. The work refines buckets of these suffixes:
-
-1. The initial bucket of a suffix is its q-gram (24 bytes). Buckets of one suffix are finished; a
-   bit map of the others, of fixed size, lets later passes leave finished suffixes where they are.
-2. Buckets are refined by what stands at the offsets that a run of 100 bytes around the q-gram can
-   reach (76 bytes before to 100 after). All but the first suffix of such a bucket repeat every run
-   around their q-gram; the first stands for the bucket from here on.
-3. Buckets of one q-gram with different surroundings are refined once more, at every start of a run
-   whose smallest q-gram it is: ids of depth 25 are paired with those 25 bytes later into ids of
-   depth 50, these with those 50 bytes later into depth 100, so each depth reuses the one before.
-   All but the first start in a bucket of depth 100 repeat.
+A byte goes if a string of `SPAN` (100) bytes that covers it also starts earlier. Every 100 bytes
+hold a smallest q-gram (24 bytes); adjacent starts with the same one form a unit, so units, not
+single suffixes, are put into buckets and refined:
+
+1. The initial bucket of a unit is its q-gram. Buckets of one unit are finished; a bit map of the
+   others, of fixed size, lets later passes leave finished units where they are.
+2. Buckets are refined by all the bytes that a unit's strings cover. All but the first unit of such
+   a bucket repeat whole; the first stands for it from here on.
+3. Units of one q-gram that differ are cut into stretches of `STRETCH` starts. All strings of a
+   stretch hold its core and lie in its hull, each an id paired from q-gram ids at later offsets.
+   A core of one stretch is finished; of equal hulls all but the first repeat whole.
+4. What is left is refined to single starts: ids of depth 25 are paired with those 25 bytes later
+   into depth 50, these with those 50 bytes later into depth 100, so each depth reuses the one
+   before. All but the first start in a bucket of depth 100 repeat.
 
 Ids are hashes (two of 64 bits decide), so refining needs no global order; Spark sorts and shuffles
-the ids. Nothing but (id, position) rows is ever gathered, and a common run is pre-aggregated.
+the ids. Texts never leave their task but those that lose bytes, for the last step; a common string
+is pre-aggregated and never gathered.
 
 Order: by doc_id (null first), then, for rows that share it, by a hash of the text, then by start.
 Defined cases: null is the empty text; texts under 100 bytes stay whole; rows that share doc_id and
@@ -31,153 +33,246 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bound_batches, materialise, mixed, prefix_sums, slices, spans_hash, text_key, utf8
+from .shared import bound_batches, discard, materialise, mixed, prefix_sums, slices, spans_hash, text_key, utf8
 
 SPAN, GRAM = 100, 24
 REACH = SPAN - GRAM
-#: Bits of the map of unfinished buckets, and of one part of it. A fuller map only lets more suffixes through.
+#: Starts in a stretch.
+STRETCH = 8
+#: Bits of a map of what is unfinished, and of one part of it. A fuller map only lets more rows through.
 MAP_BITS, PART = 1 << 27, 1 << 16
 
 
-def _rolling(x: np.ndarray, n: int, pick) -> np.ndarray:
-    """pick (minimum or maximum) over every n adjacent values."""
+def _rolling(x: np.ndarray, n: int) -> np.ndarray:
+    """The minimum of every n adjacent values."""
     span = 1
     while span < n:
         step = min(span, n - span)
-        x = pick(x[:-step], x[step:])
+        x = np.minimum(x[:-step], x[step:])
         span += step
     return x
 
 
-class Sampled:
-    """The winnowed q-grams of a column of texts (as bytes)."""
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mixed(a * np.uint64(0x9E3779B97F4A7C15) + b)
+
+
+def place(tk: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """A name for a start in a text."""
+    return pair(tk.astype(np.int64).view(np.uint64), pos.astype(np.uint64))
+
+
+class Units:
+    """Adjacent starts of 100-byte strings that share their smallest q-gram (the last, if equal), of a column of texts.
+
+    grams: the q-gram's id; a, b: the first and last start; row: of the text; offsets: where it begins."""
 
     def __init__(self, column: pa.Array):
-        self.data, self.at = utf8(column)
-        n = len(self.data)
-        self.sums = prefix_sums(self.data)
-        self.pos = np.zeros(0, np.int64)
+        self.data, self.offsets = utf8(column)
+        self.sums, n = prefix_sums(self.data), len(self.data)
+        self.a = self.b = self.row = np.zeros(0, np.int64)
+        self.grams = np.zeros(0, np.uint64)
         if n < SPAN:
             return
         i = np.arange(n - GRAM + 1)
-        self.grams = spans_hash(self.sums, i, i + GRAM)
-        self.least = _rolling(self.grams, REACH + 1, np.minimum)  # of the q-grams in each run of SPAN bytes
-        runs = np.zeros(n - SPAN + 1, bool)
-        for a, b in zip(self.at[:-1].tolist(), self.at[1:].tolist()):
-            runs[a : max(a, b - SPAN + 1)] = True
-        self.least = np.where(runs, self.least, np.uint64(0))
-        pad = np.zeros(REACH, np.uint64)
-        most = _rolling(np.concatenate([pad, self.least, pad]), REACH + 1, np.maximum)
-        self.pos = np.flatnonzero((most == self.grams) & (most > 0))
-
-    def rows(self, pos: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.at, pos, "right") - 1
-
-    def surroundings(self, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash of what runs around each q-gram can reach, and how far that is to the left and right."""
-        r = self.rows(pos)
-        a, b = np.maximum(self.at[r], pos - REACH), np.minimum(self.at[r + 1], pos + SPAN)
-        return mixed(spans_hash(self.sums, a, b) + (pos - a).astype(np.uint64)), pos - a, b - pos
+        grams = spans_hash(self.sums, i, i + GRAM)
+        least = _rolling(grams, REACH + 1)
+        fits = np.zeros(len(least) + 1, np.int32)  # starts whose string stays in its text
+        lo, hi = self.offsets[:-1], np.maximum(self.offsets[:-1], self.offsets[1:] - SPAN + 1)
+        on = hi > lo
+        np.add.at(fits, lo[on], 1)
+        np.add.at(fits, np.minimum(hi[on], len(least)), -1)
+        inside = np.cumsum(fits[:-1]) > 0
+        edge = np.ones(len(least), bool)
+        edge[1:] = (least[1:] != least[:-1]) | ~inside[:-1]
+        edge[np.minimum(lo[on], len(least) - 1)] = True
+        edge |= grams[REACH:] == least  # of equal q-grams the last one counts, so a unit has one place for its own
+        first = np.flatnonzero(edge)
+        last = np.append(first[1:] - 1, len(least) - 1)
+        good = inside[first]
+        self.a, self.b = first[good], last[good]
+        self.b = np.minimum(self.b, self._end(self.a) - SPAN)
+        self.grams, self.row = least[self.a], self._row(self.a)
+
+    def _row(self, pos: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.offsets, pos, "right") - 1
+
+    def _end(self, pos: np.ndarray) -> np.ndarray:
+        return self.offsets[self._row(pos) + 1]
+
+    def hulls(self) -> np.ndarray:
+        return spans_hash(self.sums, self.a, self.b + SPAN)
+
+    def stretches(self, on: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the units `on`: number of the unit, first and last start of each stretch, and the last start that it can have."""
+        # counted from the q-gram, not from the unit's first start, so that equal strings fall into equal stretches
+        at = self._gram_at(on)
+        low, high = (at - self.b[on]) // STRETCH, (at - self.a[on]) // STRETCH
+        n = high - low + 1
+        unit = np.repeat(on, n)
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        far = np.repeat(at, n) - k * STRETCH
+        return unit, np.maximum(self.a[unit], far - STRETCH + 1), np.minimum(self.b[unit], far), far
+
+    def _gram_at(self, on: np.ndarray) -> np.ndarray:
+        """Where the q-gram of each unit stands (its last place before the unit's first string ends)."""
+        out = np.full(len(on), -1)
+        for d in range(REACH, -1, -1):
+            p = self.a[on] + d
+            free = np.flatnonzero(out < 0)
+            hit = free[spans_hash(self.sums, p[free], p[free] + GRAM) == self.grams[on[free]]]
+            out[hit] = p[hit]
+            if len(hit) == len(free):
+                break
+        return out
 
     def depth100(self, starts: np.ndarray) -> np.ndarray:
         ids = lambda s: spans_hash(self.sums, s, s + 25)  # noqa: E731  depth 25
-        pair = lambda a, b: mixed(a * np.uint64(0x9E3779B97F4A7C15) + b)
         fifty = lambda s: pair(ids(s), ids(s + 25))
         return pair(fifty(starts), fifty(starts + 50))
 
 
-def _bucket_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            s = Sampled(batch.column("text"))
-            if len(s.pos):
-                yield pa.RecordBatch.from_arrays([pa.array(s.grams[s.pos].view(np.int64))], names=["h"])
+class Bits:
+    """A bit map of 64-bit ids."""
+
+    def __init__(self, data: np.ndarray):
+        self.data = data
+
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        bit = (ids % np.uint64(MAP_BITS)).astype(np.int64)
+        return (self.data[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bits of one task, by part; a part comes to one task only."""
+    """The bits of the ids of one task, by part; a part comes to one task only."""
     have: dict[int, np.ndarray] = {}
     for batch in batches:
-        bit = (batch.column("h").to_numpy().view(np.uint64) % np.uint64(MAP_BITS)).astype(np.int64)
-        for p in np.unique(bit // PART).tolist():
-            own = bit[bit // PART == p] % PART
-            np.bitwise_or.at(have.setdefault(p, np.zeros(PART // 8, np.uint8)), own >> 3, np.left_shift(1, own & 7).astype(np.uint8))
+        bit = np.sort((batch.column("x").to_numpy().view(np.uint64) % np.uint64(MAP_BITS)).astype(np.int64))
+        cut = np.flatnonzero(np.diff(bit // PART)) + 1
+        for own in np.split(bit, cut) if len(bit) else ():
+            i = own % PART
+            np.bitwise_or.at(have.setdefault(int(own[0] // PART), np.zeros(PART // 8, np.uint8)), i >> 3, np.left_shift(1, i & 7).astype(np.uint8))
     yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.int32()), pa.array([x.tobytes() for x in have.values()], pa.binary())], names=["part", "bits"])
 
 
-def unfinished(mine: DataFrame) -> np.ndarray:
-    """The map of q-grams that come more than once: MAP_BITS / 8 bytes, whatever the input."""
-    repeated = mine.select("text").mapInArrow(_bucket_ids, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    part = F.floor(F.pmod(F.conv(F.hex("h"), 16, 10).cast("decimal(20,0)"), F.lit(MAP_BITS)).cast("bigint") / PART)
+def bit_map(ids: DataFrame) -> Bits:
+    """The map of the ids in column x: MAP_BITS / 8 bytes, whatever the input."""
+    unsigned = F.conv(F.hex("x"), 16, 10).cast("decimal(20,0)")
+    part = F.floor(F.pmod(unsigned, F.lit(MAP_BITS)).cast("bigint") / PART)
     bits = np.zeros(MAP_BITS // 8, np.uint8)
-    for r in repeated.repartition(part).mapInArrow(_parts, "part int, bits binary").toLocalIterator():
+    for r in ids.select("x").repartition(part).mapInArrow(_parts, "part int, bits binary").toLocalIterator():
         bits[r["part"] * PART // 8 : (r["part"] + 1) * PART // 8] |= np.frombuffer(r["bits"], np.uint8)
-    return bits
+    return Bits(bits)
 
 
-def _suspects(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            s = Sampled(batch.column("text"))
-            if not len(s.pos):
-                continue
-            h = s.grams[s.pos]
-            bit = (h % np.uint64(MAP_BITS)).astype(np.int64)
-            on = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-            pos, h = s.pos[on], h[on]
-            around, left, right = s.surroundings(pos)
-            r = s.rows(pos)
-            take = pa.array(r, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(around.view(np.int64)), batch.column("id").take(take), batch.column("tk").take(take), pa.array((pos - s.at[r]).astype(np.int32)), pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16))],
-                names=["h", "around", "id", "tk", "pos", "l", "r"])
-
-
-def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs whose smallest q-gram is one of the given suffixes, by their bucket of depth 100."""
+def repeated(ids: DataFrame) -> DataFrame:
+    """Of column x the ids that come more than once."""
+    return ids.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x")
+
+
+def _each(batches: Iterator[pa.RecordBatch], rows, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """rows: for Units and the texts' hashes gives the row numbers and columns that go out."""
     for whole in batches:
         for batch in slices(whole, "text"):
-            s = Sampled(batch.column("text"))
-            given = batch.column("pos")
-            counts = given.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            r = np.repeat(np.arange(len(counts)), counts)
-            pos = np.unique(given.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + s.at[r])
-            starts = (pos[:, None] - np.arange(REACH, -1, -1)[None]).ravel()
-            p = np.repeat(pos, REACH + 1)
-            fit = (starts >= s.at[s.rows(p)]) & (starts < len(s.least))
-            starts, p = starts[fit], p[fit]
-            fit = s.least[starts] == s.grams[p]
-            starts, p = starts[fit], p[fit]
-            r = s.rows(p)
-            take = pa.array(r, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(s.grams[p].view(np.int64)), pa.array(s.depth100(starts).view(np.int64)), batch.column("id").take(take), batch.column("tk").take(take), pa.array((starts - s.at[r]).astype(np.int32))], names=["h", "deep", "id", "tk", "pos"])
-
-
-def _not_first(rows: DataFrame, firsts: DataFrame, keys: list[str]) -> DataFrame:
+            u = Units(batch.column("text"))
+            if len(u.a):
+                at, cols = rows(u, batch.column("tk").to_numpy())
+                take = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int32)) for c in cols), *(batch.column(n).take(take) for n in names if n in ("id", "tk"))], names=names)
+
+
+def _grams(u: Units, tk: np.ndarray):
+    return u.row, [u.grams]
+
+
+def _units(u: Units, tk: np.ndarray, known: Bits):
+    on = known.has(u.grams)
+    return u.row[on], [u.grams[on], u.hulls()[on], (u.a - u.offsets[u.row])[on], (u.b - u.a)[on]]
+
+
+def _open(u: Units, tk: np.ndarray, open_units: Bits) -> tuple[np.ndarray, ...]:
+    return u.stretches(np.flatnonzero(open_units.has(place(tk[u.row], u.a - u.offsets[u.row]))))
+
+
+def _cores(u: Units, unit: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """What every string of the whole stretch holds, so that a stretch cut short by its unit meets whole ones."""
+    return pair(u.grams[unit], spans_hash(u.sums, far, far + SPAN - STRETCH + 1))
+
+
+def _core_ids(u: Units, tk: np.ndarray, open_units: Bits):
+    unit, _, _, far = _open(u, tk, open_units)
+    return u.row[unit], [_cores(u, unit, far)]
+
+
+def _stretches(u: Units, tk: np.ndarray, open_units: Bits, cores: Bits):
+    unit, a, b, far = _open(u, tk, open_units)
+    core = _cores(u, unit, far)
+    on = cores.has(core)
+    unit, a, b, core = unit[on], a[on], b[on], core[on]
+    return u.row[unit], [core, pair(spans_hash(u.sums, a, b + SPAN), (b - a).astype(np.uint64)), a - u.offsets[u.row[unit]], b - a]
+
+
+def _starts(u: Units, tk: np.ndarray, open_units: Bits, open_stretches: Bits):
+    unit, a, b, _ = _open(u, tk, open_units)
+    on = open_stretches.has(place(tk[u.row[unit]], a - u.offsets[u.row[unit]]))
+    unit, a, n = unit[on], a[on], (b - a)[on] + 1
+    unit = np.repeat(unit, n)
+    s = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+    return u.row[unit], [u.grams[unit], u.depth100(s), s - u.offsets[u.row[unit]]]
+
+
+def _firsts(rows: DataFrame, name: str) -> DataFrame:
+    """For each bucket (h, deep) its first start and how many it has."""
+    return materialise(rows.groupBy("h", "deep").agg(F.min(F.struct("id", "tk", "pos")).alias("first"), F.count(F.lit(1)).alias("n")), name)
+
+
+def _not_first(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     """rows in a bucket of several that aren't its first one."""
-    met = rows.join(firsts, keys)
+    met = rows.join(firsts.where("n > 1").select("h", "deep", "first"), ["h", "deep"])
     return met.where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("tk") == F.col("first.tk")) & (F.col("pos") == F.col("first.pos"))))
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(place(batch.column("tk").to_numpy(), batch.column("pos").to_numpy()).view(np.int64))], names=["x"])
+
+
+def _unlike(firsts: DataFrame) -> Bits:
+    """The map of the buckets that share h with others."""
+    several = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
+    return bit_map(firsts.join(several, "h").select("first.tk", "first.pos").mapInArrow(_places, "x bigint"))
+
+
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, tk, cuts: for each text that loses bytes the sorted [a, b) pieces, which may overlap."""
     bound_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[doc_id]
     mine = docs.select(F.col(doc_id).alias("id"), text_key(text).alias("tk"), F.col(text).alias("text"))
-    bits = unfinished(mine)
-    suspects = materialise(mine.mapInArrow(lambda b: _suspects(b, bits), f"h bigint, around bigint, id {kind}, tk bigint, pos int, l smallint, r smallint"), "suffix-suspects")
-    first = F.min(F.struct("id", "tk", "pos")).alias("first")
-    buckets = materialise(suspects.groupBy("h", "around").agg(first, F.count(F.lit(1)).alias("n"), F.min((F.col("l") + F.col("r")).cast("int")).alias("long")), "suffix-buckets")
-    whole = _not_first(suspects, buckets.where(f"n > 1 and long >= {SPAN}").select("h", "around", "first"), ["h", "around"])
-    whole = whole.select("id", "tk", (F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b"))
-    mixed_up = materialise(buckets.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "suffix-mixed")
-    open_at = buckets.where(f"long >= {SPAN}").join(mixed_up, "h").select("first.id", "first.tk", "first.pos")
-    open_at = materialise(open_at.groupBy("id", "tk").agg(F.array_sort(F.collect_set("pos")).alias("pos")), "suffix-open")
-    texts = mine.alias("m").join(open_at.alias("o"), F.col("m.id").eqNullSafe(F.col("o.id")) & (F.col("m.tk") == F.col("o.tk"))).select("m.id", "m.tk", "m.text", "o.pos")
-    runs = materialise(texts.mapInArrow(_starts, f"h bigint, deep bigint, id {kind}, tk bigint, pos int"), "suffix-runs")
-    deep = materialise(runs.groupBy("h", "deep").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "suffix-deep")
-    again = _not_first(runs, deep, ["h", "deep"]).select("id", "tk", F.col("pos").alias("a"), (F.col("pos") + SPAN).alias("b"))
-    return materialise(whole.unionByName(again).groupBy("id", "tk").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("cuts")), "suffix-cuts")
+
+    def passed(rows, schema: str) -> DataFrame:
+        names = [x.split()[0] for x in schema.split(", ")]
+        return mine.mapInArrow(lambda b: _each(b, rows, names), schema)
+
+    known = bit_map(repeated(passed(_grams, "x bigint")))
+    bucket = f"h bigint, deep bigint, pos int, more int, id {kind}, tk bigint"
+    units = materialise(passed(lambda u, tk: _units(u, tk, known), bucket), "suffix-units")
+    firsts = _firsts(units, "suffix-unit-buckets")
+    cuts = materialise(_not_first(units, firsts).select("id", "tk", F.col("pos").alias("a"), (F.col("pos") + F.col("more") + SPAN).alias("b")), "suffix-cut-units")
+    discard(units)
+    open_units = _unlike(firsts)
+    discard(firsts)
+    cores = bit_map(repeated(passed(lambda u, tk: _core_ids(u, tk, open_units), "x bigint")))
+    stretches = materialise(passed(lambda u, tk: _stretches(u, tk, open_units, cores), bucket), "suffix-stretches")
+    firsts = _firsts(stretches, "suffix-stretch-buckets")
+    cuts2 = materialise(_not_first(stretches, firsts).select("id", "tk", F.col("pos").alias("a"), (F.col("pos") + F.col("more") + SPAN).alias("b")), "suffix-cut-stretches")
+    open_stretches = _unlike(firsts)
+    discard(stretches, firsts)
+    starts = materialise(passed(lambda u, tk: _starts(u, tk, open_units, open_stretches), f"h bigint, deep bigint, pos int, id {kind}, tk bigint"), "suffix-starts")
+    firsts = _firsts(starts, "suffix-start-buckets")
+    again = _not_first(starts, firsts).select("id", "tk", F.col("pos").alias("a"), (F.col("pos") + SPAN).alias("b"))
+    out = materialise(cuts.unionByName(cuts2).unionByName(again).groupBy("id", "tk").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("cuts")), "suffix-cuts")
+    discard(starts, firsts, cuts, cuts2)
+    return out
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
