@@ -41,7 +41,7 @@ class Model:
     def score(self, text: str) -> float:
         if not len(self.weights):
             return 0.0
-        held = [s[s >= 0] for s in (self.slot[b] for b in buckets(text, ORDERS, BITS))]
+        held = [s[s >= 0] for s in (self.slot[b] for b in buckets(text, ORDERS, BITS))] or [np.zeros(0, self.slot.dtype)]
         return float(sigmoid(self.weights[np.unique(np.concatenate(held))].sum() + self.intercept))
 
 

@@ -277,3 +277,13 @@ def test_winnowing_keeps_a_fingerprint_of_every_window():
 def test_bayesian_pruning_never_drops_what_is_likely():
     fewest = near_duplicates.fewest_matches(0.8)
     assert fewest == sorted(fewest) and all(m < 0.8 * 15 * (i + 1) for i, m in enumerate(fewest))
+
+
+def test_toxicity_scores_texts_without_ngrams():
+    import numpy as np
+
+    slot = np.full(1 << toxicity.BITS, -1, np.int16)
+    slot[next(iter(toxicity.buckets("abc", (3, 3), toxicity.BITS)))[1]] = 0
+    model = toxicity.Model(slot, np.array([4.0]), -1.0)
+    assert model.score("") == model.score("zzz") == pytest.approx(1 / (1 + np.e))
+    assert model.score("abc") == pytest.approx(1 / (1 + np.exp(-3)))
