@@ -18,10 +18,10 @@ def ranked(df: DataFrame, score: str = "risk_probability", by: tuple[str, ...] =
 
 
 def records(prior: DataFrame, active_from: int) -> DataFrame:
-    """Risk rows at quarter ends from prior revisions and tenure; a deterministic score."""
+    """Risk rows of every month from prior revisions and tenure; a deterministic score."""
     raw = (1.0 + F.col("n_prior_schedule_extensions")) / (2.0 + F.col("observed_tenure_months"))
     active = (F.col("regime") == "MODERN") & (F.col("mi") >= active_from)
-    df = prior.where("mi % 3 = 2").select("project_code", "report_month", "mi", "regime", F.when(F.col("regime") == "MODERN", "logistic").otherwise("boosted_trees").alias("model"), "project_name", "agency", "sector", "state",
+    df = prior.select("project_code", "report_month", "mi", "regime", F.when(F.col("regime") == "MODERN", "logistic").otherwise("boosted_trees").alias("model"), "project_name", "agency", "sector", "state",
                                             raw.alias("raw_probability"), active.alias("calibration_active"), F.when(active, raw * 0.8 + 0.05).alias("calibrated_probability"))
     return ranked(df.withColumn("risk_probability", F.coalesce("calibrated_probability", "raw_probability")))
 

@@ -31,7 +31,7 @@ dir AS (SELECT *, CASE WHEN contribution > 0 THEN 'POSITIVE' WHEN contribution <
 
 
 def contrib(s, d):
-    return op.contributions(labels.features(panel(s, d)).where("mi % 6 = 5"), WEIGHTS)
+    return op.contributions(labels.features(panel(s, d)), WEIGHTS)
 
 
 def _summary(s, d):
@@ -77,8 +77,8 @@ SPEARMAN_SQL = SUMMARY_SQL.replace("SELECT *, row_number() OVER (PARTITION BY re
 
 
 def _hydrated(s, d):
-    """Star join: each record of a quarter with its two strongest drivers per direction as text."""
-    r = risk(s, d).where("mi % 6 = 5")
+    """Star join: each record with its two strongest drivers per direction as text."""
+    r = risk(s, d)
     top = op.top_contributors(contrib(s, d), 2)
     lists = top.groupBy("project_code", "report_month", "regime").agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("direction") == k, F.struct("nth", "feature")))), lambda x: x["feature"]), "|").alias(n) for k, n in (("POSITIVE", "raises"), ("NEGATIVE", "lowers"))])
     return r.join(lists, ["project_code", "report_month", "regime"], "left").select("project_code", "report_month", "risk_rank", F.coalesce("raises", F.lit("")).alias("raises"), F.coalesce("lowers", F.lit("")).alias("lowers"))
