@@ -69,9 +69,9 @@ ENTRIES = [
     ("b28_search", lambda s, d: parts(s, d).select("p_partkey", F.col("p_name").ilike("%a_d%").alias("live"), F.lower("p_name").contains("a_d").alias("literal")), "SELECT p_partkey, p_name ILIKE '%a_d%' AS live, contains(lower(p_name), 'a_d') AS literal FROM part"),
     ("b31_code_styles", lambda s, d: panel(s, d).groupBy(text.code_style(F.col("project_code")).alias("style")).agg(F.count(F.lit(1)).alias("n")), f"{WITH} SELECT CASE WHEN regexp_full_match(project_code, '[0-9]{{6}}') THEN 'SIX' WHEN regexp_full_match(project_code, 'N[0-9]{{8}}') THEN 'LEGACY' ELSE 'OTHER' END AS style, count(*) AS n FROM panel GROUP BY 1"),
     ("g01_prepared", lambda s, d: _sides(s, d)[0].select("project_code", "name_key", "agency", "sector"), f"{WITH} SELECT project_code, regexp_replace(lower(project_name), '[^a-z0-9]', '', 'g') AS name_key, nullif(regexp_replace(lower(agency), '[^a-z0-9]', '', 'g'), '') AS agency, nullif(regexp_replace(lower(sector), '[^a-z0-9]', '', 'g'), '') AS sector FROM panel WHERE report_month = '1998-12'"),
-    ("g02_candidates", lambda s, d: cw.candidates(*_sides(s, d)).select("l", "r", "exact_name", "agreements", F.array_join("evidence", "|").alias("evidence"), F.array_join("conflicts", "|").alias("conflicts")), None),
+    ("g02_candidates", lambda s, d: cw.candidates(*_sides(s, d)).select("l", "r", "exact_name", "agreements", F.array_join("evidence", "|").alias("evidence"), F.array_join("conflicts", "|").alias("conflicts"), F.array_join("missing", "|").alias("missing")), None),
     ("g03_credible", lambda s, d: _edges(s, d).select("l", "r", F.round("similarity", 6).alias("similarity"), "high"), None),
-    ("g07_resolved", lambda s, d: cw.resolved(_edges(s, d), _sides(s, d)[0]), None), ("g09_summary", lambda s, d: cw.summary(cw.resolved(_edges(s, d), _sides(s, d)[0])), None),
+    ("g07_resolved", lambda s, d: cw.resolved(_edges(s, d), _sides(s, d)[0]), None), ("g09_summary", lambda s, d: cw.summary(cw.resolved(_edges(s, d), _sides(s, d)[0]), _sides(s, d)[1]), None),
 ]
 _k = lambda c: f"nullif(regexp_replace(lower(CAST({c} AS VARCHAR)), '[^a-z0-9]', '', 'g'), '')"
 _n = "coalesce(regexp_replace(lower({}.project_name), '[^a-z0-9]', '', 'g'), '')"
