@@ -31,9 +31,11 @@ def identifier(c: Column) -> Column:
 
 
 def number(c: Column) -> Column:
-    """Commas and % go, one pair of brackets is unwrapped without changing the sign; else null."""
-    bare = F.regexp_replace(F.regexp_replace(squeeze(c), "[,% ]", ""), r"^\((.*)\)$", "$1")
-    return F.when(~is_missing(c) & bare.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), bare.cast("double"))
+    """Commas and % go, one pair of brackets is unwrapped without changing the sign; blanks inside make it null,
+    exponents don't (B04)."""
+    bare = F.regexp_replace(squeeze(c), "[,%]", "")
+    bare = F.trim(F.regexp_replace(F.trim(bare), r"^\((.*)\)$", "$1"))
+    return F.when(~is_missing(c) & bare.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), bare.try_cast("double"))
 
 
 def month(c: Column) -> Column:
@@ -48,35 +50,54 @@ def _named(t: Column) -> Column:
 
 
 def legacy_month(c: Column) -> Column:
-    """M-YYYY, M/YYYY, Mon-YY or Mon-YYYY, also with blanks between characters."""
+    """M-YYYY or M/YYYY of 19xx or 20xx, Mon-YY or Mon-20YY, also with blanks between characters."""
     t = F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
-    digits, words = r"^([0-9]{1,2})[-/]([0-9]{4})$", r"^([A-Za-z]{3})[a-z]*[-,/]?((?:[0-9]{2}){1,2})$"
-    m = F.regexp_extract(t, digits, 1).try_cast("int")
+    digits, words = r"^(0?[1-9]|1[0-2])[-/]((?:19|20)[0-9]{2})$", r"^([A-Za-z]{3})-([0-9]{2}|20[0-9]{2})$"
     year = F.regexp_extract(t, words, 2)
     full = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
-    return F.when(t.rlike(digits) & m.between(1, 12), F.concat(F.regexp_extract(t, digits, 2), F.lit("-"), F.lpad(m.cast("string"), 2, "0"))).when(t.rlike(words) & (_named(t) != "00"), F.concat(full, F.lit("-"), _named(t)))
+    return (F.when(t.rlike(digits), F.concat(F.regexp_extract(t, digits, 2), F.lit("-"), F.lpad(F.regexp_extract(t, digits, 1), 2, "0")))
+            .when(t.rlike(words) & (_named(t) != "00"), F.concat(full, F.lit("-"), _named(t))))
+
+
+def cell_lines(c: Column) -> Column:
+    """The lines of a cell without outer and repeated blanks; empty ones go."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\r?\n"), squeeze), lambda x: x != "")
 
 
 def triplet(c: Column) -> Column:
-    """Lines of a cell as original, (revised) and {anticipated} or [anticipated]."""
-    lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), squeeze), lambda x: x != "")
-    inner = lambda a, z: F.transform(F.filter(lines, lambda x: x.rlike(f"^[{a}].*[{z}]$")), lambda x: F.trim(F.substring(x, F.lit(2), F.length(x) - 2)))
-    plain = F.filter(lines, lambda x: ~x.rlike(r"^[(\[{]"))
-    return F.struct(F.try_element_at(plain, F.lit(1)).alias("original"), F.try_element_at(inner("(", ")"), F.lit(-1)).alias("revised"), F.try_element_at(inner(r"{\[", r"}\]"), F.lit(-1)).alias("anticipated"))
+    """Lines of a cell as original, (revised) and {anticipated} or [anticipated]; missing tokens are null."""
+    lines = cell_lines(c)
+    inner = lambda *forms: identifier(F.try_element_at(F.transform(F.filter(lines, lambda x: _wrapped(x, *forms)), lambda x: F.substring(x, F.lit(2), F.length(x) - 2)), F.lit(-1)))
+    plain = F.filter(lines, lambda x: ~_wrapped(x, "()", "{}", "[]") & ~is_missing(x))
+    return F.struct(F.try_element_at(plain, F.lit(1)).alias("original"), inner("()").alias("revised"), inner("{}", "[]").alias("anticipated"))
+
+
+def _wrapped(c: Column, *forms: str) -> Column:
+    out = F.lit(False)
+    for a, z in forms:
+        out = out | (c.startswith(a) & c.endswith(z))
+    return out
+
+
+def unwrapped(c: Column) -> Column:
+    """Without the brackets around it."""
+    return F.when(_wrapped(c, "()"), F.trim(F.substring(c, F.lit(2), F.length(c) - 2))).otherwise(c)
 
 
 def parenthesized_pair(c: Column) -> Column:
-    """First line, and the second without its brackets."""
-    lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), squeeze), lambda x: x != "")
-    return F.struct(F.try_element_at(lines, F.lit(1)).alias("first"), F.regexp_replace(F.try_element_at(lines, F.lit(2)), r"^\((.*)\)$", "$1").alias("second"))
+    """First line, and the others together without their brackets; missing tokens are null."""
+    lines = cell_lines(c)
+    rest = F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), " ")
+    return F.struct(identifier(F.try_element_at(lines, F.lit(1))).alias("first"), identifier(unwrapped(rest)).alias("second"))
 
 
 def composite(c: Column) -> Column:
-    """Lines name..., agency, six-digit code of a composite cell."""
-    lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), squeeze), lambda x: x != "")
+    """Lines name..., agency, and one with a six-digit code; null if there is none."""
+    lines = cell_lines(c)
     n = F.size(lines)
-    fits = (n >= 3) & F.try_element_at(lines, F.lit(-1)).rlike("^[0-9]{6}$")
-    return F.when(fits, F.struct(F.array_join(F.slice(lines, 1, F.greatest(n - 2, F.lit(0))), " ").alias("name"), F.try_element_at(lines, F.lit(-2)).alias("agency"), F.try_element_at(lines, F.lit(-1)).alias("code")))
+    code = F.regexp_extract(F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit("")), r"\b([0-9]{6})\b", 1)
+    name = F.array_join(F.slice(lines, 1, F.greatest(n - 2, F.lit(0))), " ")
+    return F.when((n >= 2) & (code != ""), F.struct(name.alias("name"), unwrapped(F.try_element_at(lines, F.lit(-2))).alias("agency"), code.alias("code")))
 
 
 def banner_month(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("portfolio", "risk", "labels", "validation", "readiness", "metrics", "text", "sources", "models", "rawrows", "more")
+FAMILIES = ("portfolio", "risk", "labels", "validation", "readiness", "metrics", "text", "sources", "models", "rawrows", "cells", "more")
 
 
 def entries() -> list[tuple]:
