@@ -87,20 +87,25 @@ def category_coverage(panel: DataFrame) -> DataFrame:
 
 
 def horizons(panel: DataFrame, *hs: int) -> DataFrame:
-    """For each horizon and era: rows under the calendar's ceiling, rows with every month ahead, and what happens there."""
-    ends = panel.groupBy("regime").agg(F.max("mi").alias("end"))
-    p, out = panel.join(F.broadcast(ends), "regime"), None  # a row for each era
+    """For each horizon and era: rows under the calendar's ceiling, rows with every month ahead, and what happens there.
+
+    All frames share one partitioning and order, so every horizon comes from the same shuffle and sort."""
+    base = F.coalesce("revised_completion_date", "original_completion_date")
+    seen = []
     for h in hs:
         ahead, window = era().rangeBetween(1, h), era().rangeBetween(0, h)
         at = lambda c: F.max(c).over(era().rangeBetween(h, h))  # noqa: E731, B023
-        first = F.first("revised_cost", True).over(window)
-        reported = F.count("revised_cost").over(window)
-        rows = p.select("regime", "project_code", (F.col("mi") + h <= F.col("end")).alias("inside"), (F.count("mi").over(ahead) == h).alias("complete"), (at("revised_cost") > F.col("revised_cost")).alias("cost_endpoint"), F.when(reported >= 2, F.max("revised_cost").over(window) > first).alias("cost_any"),
-                        (at("revised_completion_date") > F.coalesce("revised_completion_date", "original_completion_date")).alias("schedule_endpoint"), (F.max("revised_completion_date").over(ahead) > F.coalesce("revised_completion_date", "original_completion_date")).alias("schedule_any"),
-                        (at("physical_progress") == F.col("physical_progress")).alias("progress_flat"), (at("cumulative_expenditure") == F.col("cumulative_expenditure")).alias("spending_flat"))
-        good = rows.where("inside").groupBy("regime").agg(F.lit(h).alias("horizon"), F.count(F.lit(1)).alias("ceiling"), count_if(F.col("complete")).alias("complete"), *[x for c in ("cost_endpoint", "cost_any", "schedule_endpoint", "schedule_any", "progress_flat", "spending_flat") for x in (count_if(F.col("complete") & F.col(c).isNotNull()).alias(f"{c}_known"), count_if(F.col("complete") & F.col(c)).alias(c))])
-        out = good if out is None else out.unionByName(good)
-    return out
+        seen.append(F.struct(
+            F.lit(h).alias("horizon"), (F.count("mi").over(ahead) == h).alias("complete"), (at("revised_cost") > F.col("revised_cost")).alias("cost_endpoint"),
+            F.when(F.count("revised_cost").over(window) >= 2, F.max("revised_cost").over(window) > F.first("revised_cost", True).over(window)).alias("cost_any"),
+            (at("revised_completion_date") > base).alias("schedule_endpoint"), (F.max("revised_completion_date").over(ahead) > base).alias("schedule_any"),
+            (at("physical_progress") == F.col("physical_progress")).alias("progress_flat"), (at("cumulative_expenditure") == F.col("cumulative_expenditure")).alias("spending_flat")))
+    ends = panel.groupBy("regime").agg(F.max("mi").alias("end"))
+    rows = panel.select("regime", "mi", F.array(*seen).alias("x")).select("regime", "mi", F.inline("x")).join(F.broadcast(ends), "regime")  # a row for each era
+    out = ("cost_endpoint", "cost_any", "schedule_endpoint", "schedule_any", "progress_flat", "spending_flat")
+    return rows.where(F.col("mi") + F.col("horizon") <= F.col("end")).groupBy("regime", "horizon").agg(
+        F.count(F.lit(1)).alias("ceiling"), count_if(F.col("complete")).alias("complete"),
+        *[x for c in out for x in (count_if(F.col("complete") & F.col(c).isNotNull()).alias(f"{c}_known"), count_if(F.col("complete") & F.col(c)).alias(c))])
 
 
 def distribution(panel: DataFrame, field: str, *by: str) -> DataFrame:

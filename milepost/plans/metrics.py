@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 from ..functions.numbers import count_if, platt
 from ..operators import labels
 from ..operators import metrics as op
+from ..sources.store import kept
 from .labels import LABEL, PRIOR
 from .surrogate import PANEL_SQL, panel
 
 
 def scored(s, d):
     """Labelled rows with score = (1 + prior extensions) / (2 + tenure); a fold is a calendar year of a regime."""
-    p = panel(s, d)
+    return kept(s, d, "scored", lambda: _scored(panel(s, d)), "report_month")
+
+
+def _scored(p):
     lab = labels.labelled(p).where("label is not null").select("project_code", "report_month", "label", "extension_type")
     pri = labels.prior_counts(p).select("project_code", "report_month", "mi", "regime", "sector", "agency", "state", ((1.0 + F.col("n_prior_schedule_extensions")) / (2.0 + F.col("observed_tenure_months"))).alias("score"))
     return lab.join(pri, ["project_code", "report_month"]).withColumn("fold", F.substring("report_month", 1, 4))
@@ -32,7 +36,7 @@ def origins(s):
     return s.createDataFrame(ORIGINS, "regime string, origin int")
 
 
-RM = SC + ", mo AS (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY score DESC, project_code) AS rank, count(*) OVER (PARTITION BY regime) AS total, sum(label) OVER (PARTITION BY regime) AS positives FROM sc WHERE report_month IN ('1998-06', '2000-06'))"
+RM = SC + ", mo AS (SELECT *, row_number() OVER (PARTITION BY regime, report_month ORDER BY score DESC, project_code) AS rank, count(*) OVER (PARTITION BY regime, report_month) AS total, sum(label) OVER (PARTITION BY regime, report_month) AS positives FROM sc)"
 
 
 def _point(s, d):
@@ -71,7 +75,7 @@ ENCODED = SC + f", {OV}, t AS (SELECT regime, origin, coalesce(nullif(state, '')
 
 def _scaled(s, d):
     """Fold-local mean and population deviation of tenure, null counted."""
-    x = scored(s, d).join(labels.features(panel(s, d)).select("project_code", "report_month", "physical_progress_t"), ["project_code", "report_month"])
+    x = scored(s, d).join(features(s, d).select("project_code", "report_month", "physical_progress_t"), ["project_code", "report_month"])
     return op.folds(x, origins(s)).groupBy("regime", "origin").agg(F.round(F.avg("physical_progress_t"), 6).alias("mean"), F.round(F.coalesce(F.nullif(F.stddev_pop("physical_progress_t"), F.lit(0.0)), F.lit(1.0)), 6).alias("scale"), count_if(F.col("physical_progress_t").isNull()).alias("missing"))
 
 
@@ -136,9 +140,9 @@ ENTRIES = [
     ("k05_recall_thresholds", lambda s, d: op.recall_threshold(scored(s, d), 0.7, *BY), BS + " SELECT regime, fold, max(score) AS threshold FROM bs WHERE tp >= 0.7::DOUBLE * positives AND positives > 0 GROUP BY 1, 2"),
     ("k06_precision_thresholds", lambda s, d: op.precision_threshold(scored(s, d), 0.4, *BY), BS + " SELECT regime, fold, min(score) AS threshold FROM bs WHERE tp >= 0.4::DOUBLE * alerts GROUP BY 1, 2"),
     ("k07_confusion", lambda s, d: op.with_rates(scored(s, d).groupBy(*BY).agg(*op.confusion(F.col("score") >= 0.3))), SC + f", c AS (SELECT regime, fold, {CONF('0.3::DOUBLE')} FROM sc GROUP BY 1, 2) SELECT *, {RATES} FROM c"),
-    ("k09_top_k", lambda s, d: op.top_k(scored(s, d), [5, 20, 10000], "regime", "report_month"), RM + " SELECT regime, k, CAST(least(k, max(total)) AS BIGINT) AS applied_k, round(sum(label)::DOUBLE / count(*), 6) AS precision, round(sum(label)::DOUBLE / nullif(max(positives), 0), 6) AS recall FROM mo, (SELECT unnest([5, 20, 10000]) AS k) WHERE rank <= k GROUP BY 1, 2"),
+    ("k09_top_k", lambda s, d: op.top_k(scored(s, d), [5, 20, 10000], "regime", "report_month"), RM + " SELECT regime, report_month, k, CAST(least(k, max(total)) AS BIGINT) AS applied_k, round(sum(label)::DOUBLE / count(*), 6) AS precision, round(sum(label)::DOUBLE / nullif(max(positives), 0), 6) AS recall FROM mo, (SELECT unnest([5, 20, 10000]) AS k) WHERE rank <= k GROUP BY 1, 2, 3"),
     ("k10_policy_folds", _policy, POLICY),
-    ("k11_alert_caps", lambda s, d: op.capped(scored(s, d), 0.2, [0.05, 0.25, 0.5], "regime", "report_month"), RM + " SELECT regime, CAST(cap AS DOUBLE) AS cap, count(*) FILTER (WHERE score >= 0.2::DOUBLE) AS wanted, count(*) FILTER (WHERE score >= 0.2::DOUBLE AND rank <= floor(CAST(cap AS DOUBLE) * total)) AS alerts, count(*) FILTER (WHERE score >= 0.2::DOUBLE AND rank > floor(CAST(cap AS DOUBLE) * total)) AS suppressed, count(*) FILTER (WHERE score >= 0.2::DOUBLE AND rank <= floor(CAST(cap AS DOUBLE) * total) AND label = 1) AS tp FROM mo, (SELECT unnest([0.05, 0.25, 0.5]) AS cap) GROUP BY 1, 2"),
+    ("k11_alert_caps", lambda s, d: op.capped(scored(s, d), 0.2, [0.05, 0.25, 0.5], "regime", "report_month"), RM + " SELECT regime, report_month, CAST(cap AS DOUBLE) AS cap, count(*) FILTER (WHERE score >= 0.2::DOUBLE) AS wanted, count(*) FILTER (WHERE score >= 0.2::DOUBLE AND rank <= floor(CAST(cap AS DOUBLE) * total)) AS alerts, count(*) FILTER (WHERE score >= 0.2::DOUBLE AND rank > floor(CAST(cap AS DOUBLE) * total)) AS suppressed, count(*) FILTER (WHERE score >= 0.2::DOUBLE AND rank <= floor(CAST(cap AS DOUBLE) * total) AND label = 1) AS tp FROM mo, (SELECT unnest([0.05, 0.25, 0.5]) AS cap) GROUP BY 1, 2, 3"),
     ("k12_policy_by_sector", lambda s, d: op.with_rates(scored(s, d).groupBy("regime", "sector").agg(*op.confusion(F.col("score") >= 0.3))), SC + f", c AS (SELECT regime, sector, {CONF('0.3::DOUBLE')} FROM sc GROUP BY 1, 2) SELECT *, {RATES} FROM c"),
     ("k13_policy_aggregate", lambda s, d: _policy(s, d).groupBy("regime").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.round(F.avg("precision"), 6).alias("mean_precision"), F.min(F.col("tp") + F.col("fp")).alias("least_alerts"), F.max(F.col("tp") + F.col("fp")).alias("most_alerts")), POLICY.replace(f"SELECT *, {RATES} FROM c", f", r AS (SELECT *, {RATES} FROM c) SELECT regime, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, round(avg(precision), 6) AS mean_precision, min(tp + fp) AS least_alerts, max(tp + fp) AS most_alerts FROM r GROUP BY 1")),
     ("k14_alert_volume", lambda s, d: _policy(s, d).select("regime", "year", (F.col("tp") + F.col("fp")).alias("alerts"), F.round((F.col("tp") + F.col("fp")) / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")), 6).alias("alert_rate")), POLICY.replace(f"SELECT *, {RATES} FROM c", "SELECT regime, year, tp + fp AS alerts, round((tp + fp)::DOUBLE / (tp + fp + fn + tn), 6) AS alert_rate FROM c")),

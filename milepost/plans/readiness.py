@@ -49,7 +49,8 @@ def _spread_sql(f: str) -> str:
 
 RUNS = f"{ONLY}, r AS (SELECT project_code, regime, mi, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER {E} AS run FROM (SELECT *, coalesce(lag(cumulative_expenditure) OVER {E} = cumulative_expenditure AND mi - lag(mi) OVER {E} = 1, false) AS same FROM panel)), l AS (SELECT project_code, regime, run, count(*) AS length FROM r GROUP BY 1, 2, 3 HAVING count(*) >= 2) SELECT regime, length, count(*) AS runs, count(DISTINCT project_code) AS projects FROM l GROUP BY 1, 2"
 COVER = f"{ONLY}, m AS (SELECT regime, report_month, row_number() OVER (PARTITION BY regime ORDER BY report_month) AS n, count(*) OVER (PARTITION BY regime) AS last FROM (SELECT DISTINCT regime, report_month FROM panel)), s AS (SELECT project_code, regime, report_month, n, last, lag(n) OVER w AS b, lead(n) OVER w AS a FROM panel JOIN m USING (regime, report_month) WINDOW w AS (PARTITION BY project_code, regime ORDER BY n)) SELECT regime, report_month, count(*) AS projects, CASE WHEN any_value(n) > 1 THEN count(*) FILTER (WHERE b IS NULL OR b <> n - 1) END AS new_projects, CASE WHEN any_value(n) < any_value(last) THEN count(*) FILTER (WHERE a IS NULL OR a <> n + 1) END AS disappearing FROM s GROUP BY 1, 2"
-LINK = f"{BOTH}, ob AS (SELECT project_code, count(*) AS observations, max(mi) AS last_seen, arg_max(cumulative_expenditure, mi) AS cumulative_expenditure, arg_max(physical_progress, mi) AS physical_progress, arg_max(report_month, mi) AS report_month, any_value(regime) AS regime FROM panel GROUP BY 1), cm AS (SELECT project_code, min(mi) AS completed_mi, min(report_month) AS completion_month FROM completed GROUP BY 1), lk AS (SELECT * FROM ob FULL JOIN cm USING (project_code))"
+# arg_max of one column skips nulls, so the last row is taken as a struct
+LINK = f"{BOTH}, ob AS (SELECT project_code, count(*) AS observations, max(mi) AS last_seen, unnest(arg_max({{'cumulative_expenditure': cumulative_expenditure, 'physical_progress': physical_progress, 'report_month': report_month, 'regime': regime}}, mi)) FROM panel GROUP BY 1), cm AS (SELECT project_code, min(mi) AS completed_mi, min(report_month) AS completion_month FROM completed GROUP BY 1), lk AS (SELECT * FROM ob FULL JOIN cm USING (project_code))"
 
 
 def link(s, d):

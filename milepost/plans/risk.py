@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from ..functions.months import index_of
 from ..operators import labels, portfolio
 from ..operators import risk as op
+from ..sources.store import kept
 from .labels import FEATURES, PRIOR
 from .surrogate import PANEL_SQL, panel
 
 ACTIVE = index_of("2000-01")
 WITH = f"WITH {PANEL_SQL}, {PRIOR}"
 RISK = f"""rk AS (SELECT project_code, report_month, mi, regime, CASE WHEN regime = 'MODERN' THEN 'logistic' ELSE 'boosted_trees' END AS model, project_name, agency, sector, state,
-  (1.0::DOUBLE + n_prior_schedule_extensions) / (2.0::DOUBLE + observed_tenure_months) AS raw_probability, regime = 'MODERN' AND mi >= {ACTIVE} AS calibration_active FROM prior WHERE mi % 3 = 2),
+  (1.0::DOUBLE + n_prior_schedule_extensions) / (2.0::DOUBLE + observed_tenure_months) AS raw_probability, regime = 'MODERN' AND mi >= {ACTIVE} AS calibration_active FROM prior),
 rp AS (SELECT *, CASE WHEN calibration_active THEN raw_probability * 0.8::DOUBLE + 0.05::DOUBLE END AS calibrated_probability, CASE WHEN calibration_active THEN raw_probability * 0.8::DOUBLE + 0.05::DOUBLE ELSE raw_probability END AS risk_probability FROM rk),
 risk AS (SELECT *, row_number() OVER (PARTITION BY report_month, regime, model ORDER BY risk_probability DESC, project_code) AS risk_rank,
   CAST(count(*) OVER (PARTITION BY report_month, regime, model) - row_number() OVER (PARTITION BY report_month, regime, model ORDER BY risk_probability DESC, project_code) + 1 AS DOUBLE) / count(*) OVER (PARTITION BY report_month, regime, model) AS risk_percentile FROM rp)"""
@@ -21,17 +22,23 @@ SQL = f"{WITH}, {RISK}"
 
 
 def risk(s, d):
-    return op.records(labels.prior_counts(panel(s, d)), ACTIVE)
+    """The risk records, a serving table that is derived once."""
+    return kept(s, d, "risk", lambda: op.records(labels.prior_counts(panel(s, d)), ACTIVE), "report_month")
 
 
 #: Fixed weights of a few features, for contributions on given coefficients.
 WEIGHTS = {"n_prior_schedule_extensions": 0.5, "n_prior_cost_revisions": 0.25, "observed_tenure_months": -0.125, "schedule_has_been_revised": 0.75, "months_to_effective_schedule": -0.0625, "state_is_missing": 1.0}
-CONTRIB = f"WITH {PANEL_SQL}, {FEATURES}, long AS (" + " UNION ALL ".join(f"SELECT project_code, report_month, regime, '{n}' AS feature, CAST({n} AS DOUBLE) AS value, {w}::DOUBLE * coalesce(CAST({n} AS DOUBLE), 0) AS contribution FROM features WHERE mi % 6 = 5" for n, w in WEIGHTS.items()) + """),
+CONTRIB = f"WITH {PANEL_SQL}, {FEATURES}, long AS (" + " UNION ALL ".join(f"SELECT project_code, report_month, regime, '{n}' AS feature, CAST({n} AS DOUBLE) AS value, {w}::DOUBLE * coalesce(CAST({n} AS DOUBLE), 0) AS contribution FROM features" for n, w in WEIGHTS.items()) + """),
 dir AS (SELECT *, CASE WHEN contribution > 0 THEN 'POSITIVE' WHEN contribution < 0 THEN 'NEGATIVE' ELSE 'ZERO' END AS direction, row_number() OVER (PARTITION BY project_code, report_month, regime ORDER BY abs(contribution) DESC, feature) AS contribution_rank FROM long)"""
 
 
+def features(s, d):
+    """The 36 features of every row, derived once."""
+    return kept(s, d, "features", lambda: labels.features(panel(s, d)), "report_month")
+
+
 def contrib(s, d):
-    return op.contributions(labels.features(panel(s, d)), WEIGHTS)
+    return op.contributions(features(s, d), WEIGHTS)
 
 
 def _summary(s, d):
@@ -86,7 +93,7 @@ def _hydrated(s, d):
 
 HYDRATED_SQL = CONTRIB + ", " + RISK + """, tn AS (SELECT *, row_number() OVER (PARTITION BY project_code, report_month, regime, direction ORDER BY abs(contribution) DESC, feature) AS nth FROM dir WHERE direction <> 'ZERO'),
 tl AS (SELECT project_code, report_month, regime, string_agg(feature, '|' ORDER BY nth) FILTER (WHERE direction = 'POSITIVE') AS raises, string_agg(feature, '|' ORDER BY nth) FILTER (WHERE direction = 'NEGATIVE') AS lowers FROM tn WHERE nth <= 2 GROUP BY ALL)
-SELECT project_code, report_month, risk_rank, coalesce(raises, '') AS raises, coalesce(lowers, '') AS lowers FROM risk LEFT JOIN tl USING (project_code, report_month, regime) WHERE mi % 6 = 5"""
+SELECT project_code, report_month, risk_rank, coalesce(raises, '') AS raises, coalesce(lowers, '') AS lowers FROM risk LEFT JOIN tl USING (project_code, report_month, regime)"""
 DIST = "count({0}) AS n, min({0}) AS min, round(quantile_cont({0}, 0.25), 6) AS p25, round(quantile_cont({0}, 0.5), 6) AS median, round(quantile_cont({0}, 0.75), 6) AS p75, round(quantile_cont({0}, 0.9), 6) AS p90, round(quantile_cont({0}, 0.95), 6) AS p95, max({0}) AS max, round(avg({0}), 6) AS mean"
 ROW = "project_code, report_month, regime, model, raw_probability, risk_probability, risk_rank, risk_percentile"
 COLS = ROW.split(", ")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..sources import tables as io
+from ..sources.store import folder
 from ..streaming.append import append_new_months
 from .risk import RISK, WITH, contrib, risk
 from .surrogate import PANEL_SQL, panel
@@ -15,26 +13,6 @@ from .surrogate import PANEL_SQL, panel
 ONLY = f"WITH {PANEL_SQL}"
 KEY = "project_code, report_month"
 TEXT = ["project_code", "report_month", "project_name", "agency", "cumulative_expenditure", "physical_progress"]
-_made: list = []
-
-
-def folder(spark, name: str) -> str:
-    """A new path in the checkpoint folder, or below /tmp/checkpoints where none is set; deleted at exit."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/sources-{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_clear)
-    _made.append((spark, path))
-    return path
-
-
-def _clear() -> None:
-    for spark, path in _made:
-        try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session is gone
-            return
 
 
 def _csv(s, d):

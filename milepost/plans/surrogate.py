@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.months import SEGMENTS, index_of, month_text, text_or_null
+from ..sources.store import kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +39,12 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical panel with mi, segment, regime and the entity number."""
+    """The canonical panel with mi, segment, regime and the entity number; derived once, in files by month."""
+    return kept(spark, sf_dir, "panel", lambda: derived(spark, sf_dir), "report_month")
+
+
+def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel from the given tables."""
     c = segmented(cells(spark, sf_dir)).where("ent % 4 <> 0 or mi <= m0 + 40 + sk % 24")
     c = c.withColumn("prev_cum", F.lag("cum").over(Window.partitionBy("ent").orderBy("mi")))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pk"), "p_type", "p_brand")
