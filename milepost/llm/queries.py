@@ -65,7 +65,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=False)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

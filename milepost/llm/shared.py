@@ -73,6 +73,23 @@ def discard(*tables: DataFrame) -> None:
         tables[0].sparkSession.sparkContext._jvm.System.gc()  # shuffle files go with the plans that made them
 
 
+#: Words of 64 bits in the map of `likely`, at most: 8 MB.
+LIKELY_WORDS = 1 << 19
+
+
+def likely(rows: DataFrame, keys: DataFrame, found: bool = True) -> DataFrame:
+    """The rows whose tk is in keys, and a few others; or (found=False) only rows whose tk is not.
+
+    keys (a table that is read twice) become a bit map of 16 bits for each, at most LIKELY_WORDS words, whatever
+    the input, so it may be broadcast. A fuller map only lets more rows through."""
+    words = min(LIKELY_WORDS, max(1 << 10, 1 << (keys.count() // 4).bit_length()))
+    bit = F.pmod("tk", F.lit(64 * words))
+    of_map = keys.select(F.floor(bit / 64).alias("__mp_w"), (bit % 64).cast("int").alias("i")).groupBy("__mp_w").agg(F.expr("bit_or(shiftleft(1L, i))").alias("__mp_v"))
+    met = rows.withColumn("__mp_w", F.floor(bit / 64)).withColumn("__mp_i", (bit % 64).cast("int")).join(F.broadcast(of_map), "__mp_w", "left")
+    hit = F.coalesce(F.expr("shiftrightunsigned(__mp_v, __mp_i) & 1L") == 1, F.lit(False))
+    return met.where(hit if found else ~hit).select(*rows.columns)
+
+
 def text_key(col: str = "text") -> Column:
     """Tells apart texts that share a doc_id, so that every row gets its own verdict."""
     return F.xxhash64(F.coalesce(F.col(col), F.lit("")))
@@ -113,6 +130,27 @@ def slices(batch: pa.RecordBatch, by: str, most: int = 2 << 20):
         i = min(j, n)
 
 
+def whole_groups(batches, key: str, least: int):
+    """Of rows sorted by key, batches of whole groups: at least so many rows, or one group."""
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < least:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        k = rows.column(key).to_numpy()
+        cut = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0  # the last group may go on
+        if cut:
+            yield rows.slice(0, cut)
+            rows = rows.slice(cut)
+        held, n = [rows], rows.num_rows
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

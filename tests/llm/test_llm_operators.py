@@ -93,7 +93,24 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.benchmark_hits(spark.createDataFrame([], DOCS), spark.createDataFrame(items, "item_id bigint, text string")).count() == 0
 
 
-def test_suffix_dedup_against_brute_force(spark):
+def removed_bytes(rows):
+    """id, bytes, removed, spans and digest of what is left, by looking at every start."""
+    seen, want = set(), set()
+    for i, t in sorted(set(rows), key=lambda r: (-1 if r[0] is None else r[0], r[1] or "")):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - 99):
+            if b[s : s + 100] in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(b[s : s + 100])
+        want.add((str(i), len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    return want
+
+
+@pytest.mark.parametrize("bucket", [suffix_dedup.BUCKET, 2])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, bucket):
+    """Also with buckets so small that all of them are split."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
     rng = random.Random(4)
     base = [prose(rng, 120, 50) for _ in range(4)]
     rows = []
@@ -104,15 +121,7 @@ def test_suffix_dedup_against_brute_force(spark):
     rows += [(60, "ab" * 400), (61, None), (62, ""), (63, "x" * 99), (64, "x" * 101), (None, base[0])]
     rows += rows[:2]
     got = {(str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.without_repeats(spark.createDataFrame(rows, DOCS)).collect()}
-    seen, want = set(), set()
-    for i, t in sorted(set(rows), key=lambda r: (-1 if r[0] is None else r[0], r[1] or "")):
-        b = (t or "").encode()
-        gone = bytearray(len(b))
-        for s in range(len(b) - 99):
-            if b[s : s + 100] in seen:
-                gone[s : s + 100] = b"\1" * 100
-            seen.add(b[s : s + 100])
-        want.add((str(i), len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    want = removed_bytes(rows)
     assert got == want
     assert suffix_dedup.without_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
