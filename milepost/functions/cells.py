@@ -41,7 +41,7 @@ def project_identity(c: Column) -> Column:
     after = F.when(at_code.isNotNull() & at_pair.isNull(), _from(lines, at_code + 1)).otherwise(F.array().cast("array<string>"))
     stop = F.array_min(F.transform(after, lambda x, i: F.when(~x.rlike(alone), i)))
     after = F.slice(after, 1, F.coalesce(stop, F.size(after)))
-    of_pair = lambda k: identifier(F.regexp_extract(F.element_at(lines, at_pair), pair, k))
+    of_pair = lambda k: identifier(F.regexp_extract(F.try_element_at(lines, at_pair), pair, k))
     single = lambda k: identifier(F.regexp_extract(F.try_element_at(after, F.lit(k)), alone, 1))
     stop_agency = F.coalesce(at_code - 1, end)
     closed = F.coalesce(F.try_element_at(lines, F.nullif(stop_agency, F.lit(0))).endswith(")"), F.lit(False))
@@ -49,7 +49,7 @@ def project_identity(c: Column) -> Column:
     agency = F.array_join(F.slice(lines, at_agency, stop_agency - at_agency + 1), " ")
     return F.struct(
         squeeze(F.array_join(_upto(lines, F.coalesce(at_agency - 1, stop_agency)), " ")).alias("project_name"), _null(squeeze(F.substring(agency, F.lit(2), F.length(agency) - 2))).alias("agency"),
-        F.regexp_extract(F.element_at(lines, at_code), r"([0-9]{6})", 1).alias("project_code"),
+        F.regexp_extract(F.try_element_at(lines, at_code), r"([0-9]{6})", 1).alias("project_code"),
         F.when(at_pair.isNotNull(), of_pair(1)).otherwise(single(1)).alias("legacy_ocms_code"), F.when(at_pair.isNotNull(), of_pair(2)).otherwise(single(2)).alias("pmgid"))
 
 
@@ -81,10 +81,10 @@ def six_column_identity(c: Column) -> Column:
     lines = cell_lines(c)
     at = _last(lines, lambda x, i: x.rlike(rf"\(({CODE})\)"))
     bare = lambda x: F.regexp_replace(x, r"^[()]+|[()]+$", "")
-    agency = F.element_at(lines, at - 1)
+    agency = F.try_element_at(lines, at - 1)
     return F.when(at >= 2, F.struct(
         F.array_join(_upto(lines, at - 2), " ").alias("project_name"), F.when(_wrapped(agency, "()"), bare(agency)).otherwise(agency).alias("agency"),
-        F.regexp_extract(F.element_at(lines, at), rf"\(({CODE})\)", 1).alias("project_code"), F.array_join(F.transform(_from(lines, at + 1), bare), " ").alias("state")))
+        F.regexp_extract(F.try_element_at(lines, at), rf"\(({CODE})\)", 1).alias("project_code"), F.array_join(F.transform(_from(lines, at + 1), bare), " ").alias("state")))
 
 
 def five_column_identity(c: Column) -> Column:
