@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.months import months_between
 from ..functions.numbers import change, count_if, state_of
+from ..functions.text import compact, gestalt
 
 FIELDS = ("project_name", "agency", "ministry", "sector", "state", "original_cost", "revised_cost", "cumulative_expenditure", "physical_progress")
 
@@ -47,10 +49,58 @@ def identity(paired: DataFrame) -> DataFrame:
     return paired.groupBy("month_a").agg(*[count_if(_differs(c)).alias(f"{c}_changed") for c in FIELDS[:5]], *[count_if(_differs(c, True)).alias(f"{c}_changed_normalised") for c in ("sector", "state")])
 
 
+# Words that an acronym leaves out; short names of known agencies and words of their long forms; headings of groups.
+IGNORED = ("and", "of", "the", "limited", "ltd", "corporation", "company", "ministry", "department")
+SHORT = ("nhai", "wclcil", "seclcil", "eclcil", "nclcil", "cclcil", "iocl", "bpcl", "hpcl", "gail", "ongc")
+SPELLED = ("nationalhighwaysauthority", "coalfields", "petroleum", "naturalgas", "oilcorporation")
+HEADINGS = ("Ministry of Coal", "Ministry of Railways", "Ministry of Petroleum & Natural Gas", "MinistryofPetroleumNaturalGas")
+SPELLING = 0.82
+
+
+def without_brackets(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, r"\s*[\[(][^\])]*[\])]\s*", " "))
+
+
+def without_unit(c: Column) -> Column:
+    """A roman number at the end goes."""
+    return F.trim(F.regexp_replace(c, r"(?i)\s*-\s*(?:I|II|III)\s*$", ""))
+
+
+def _acronym(c: Column) -> Column:
+    words = F.regexp_extract_all(F.lower(without_brackets(c)), F.lit("([a-z0-9]+)"))
+    return F.array_join(F.transform(F.filter(words, lambda w: ~w.isin(*IGNORED)), lambda w: F.substring(w, 1, 1)), "")
+
+
 def agency_category(a: Column, b: Column) -> Column:
-    """Formatting only, shortening, or another agency (first rules of E16)."""
-    compact = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
-    return F.when(compact(a) == compact(b), "formatting").when(compact(a).contains(compact(b)) | compact(b).contains(compact(a)), "abbreviation").otherwise("genuine")
+    """Six rules in order: formatting, abbreviation or acronym, group heading, spelling, another agency."""
+    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    x, y = compact(a), compact(b)
+    both = lambda f: compact(f(a)) == compact(f(b))
+    given = F.transform(F.regexp_extract_all(F.concat_ws(" ", a, b), F.lit(r"[\[(]([A-Za-z0-9/-]{2,})[\])]")), lambda t: F.lower(t))
+    initials = F.filter(F.array(_acronym(a), _acronym(b)), lambda t: t != "")
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"))
+    starts = F.exists(initials, lambda t: (F.length(t) >= 3) & (x.startswith(t) | y.startswith(t)))
+    group = F.array_contains(F.concat(words(a), words(b)), "cil") & F.arrays_overlap(words(a), words(b))
+    longer = compact(F.when(F.length(b) > F.length(a), b).otherwise(a))
+    known = (x.isin(*SHORT) | y.isin(*SHORT)) & F.exists(F.array(*map(F.lit, SPELLED)), lambda t: F.contains(longer, t))
+    shorter = both(without_brackets) | both(lambda c: without_unit(without_brackets(c))) | F.arrays_overlap(F.concat(given, initials), F.array(x, y)) | starts | group | known
+    heading = lambda c: c.startswith("ministry") | c.startswith("department")
+    return (F.when(x == y, "WHITESPACE_PUNCTUATION_CASING_DIFFERENCES").when(shorter, "ABBREVIATION_ACRONYM_DIFFERENCES")
+            .when((heading(x) != heading(y)) | a.isin(*HEADINGS), "LIKELY_EXTRACTION_OR_GROUP_HEADING_PROPAGATION_ISSUE").when(gestalt(x, y) >= SPELLING, "APPARENT_SOURCE_SPELLING_CHANGES").otherwise("GENUINE_DIFFERENT_AGENCY_NAMES"))
+
+
+def name_change(a: Column, b: Column) -> Column:
+    """Whether only blanks, signs or case changed."""
+    return F.when(compact(a) == compact(b), "SUPERFICIAL_ONLY").otherwise("SUBSTANTIVE_TEXT_CHANGE")
+
+
+def with_raw_cells(found: DataFrame, panel: DataFrame, raw: DataFrame) -> DataFrame:
+    """Events with the raw cells of both months beside them, found by month, page and row."""
+    where = panel.select("project_code", "report_month", "source_page", "source_row_number")
+    cells = raw.select(F.col("source_file").alias("report_month"), "source_page", F.col("raw_sequence").alias("source_row_number"), "cells")
+    of = where.join(cells, ["report_month", "source_page", "source_row_number"], "left").select("project_code", "report_month", "cells")
+    side = lambda month, name: of.select("project_code", F.col("report_month").alias(month), F.col("cells").alias(name))
+    return found.join(side("month_a", "previous_raw_cells"), ["project_code", "month_a"], "left").join(side("month_b", "current_raw_cells"), ["project_code", "month_b"], "left")
 
 
 def events(paired: DataFrame) -> DataFrame:
@@ -60,7 +110,7 @@ def events(paired: DataFrame) -> DataFrame:
     spent, done = drop("cumulative_expenditure"), drop("physical_progress")
     band = F.when(done <= 1, "0-1").when(done <= 5, "1-5").when(done <= 20, "5-20").otherwise("over 20")
     found = [
-        one("agency_changed", _differs("agency"), agency_category(F.col("a_agency"), F.col("b_agency"))), one("project_name_changed", _differs("project_name"), F.concat_ws(" -> ", "a_project_name", "b_project_name")),
+        one("agency_changed", _differs("agency"), agency_category(F.col("a_agency"), F.col("b_agency"))), one("project_name_changed", _differs("project_name"), name_change(F.col("a_project_name"), F.col("b_project_name")), F.round(gestalt(compact(F.col("a_project_name")), compact(F.col("b_project_name"))), 6)),
         one("state_changed", _differs("state"), F.concat_ws(" -> ", "a_state", "b_state")), one("expenditure_decreased", spent > 0, F.when((F.col("a_cumulative_expenditure") > 0) & (F.col("b_cumulative_expenditure") == 0), "positive_to_zero").otherwise("other"), spent),
         one("progress_decreased", done > 0, band, done), one("revised_cost_decreased", drop("revised_cost") > 0, F.lit(""), drop("revised_cost")),
     ]
@@ -75,10 +125,15 @@ def flag_rates(panel: DataFrame, flagged: Column, dims: tuple[str, ...]) -> Data
 
 
 def two_months(panel: DataFrame, first: str, second: str, flagged: Column) -> DataFrame:
-    """Codes flagged in both months, only the first, only the second."""
+    """Codes flagged in both months, only the first, only the second; ages in months of flagged rows that have begun."""
     two = panel.where(F.col("report_month").isin(first, second)).withColumn("_f", F.coalesce(flagged, F.lit(False)))
-    per = two.groupBy("project_code").agg(F.bool_or(F.col("_f") & (F.col("report_month") == first)).alias("a"), F.bool_or(F.col("_f") & (F.col("report_month") == second)).alias("b"))
-    return per.agg(count_if(F.col("a") & F.col("b")).alias("both"), count_if(F.col("a") & ~F.col("b")).alias("first_only"), count_if(~F.col("a") & F.col("b")).alias("second_only"), count_if(F.col("a") | F.col("b")).alias("unique_projects"))
+    age = F.when(F.col("_f"), months_between("start_date", "report_month"))
+    at = lambda m: F.bool_or(F.col("_f") & (F.col("report_month") == m))
+    per = two.withColumn("_age", F.when(age >= 0, age)).groupBy("project_code").agg(at(first).alias("a"), at(second).alias("b"), F.collect_list("_age").alias("ages"))  # two at most
+    long = per.select("*", F.explode_outer("ages").alias("age"), F.row_number().over(Window.partitionBy("project_code").orderBy(F.lit(1))).alias("nth"))
+    one = F.col("nth") == 1
+    return long.agg(count_if(one & F.col("a") & F.col("b")).alias("both"), count_if(one & F.col("a") & ~F.col("b")).alias("first_only"), count_if(one & ~F.col("a") & F.col("b")).alias("second_only"), count_if(one & (F.col("a") | F.col("b"))).alias("unique_projects"),
+                    F.min("age").cast("long").alias("age_min"), F.median("age").alias("age_median"), F.round(F.avg("age"), 2).alias("age_mean"), F.max("age").cast("long").alias("age_max"))
 
 
 def depth(panel: DataFrame, *at_least: int) -> DataFrame:

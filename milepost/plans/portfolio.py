@@ -69,7 +69,7 @@ def _top5(s, d, dim):
 
 
 def _page(s, d):
-    p = op.page_of(panel(s, d), op.Scope(sector="BRASS"), "00", "cumulative_expenditure", True, 3, 25)
+    p = op.page_of(panel(s, d), op.Scope(sector="AR"), "00", "cumulative_expenditure", True, 3, 25)
     return p.select("project_code", "report_month", F.col("cumulative_expenditure").cast("double").alias("cumulative_expenditure"))
 
 
@@ -98,7 +98,7 @@ ENTRIES = [
       count(*) FILTER (WHERE revised_cost > original_cost) AS overrun_count, CAST(sum(revised_cost - original_cost) FILTER (WHERE revised_cost > original_cost) AS DOUBLE) AS escalation_total FROM near) SELECT *, round(spent_total / nullif(original_total, 0), 4) AS spent_to_original, round(spent_total / nullif(revised_total, 0), 4) AS spent_to_revised FROM f"""),
     ("n09_progress", lambda s, d: op.progress(panel(s, d), SCOPE), f"{BASE} SELECT count(physical_progress) AS reporting, count(*) - count(physical_progress) AS missing, round(count(physical_progress)::DOUBLE / count(*), 4) AS coverage, {M('physical_progress')} AS mean, CAST(min(physical_progress) AS DOUBLE) AS min, CAST(max(physical_progress) AS DOUBLE) AS max, " + ", ".join(f"round(quantile_cont(CAST(physical_progress AS DOUBLE), {p}), 2) AS {n}" for n, p in (("p10", 0.1), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9))) + " FROM seen"),
     ("n09_progress_by_sector", lambda s, d: op.progress_by(panel(s, d), SCOPE), f"{BASE} SELECT sector, count(*) AS observations, count(physical_progress) AS reporting, {M('physical_progress')} AS mean FROM seen GROUP BY 1"),
-    ("n12_page", _page, f"{ONLY} SELECT project_code, report_month, CAST(cumulative_expenditure AS DOUBLE) AS cumulative_expenditure FROM panel WHERE sector ILIKE '%BRASS%' AND (project_code ILIKE '%00%' OR project_name ILIKE '%00%' OR agency ILIKE '%00%') ORDER BY panel.cumulative_expenditure DESC NULLS LAST, project_code, report_month LIMIT 25 OFFSET 50"),
+    ("n12_page", _page, f"{ONLY} SELECT project_code, report_month, CAST(cumulative_expenditure AS DOUBLE) AS cumulative_expenditure FROM panel WHERE sector ILIKE '%AR%' AND (project_code ILIKE '%00%' OR project_name ILIKE '%00%' OR agency ILIKE '%00%') ORDER BY panel.cumulative_expenditure DESC NULLS LAST, project_code, report_month LIMIT 25 OFFSET 50"),
     ("n13_options", lambda s, d: op.options(panel(s, d)), f"{ONLY} SELECT DISTINCT * FROM (SELECT 'agency' AS dimension, agency AS value FROM panel UNION ALL SELECT 'sector', sector FROM panel UNION ALL SELECT 'state', state FROM panel UNION ALL SELECT 'report_month', report_month FROM panel) WHERE value <> ''"),
     ("n14_quick_search", lambda s, d: op.quick_search(panel(s, d), "brand#1", 15), f"{ONLY} SELECT project_code, project_name, agency, max(report_month) AS latest_month FROM panel WHERE project_code ILIKE '%brand#1%' OR project_name ILIKE '%brand#1%' OR agency ILIKE '%brand#1%' GROUP BY 1, 2, 3 ORDER BY 4 DESC, 1, 2, 3 LIMIT 15"),
     ("n15_trajectory", lambda s, d: panel(s, d).where("project_code in ('000011', 'N00000011')").select("project_code", "report_month", F.col("cumulative_expenditure").cast("double").alias("cumulative_expenditure"), F.col("physical_progress").cast("double").alias("physical_progress")), f"{ONLY} SELECT project_code, report_month, CAST(cumulative_expenditure AS DOUBLE) AS cumulative_expenditure, CAST(physical_progress AS DOUBLE) AS physical_progress FROM panel WHERE project_code IN ('000011', 'N00000011')"),

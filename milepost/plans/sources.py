@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..sources import tables as io
 from ..sources.store import folder
 from ..streaming.append import append_new_months
-from .risk import RISK, WITH, contrib, risk
+from .risk import CONTRIB, RISK, contrib, risk
 from .surrogate import PANEL_SQL, panel
 
 ONLY = f"WITH {PANEL_SQL}"
@@ -50,11 +50,65 @@ def _streamed(s, d):
     return s.read.schema("project_code string, report_month string, mi int").parquet(target)
 
 
+def _discovered(s, d):
+    """Monthly report folders with one file each and a file to leave out; what is found, by year."""
+    path = folder(s, "reports")
+    p = panel(s, d).select("report_month", F.substring("report_month", 1, 4).alias("year"), F.concat_ws(",", "project_code", "agency").alias("value"))
+    p.repartition("report_month").write.partitionBy("year", "report_month").text(path)
+    found = io.discovered(s, path, "part-*", [])
+    return found.select(F.regexp_extract("folder", "report_month=([0-9-]+)", 1).alias("report_month")).groupBy("report_month").agg((F.count(F.lit(1)) > 0).alias("found"))
+
+
+def _written(s, d):
+    """Doubles with 15 digits and null as nothing, as the file's text says."""
+    path = folder(s, "fixed")
+    p = panel(s, d).select("project_code", "report_month", (F.col("cumulative_expenditure").cast("double") / 3).alias("third"), F.col("state").alias("state"), "agency")
+    io.write_csv(p, path, ["project_code", "third", "state"])
+    return s.read.text(path).where("value not like 'project_code%'").select(F.col("value").alias("line"))
+
+
+def _documents(s, d):
+    """One JSON document for each project with its months inside, read back."""
+    path = folder(s, "json")
+    io.write_json(panel(s, d).select("project_code", "report_month", "state"), path, "project_code")
+    back = s.read.schema("project_code string, rows array<struct<report_month:string,state:string>>").json(path)
+    return back.select("project_code", F.size("rows").cast("long").alias("months"), F.col("rows")[0]["report_month"].alias("first"), F.size(F.filter("rows", lambda r: r["state"].isNull())).cast("long").alias("without_state"))
+
+
+def _gates(s, d):
+    """Months against a contract that was made of them: every fifth has another row count, every seventh other content, one is missing."""
+    p = panel(s, d)
+    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("project_code", "agency", "original_cost")]), 256)
+    found = p.groupBy("report_month").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ""), 256).alias("sha256"), F.count(F.lit(1)).alias("n_rows"), F.max("mi").alias("mi"))
+    contract = found.withColumn("n_rows", F.when(F.col("mi") % 5 == 0, F.col("n_rows") + 1).otherwise(F.col("n_rows"))).withColumn("sha256", F.when(F.col("mi") % 7 == 0, F.lit("0")).otherwise(F.col("sha256")))
+    return io.gate(found.where("mi % 11 <> 0").drop("mi"), contract.drop("mi"), "report_month")
+
+
+def _contents(s, d):
+    """SHA-256 of written months: files of equal rows have equal digests, two copies of everything."""
+    path = folder(s, "copies")
+    p = panel(s, d).where("regime = 'LEGACY'").select(F.concat_ws("|", "report_month", "project_code").alias("value"), "report_month")
+    for copy in ("a", "b"):
+        p.repartition("report_month").sortWithinPartitions("value").write.partitionBy("report_month").text(f"{path}/{copy}")
+    return io.contents(s, path).groupBy("sha256").agg(F.count(F.lit(1)).alias("copies")).groupBy("copies").agg(F.count(F.lit(1)).alias("months"))
+
+
+def _read_star(s, d):
+    """The star tables written with a manifest, read back under its check, and joined."""
+    path = folder(s, "star")
+    manifest = io.write_star(io.star(risk(s, d), contrib(s, d)), path)
+    return _joined(io.read_star(s, path, manifest))
+
+
 def _star(s, d):
-    t = io.star(risk(s, d), contrib(s, d))
+    return _joined(io.star(risk(s, d), contrib(s, d)))
+
+
+def _joined(t):
     return t["contributors"].join(t["risk_records"].select("record_id", "project_code", "report_month"), "record_id").join(t["feature_catalog"], "feature_id").groupBy("project_code", "report_month").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("contribution"), 6).alias("total"))
 
 
+STAR = f"{CONTRIB}, {RISK} SELECT project_code, report_month, count(*) AS n, round(sum(contribution), 6) AS total FROM long JOIN risk USING (project_code, report_month, regime) GROUP BY 1, 2"
 ENTRIES = [
     ("a01_csv", lambda s, d: _csv(s, d).select("project_code", "report_month", "agency", "physical_progress"), f"{ONLY} SELECT {KEY}, agency, CAST(physical_progress AS VARCHAR) AS physical_progress FROM panel"),
     ("a02_typed", lambda s, d: io.typed(_csv(s, d), {"cumulative_expenditure": "double", "physical_progress": "double"}).select("project_code", "report_month", "cumulative_expenditure", "physical_progress"), f"{ONLY} SELECT {KEY}, CAST(cumulative_expenditure AS DOUBLE) AS cumulative_expenditure, CAST(physical_progress AS DOUBLE) AS physical_progress FROM panel"),
@@ -64,5 +118,10 @@ ENTRIES = [
     ("a09_keyed_append", lambda s, d: (lambda p: io.appended(p.where("mi % 3 = 0"), p.where("mi % 2 = 0").withColumn("agency", F.lit("new")), "project_code", "report_month"))(panel(s, d).select("project_code", "report_month", "mi", "agency")).drop("mi"), f"{ONLY} SELECT {KEY}, CASE WHEN mi % 3 = 0 THEN agency ELSE 'new' END AS agency FROM panel WHERE mi % 3 = 0 OR mi % 2 = 0"),
     ("a09_streamed_append", _streamed, f"{ONLY} SELECT {KEY}, mi FROM panel"),
     ("a10_fingerprint", lambda s, d: (lambda p: io.fingerprint(p).alias("a").join(io.fingerprint(p.repartition(7)).alias("b"), "n_rows").select("n_rows", ((F.col("a.x") == F.col("b.x")) & (F.col("a.s") == F.col("b.s"))).alias("same")))(panel(s, d)), f"{ONLY} SELECT count(*) AS n_rows, true AS same FROM panel"),
-    ("a11_star_tables", _star, None),
+    ("a04_discovered", _discovered, f"{ONLY} SELECT report_month, true AS found FROM panel GROUP BY 1"),
+    ("a05_fixed_csv", _written, f"{ONLY} SELECT project_code || ',' || printf('%.15g', CAST(cumulative_expenditure AS DOUBLE) / 3) || ',' || coalesce(state, '') AS line FROM panel"),
+    ("a06_json_documents", _documents, f"{ONLY} SELECT project_code, count(*) AS months, min(report_month) AS first, count(*) FILTER (WHERE state IS NULL) AS without_state FROM panel GROUP BY 1"),
+    ("a10_gates", _gates, f"{ONLY} SELECT report_month, CASE WHEN max(mi) % 11 = 0 THEN 'MISSING' WHEN max(mi) % 7 = 0 THEN 'CONTENT_DIFFERS' WHEN max(mi) % 5 = 0 THEN 'ROW_COUNT_DIFFERS' ELSE 'ACCEPTED' END AS status FROM panel GROUP BY 1"),
+    ("a10_contents", _contents, f"{ONLY} SELECT 2::BIGINT AS copies, count(DISTINCT report_month) AS months FROM panel WHERE regime = 'LEGACY'"),
+    ("a11_star_tables", _star, STAR), ("a12_read_star", _read_star, STAR),
 ]

@@ -60,9 +60,9 @@ def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     spent = F.when((rn <= 2) | ((ent % 11 == 0) & (mi < index_of("2000-01"))), F.lit(0).cast("decimal(28,2)")).when(rn % 9 == 0, F.col("prev_cum")).otherwise(F.col("cum"))
     return c.select(
         F.when(modern, F.lpad(ent.cast("string"), 6, "0")).otherwise(F.concat(F.lit("N"), F.lpad(ent.cast("string"), 8, "0"))).alias("project_code"),
-        month_text("mi").alias("report_month"), F.col("p_name").alias("project_name"),
+        month_text("mi").alias("report_month"), F.when(rn % 19 == 0, F.upper("p_name")).when(rn % 23 == 0, F.concat("p_name", F.lit(" PHASE 2"))).otherwise(F.col("p_name")).alias("project_name"),
         F.when(rn % 17 == 0, F.upper("p_brand")).otherwise(F.col("p_brand")).alias("agency"), F.when(modern, F.col("r_name")).alias("ministry"), F.col("p_type").alias("sector"),
-        F.when(ent % 97 != 0, F.col("n_name")).alias("state"),
+        F.when(ent % 97 != 0, F.when((ent % 41 == 0) & (rn % 7 == 0), F.col("r_name")).otherwise(F.col("n_name"))).alias("state"),
         text_or_null(F.when(ent % 50 != 0, F.col("m0") - F.col("sk") % 24)).alias("approval_date"),
         text_or_null(F.when(mi >= index_of("1999-02"), F.col("m0"))).alias("start_date"),
         text_or_null(oc).alias("original_completion_date"),
@@ -70,7 +70,7 @@ def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
         cost.cast("decimal(14,2)").alias("original_cost"),
         F.when(F.col("cr") >= 2, (cost * share / 100).cast("decimal(14,2)")).alias("revised_cost"),
         spent.cast("decimal(14,2)").alias("cumulative_expenditure"),
-        F.when((mi >= index_of("1997-06")) & (rn % 13 != 0), F.least(F.lit(101), F.col("cq").cast("decimal(12,2)") / 25).cast("decimal(6,2)")).alias("physical_progress"),
+        F.when((mi >= index_of("1997-06")) & (rn % 13 != 0), F.when((ent % 37 == 0) & (rn % 6 == 0), F.lit(0).cast("decimal(6,2)")).otherwise((F.least(F.lit(101), F.col("cq").cast("decimal(12,2)") / 25) - F.when(rn % 10 == 3, 3).otherwise(0)).cast("decimal(6,2)"))).alias("physical_progress"),
         mi.cast("int").alias("mi"), "segment", "regime", ent.alias("ent"))
 
 
@@ -93,8 +93,8 @@ seg AS (SELECT *, CASE WHEN mi BETWEEN 1995*12 AND 1996*12+10 THEN 'SEGMENT_1' W
   mi >= 1999*12 AS modern FROM run),
 kept AS (SELECT *, lag(cum) OVER (PARTITION BY ent ORDER BY mi) AS prev_cum FROM seg WHERE segment IS NOT NULL AND (ent % 4 <> 0 OR mi <= m0+40+sk%24)),
 panel AS (SELECT CASE WHEN modern THEN lpad(CAST(ent AS VARCHAR),6,'0') ELSE 'N' || lpad(CAST(ent AS VARCHAR),8,'0') END AS project_code,
-  printf('%04d-%02d', mi//12, mi%12+1) AS report_month, pn.p_name AS project_name, CASE WHEN rn%17=0 THEN upper(pt.p_brand) ELSE pt.p_brand END AS agency,
-  CASE WHEN modern THEN r_name END AS ministry, pt.p_type AS sector, CASE WHEN ent%97<>0 THEN n_name END AS state,
+  printf('%04d-%02d', mi//12, mi%12+1) AS report_month, CASE WHEN rn%19=0 THEN upper(pn.p_name) WHEN rn%23=0 THEN pn.p_name || ' PHASE 2' ELSE pn.p_name END AS project_name, CASE WHEN rn%17=0 THEN upper(pt.p_brand) ELSE pt.p_brand END AS agency,
+  CASE WHEN modern THEN r_name END AS ministry, pt.p_type AS sector, CASE WHEN ent%97<>0 THEN CASE WHEN ent%41=0 AND rn%7=0 THEN r_name ELSE n_name END END AS state,
   CASE WHEN ent%50<>0 THEN printf('%04d-%02d', (m0-sk%24)//12, (m0-sk%24)%12+1) END AS approval_date,
   CASE WHEN mi >= 1999*12+1 THEN printf('%04d-%02d', m0//12, m0%12+1) END AS start_date,
   printf('%04d-%02d', (m0+24+(sk+7*ln)%48)//12, (m0+24+(sk+7*ln)%48)%12+1) AS original_completion_date,
@@ -102,7 +102,7 @@ panel AS (SELECT CASE WHEN modern THEN lpad(CAST(ent AS VARCHAR),6,'0') ELSE 'N'
   CAST(30000*(10+(37*sk+101*ln)%30) AS DECIMAL(14,2)) AS original_cost,
   CASE WHEN cr >= 2 THEN CAST(CAST(300*(10+(37*sk+101*ln)%30)*(100+5*(cr//2)-CASE WHEN rn%11=0 THEN 8 ELSE 0 END) AS BIGINT) AS DECIMAL(14,2)) END AS revised_cost,
   CAST(CASE WHEN rn <= 2 OR (ent%11=0 AND mi < 2000*12) THEN 0 WHEN rn%9=0 THEN prev_cum ELSE cum END AS DECIMAL(14,2)) AS cumulative_expenditure,
-  CASE WHEN mi >= 1997*12+5 AND rn%13<>0 THEN CAST(least(101, CAST(cq*4 AS DECIMAL(18,2))/100) AS DECIMAL(6,2)) END AS physical_progress,
+  CASE WHEN mi >= 1997*12+5 AND rn%13<>0 THEN CASE WHEN ent%37=0 AND rn%6=0 THEN 0 ELSE CAST(least(101, CAST(cq*4 AS DECIMAL(18,2))/100) - CASE WHEN rn%10=3 THEN 3 ELSE 0 END AS DECIMAL(6,2)) END END AS physical_progress,
   CAST(mi AS INT) AS mi, segment, CASE WHEN modern THEN 'MODERN' ELSE 'LEGACY' END AS regime, ent
   FROM kept LEFT JOIN part pt ON pt.p_partkey = kept.pk LEFT JOIN part pn ON pn.p_partkey = kept.pk0
   LEFT JOIN supplier ON s_suppkey = kept.sk LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey)"""

@@ -51,8 +51,13 @@ _cl = lambda c: f"CASE WHEN a_{c} IS NULL OR b_{c} IS NULL THEN 'missing' WHEN b
 _dr = lambda c: f"CAST(a_{c} - b_{c} AS DOUBLE)"
 _co = lambda c: f"regexp_replace(lower({c}), '[^a-z0-9]', '', 'g')"
 _sq = lambda c: f"trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g'))"
-EVENTS = PAIR + f""", ev AS (SELECT project_code, month_a, month_b, 'agency_changed' AS rule, CASE WHEN {_co('a_agency')} = {_co('b_agency')} THEN 'formatting' WHEN contains({_co('a_agency')}, {_co('b_agency')}) OR contains({_co('b_agency')}, {_co('a_agency')}) THEN 'abbreviation' ELSE 'genuine' END AS detail, NULL::DOUBLE AS size FROM pr WHERE a_agency IS DISTINCT FROM b_agency
-UNION ALL SELECT project_code, month_a, month_b, 'project_name_changed', concat_ws(' -> ', a_project_name, b_project_name), NULL FROM pr WHERE a_project_name IS DISTINCT FROM b_project_name
+# Agencies are `Brand#` and one or two digits, so that shared digits give the matching blocks; of names that differ only a suffix or case does
+_dig = lambda c: f"string_split(substring({_co(c)}, 6), '')"
+_like = f"2.0 * (5 + CASE WHEN list_has_any({_dig('a_agency')}, {_dig('b_agency')}) THEN 1 ELSE 0 END) / (length({_co('a_agency')}) + length({_co('b_agency')}))"
+AGENCY = f"CASE WHEN {_co('a_agency')} = {_co('b_agency')} THEN 'WHITESPACE_PUNCTUATION_CASING_DIFFERENCES' WHEN {_like} >= 0.82 THEN 'APPARENT_SOURCE_SPELLING_CHANGES' ELSE 'GENUINE_DIFFERENT_AGENCY_NAMES' END"
+_shared = f"least(length({_co('a_project_name')}), length({_co('b_project_name')}))"
+EVENTS = PAIR + f""", ev AS (SELECT project_code, month_a, month_b, 'agency_changed' AS rule, {AGENCY} AS detail, NULL::DOUBLE AS size FROM pr WHERE a_agency IS DISTINCT FROM b_agency
+UNION ALL SELECT project_code, month_a, month_b, 'project_name_changed', CASE WHEN {_co('a_project_name')} = {_co('b_project_name')} THEN 'SUPERFICIAL_ONLY' ELSE 'SUBSTANTIVE_TEXT_CHANGE' END, round(2.0 * {_shared} / (length({_co('a_project_name')}) + length({_co('b_project_name')})), 6) FROM pr WHERE a_project_name IS DISTINCT FROM b_project_name
 UNION ALL SELECT project_code, month_a, month_b, 'state_changed', concat_ws(' -> ', a_state, b_state), NULL FROM pr WHERE a_state IS DISTINCT FROM b_state
 UNION ALL SELECT project_code, month_a, month_b, 'expenditure_decreased', CASE WHEN a_cumulative_expenditure > 0 AND b_cumulative_expenditure = 0 THEN 'positive_to_zero' ELSE 'other' END, {_dr('cumulative_expenditure')} FROM pr WHERE a_cumulative_expenditure > b_cumulative_expenditure
 UNION ALL SELECT project_code, month_a, month_b, 'progress_decreased', CASE WHEN {_dr('physical_progress')} <= 1 THEN '0-1' WHEN {_dr('physical_progress')} <= 5 THEN '1-5' WHEN {_dr('physical_progress')} <= 20 THEN '5-20' ELSE 'over 20' END, {_dr('physical_progress')} FROM pr WHERE a_physical_progress > b_physical_progress
@@ -128,8 +133,10 @@ ENTRIES = [
     ("e10_agency_changed", *_event("agency_changed")), ("e11_name_changed", *_event("project_name_changed")), ("e12_state_changed", *_event("state_changed")), ("e13_expenditure_decreased", *_event("expenditure_decreased")), ("e14_progress_decreased", *_event("progress_decreased")), ("e15_revised_cost_decreased", *_event("revised_cost_decreased")),
     ("e16_agency_categories", lambda s, d: ev(s, d).where("rule = 'agency_changed'").groupBy(F.col("detail").alias("category")).agg(F.count(F.lit(1)).alias("n")), f"{EVENTS} SELECT detail AS category, count(*) AS n FROM ev WHERE rule = 'agency_changed' GROUP BY 1"),
     ("e17_top_agency_pairs", lambda s, d: lg.pairs(panel(s, d)).where("a_agency <> b_agency").groupBy("a_agency", "b_agency").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "a_agency", "b_agency").limit(20), f"{PAIR} SELECT a_agency, b_agency, count(*) AS n FROM pr WHERE a_agency <> b_agency GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 20"),
-    ("e18_rule_matrix", lambda s, d: ev(s, d).groupBy("month_a").pivot("rule", ["agency_changed", "expenditure_decreased", "progress_decreased", "revised_cost_decreased"]).count().na.fill(0), f"{EVENTS} SELECT month_a, " + ", ".join(f"count(*) FILTER (WHERE rule = '{r}') AS {r}" for r in ("agency_changed", "expenditure_decreased", "progress_decreased", "revised_cost_decreased")) + " FROM ev GROUP BY 1"),
+    ("e18_rule_matrix", lambda s, d: ev(s, d).groupBy("month_a").pivot("rule", ["agency_changed", "expenditure_decreased", "progress_decreased", "project_name_changed", "revised_cost_decreased", "state_changed"]).count().na.fill(0), f"{EVENTS} SELECT month_a, " + ", ".join(f"count(*) FILTER (WHERE rule = '{r}') AS {r}" for r in ("agency_changed", "expenditure_decreased", "progress_decreased", "project_name_changed", "revised_cost_decreased", "state_changed")) + " FROM ev GROUP BY 1"),
     ("e20_flag_rates", lambda s, d: lg.flag_rates(panel(s, d), idle(), DIMS), RATES), ("e21_idle_transitions", _e21, f"{PAIR} SELECT month_a, {_st('b_cumulative_expenditure')} AS next_state, {_cl('physical_progress')} AS progress, count(*) AS n FROM pr WHERE a_cumulative_expenditure = 0 AND a_physical_progress > 0 GROUP BY 1, 2, 3"),
-    ("e22_flagged_in_two_months", lambda s, d: lg.two_months(panel(s, d), "1998-03", "1998-04", idle()), f"{ONLY}, q AS (SELECT project_code, bool_or({_idle} AND report_month = '1998-03') AS a, bool_or({_idle} AND report_month = '1998-04') AS b FROM (SELECT * FROM panel WHERE report_month IN ('1998-03', '1998-04')) GROUP BY 1), z AS (SELECT coalesce(a, false) AS a, coalesce(b, false) AS b FROM q) SELECT count(*) FILTER (WHERE a AND b) AS both, count(*) FILTER (WHERE a AND NOT b) AS first_only, count(*) FILTER (WHERE b AND NOT a) AS second_only, count(*) FILTER (WHERE a OR b) AS unique_projects FROM z"),
+    ("e22_flagged_in_two_months", lambda s, d: lg.two_months(panel(s, d), "1999-06", "1999-07", idle()),
+     f"""{ONLY}, t AS (SELECT *, coalesce({_idle}, false) AS f, mi - (CAST(start_date[1:4] AS INT) * 12 + CAST(start_date[6:7] AS INT) - 1) AS age FROM panel WHERE report_month IN ('1999-06', '1999-07')), z AS (SELECT project_code, bool_or(f AND report_month = '1999-06') AS a, bool_or(f AND report_month = '1999-07') AS b FROM t GROUP BY 1)
+      SELECT * FROM (SELECT count(*) FILTER (WHERE a AND b) AS both, count(*) FILTER (WHERE a AND NOT b) AS first_only, count(*) FILTER (WHERE b AND NOT a) AS second_only, count(*) FILTER (WHERE a OR b) AS unique_projects FROM z), (SELECT CAST(min(age) AS BIGINT) AS age_min, CAST(median(age) AS DOUBLE) AS age_median, round(avg(age), 2) AS age_mean, CAST(max(age) AS BIGINT) AS age_max FROM t WHERE f AND age >= 0)"""),
     ("e23_increases_by_agency", lambda s, d: lg.pairs(panel(s, d)).where("a_cumulative_expenditure = 0 and b_cumulative_expenditure > 0").groupBy("a_agency").agg(F.count(F.lit(1)).alias("n")), f"{PAIR} SELECT a_agency, count(*) AS n FROM pr WHERE a_cumulative_expenditure = 0 AND b_cumulative_expenditure > 0 GROUP BY 1"),
 ]

@@ -28,12 +28,61 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 def discovered(spark: SparkSession, folder: str, pattern: str, without: list[str]) -> DataFrame:
     """Files below a folder that match, but those excluded."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    return files.select(F.col("_metadata.file_name").alias("file_name"), "length").where(~F.col("file_name").isin(without))
+    return files.select(F.col("_metadata.file_name").alias("file_name"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), "length").where(~F.col("file_name").isin(without))
+
+
+def decimal_text(c: Column) -> Column:
+    """A double as text with 15 significant digits and no trailing zeros."""
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.15g", c), r"(\.[0-9]*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
 
 
 def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
-    """Fixed columns in order; null as nothing."""
-    df.select(*fields).write.option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    """Fixed columns in order, doubles with 15 significant digits; null as nothing."""
+    kinds = dict(df.dtypes)
+    one = lambda c: decimal_text(F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c)
+    df.select(*map(one, fields)).write.option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+
+
+def write_json(df: DataFrame, path: str, *keys: str) -> None:
+    """JSON lines; with keys one nested document for each, its rows as an array."""
+    if keys:
+        rest = [c for c in df.columns if c not in keys]
+        df = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("rows"))
+    df.write.option("ignoreNullFields", False).json(path)
+
+
+def contents(spark: SparkSession, path: str) -> DataFrame:
+    """SHA-256 and size of every file below a folder, by name (A10)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.col("_metadata.file_name").alias("file_name"), F.sha2("content", 256).alias("sha256"), "length")
+
+
+def gate(found: DataFrame, contract: DataFrame, *keys: str) -> DataFrame:
+    """Each input of the contract with what is wrong with it: missing, other content, other row count (A10). Both sides: keys, sha256, n_rows."""
+    f = found.select(*keys, F.col("sha256").alias("f_sha256"), F.col("n_rows").alias("f_n_rows"))
+    status = F.when(F.col("f_n_rows").isNull(), "MISSING").when(F.col("sha256") != F.col("f_sha256"), "CONTENT_DIFFERS").when(F.col("n_rows") != F.col("f_n_rows"), "ROW_COUNT_DIFFERS").otherwise("ACCEPTED")
+    return contract.join(f, list(keys), "left").select(*keys, status.alias("status"))
+
+
+def read_star(spark: SparkSession, folder: str, manifest: DataFrame) -> dict[str, DataFrame]:
+    """The three tables, if each has the rows and the digest that the manifest says; else an error (A12). manifest: name, n_rows, x, s."""
+    said = {r["name"]: r for r in manifest.collect()}  # three rows
+    tables = {name: spark.read.parquet(f"{folder}/{name}") for name in said}
+    for name, table in tables.items():
+        now = fingerprint(table).first()
+        if (now["n_rows"], now["x"], now["s"]) != (said[name]["n_rows"], said[name]["x"], said[name]["s"]):
+            raise ValueError(f"{name} differs from its manifest")
+    return tables
+
+
+def write_star(tables: dict[str, DataFrame], folder: str) -> DataFrame:
+    """Write the star tables and return their manifest."""
+    out = None
+    for name, table in tables.items():
+        table.write.parquet(f"{folder}/{name}")
+        one = fingerprint(table.sparkSession.read.parquet(f"{folder}/{name}")).withColumn("name", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def loadable(df: DataFrame) -> DataFrame:
