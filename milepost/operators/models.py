@@ -1,77 +1,223 @@
-"""Model fits of the walk-forward evaluation with pyspark.ml."""
+"""Model fits of the walk-forward evaluation with pyspark.ml, bootstraps and comparisons.
+
+Folds are walked one after another on the driver, as there are a few origins; every fit, encoding and score is a Spark job
+over the fold's rows."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NUMERIC = ("n_prior_schedule_extensions", "n_prior_cost_revisions", "observed_tenure_months", "schedule_has_been_revised", "months_to_effective_schedule", "expenditure_to_original_cost_ratio", "revised_to_original_cost_ratio", "physical_progress_t")
-
-
-def matrix(train: DataFrame, rows: DataFrame) -> DataFrame:
-    """Standardised by the training rows (population deviation, 0 as 1), missing as 0 with a missing bit."""
-    scale = train.agg(*[F.avg(c).alias(f"{c}_m") for c in NUMERIC], *[F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"{c}_s") for c in NUMERIC]).withColumn("_k", F.lit(1))
-    df = rows.withColumn("_k", F.lit(1)).join(F.broadcast(scale), "_k")  # one row
-    z = lambda c: F.coalesce((F.col(c) - F.col(f"{c}_m")) / F.col(f"{c}_s"), F.lit(0.0)).alias(f"{c}_z")
-    df = df.select(*rows.columns, *[z(c) for c in NUMERIC], *[F.col(c).isNull().cast("double").alias(f"{c}_n") for c in NUMERIC])
-    return VectorAssembler(inputCols=[f"{c}_{k}" for c in NUMERIC for k in "zn"], outputCol="features").transform(df)
-
-
-def logistic(train: DataFrame, rows: DataFrame, strength: float = 1.0, balanced: bool = False) -> tuple[DataFrame, object]:
-    """rows with probability, from L2 logistic regression with C = strength; balanced weighs classes evenly."""
-    fit, n = matrix(train, train), train.count()
+CATEGORICAL = ("sector", "agency", "state")
+# The features' names and families.
+STATIC = (
+    "original_cost", "cumulative_expenditure_t", "revised_cost_t", "physical_progress_t", "project_age_months", "months_to_original_schedule", "months_to_effective_schedule", "schedule_revision_lag_months", "schedule_has_been_revised", "months_since_start",
+    "expenditure_to_original_cost_ratio", "revised_to_original_cost_ratio", "cost_has_been_revised", "state_is_missing", "approval_date_is_missing", "original_completion_date_is_missing", "revised_cost_is_present", "revised_date_is_present",
+    "physical_progress_is_present", "physical_progress_supported", "start_date_is_present", "start_date_supported",
+)
+TRAJECTORY = (
+    "exp_delta_1m", "exp_delta_3m", "past_exp_stagnant_3m", "past_progress_delta_3m", "past_progress_stagnant_3m", "n_prior_schedule_extensions", "n_prior_cost_revisions", "observed_tenure_months", "exp_delta_1m_is_supported", "exp_delta_3m_is_supported",
+    "progress_delta_3m_is_supported",
+)
+FAMILIES = {"static_at_t": (*CATEGORICAL, *STATIC), "trajectory_only": TRAJECTORY, "full_v1": (*CATEGORICAL, *STATIC, *TRAJECTORY), "numeric_only_full_v1": (*STATIC, *TRAJECTORY)}
+ALL = FAMILIES["full_v1"]
+HORIZON = 3
+#: Replicates of a bootstrap.
+REPLICATES = 1_000
+
+
+def training(rows: DataFrame, regime: str, origin: int) -> DataFrame:
+    """Labelled rows of the regime whose label window ends before the origin."""
+    return rows.where((F.col("regime") == regime) & (F.col("mi") + HORIZON < origin))
+
+
+def evaluation(rows: DataFrame, regime: str, origin: int) -> DataFrame:
+    return rows.where((F.col("regime") == regime) & (F.col("mi") == origin))
+
+
+def encoded(train: DataFrame, rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
+    """rows with the column features: categories as their share of the training rows (J05), then everything standardised by the
+    training rows, missing as 0 with a missing bit (J06)."""
+    numeric = [c for c in features if c not in CATEGORICAL]
+    n = train.count()
+    level = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("__MISSING__"))
+
+    def shares(df: DataFrame) -> DataFrame:
+        for c in features:
+            if c in CATEGORICAL:
+                seen = train.groupBy(level(c).alias(f"_{c}")).agg((F.count(F.lit(1)) / n).alias(f"{c}_share"))
+                df = df.withColumn(f"_{c}", level(c)).join(seen, f"_{c}", "left").withColumn(f"{c}_share", F.coalesce(f"{c}_share", F.lit(0.0))).drop(f"_{c}")
+        return df
+
+    named = [*numeric, *[f"{c}_share" for c in features if c in CATEGORICAL]]
+    known = shares(train)
+    scale = known.agg(*[F.avg(c).alias(f"{c}_m") for c in named], *[F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"{c}_s") for c in named]).first()  # one row
+    z = lambda c: F.coalesce((F.col(c) - F.lit(scale[f"{c}_m"])) / F.lit(scale[f"{c}_s"]), F.lit(0.0)).cast("double").alias(f"{c}_z")
+    df = shares(rows)
+    df = df.select(*rows.columns, *[z(c) for c in named], *[F.col(c).isNull().cast("double").alias(f"{c}_n") for c in numeric])
+    return VectorAssembler(inputCols=columns(features), outputCol="features").transform(df)
+
+
+def columns(features: tuple[str, ...]) -> list[str]:
+    """Names of the matrix columns, in order."""
+    numeric = [c for c in features if c not in CATEGORICAL]
+    return [*(f"{c}_z" for c in numeric), *(f"{c}_share_z" for c in features if c in CATEGORICAL), *(f"{c}_n" for c in numeric)]
+
+
+def logistic(train: DataFrame, rows: DataFrame, strength: float = 1.0, balanced: bool = False, features: tuple[str, ...] = ALL) -> tuple[DataFrame, object]:
+    """rows with score, from L2 logistic regression with C = strength; balanced weighs classes evenly."""
+    fit = encoded(train, train, features)
+    counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = sum(counts.values())
     if balanced:
-        p = train.agg(F.avg("label")).first()[0]
-        fit = fit.withColumn("w", F.when(F.col("label") == 1, 0.5 / p).otherwise(0.5 / (1 - p)))
-    model = LogisticRegression(regParam=1.0 / (strength * n), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9, **({"weightCol": "w"} if balanced else {})).fit(fit)
-    return model.transform(matrix(train, rows)).withColumn("score", vector_to_array("probability")[1]), model
-
-
-def boosted(train: DataFrame, rows: DataFrame, trees: int = 30, depth: int = 4) -> DataFrame:
-    """rows with probability, from gradient-boosted trees; missing is a value of its own far from all others."""
-    fill = lambda df: df.na.fill(-1e6, list(NUMERIC))
-    steps = Pipeline(stages=[VectorAssembler(inputCols=list(NUMERIC), outputCol="features"), GBTClassifier(maxIter=trees, maxDepth=depth, seed=42)])
-    cast = lambda df: df.select(*[F.col(c).cast("double").alias(c) if c in NUMERIC else F.col(c) for c in df.columns])
-    return steps.fit(fill(cast(train))).transform(fill(cast(rows))).withColumn("score", vector_to_array("probability")[1])
-
-
-def platt(df: DataFrame) -> DataFrame:
-    """Slope and intercept of the label on the raw logit, nearly unpenalised."""
+        fit = fit.withColumn("w", F.when(F.col("label") == 1, n / (2 * counts[1])).otherwise(n / (2 * counts[0])))
+    model = LogisticRegression(regParam=1.0 / (strength * n), elasticNetParam=0.0, standardization=False, maxIter=60, tol=1e-7, **({"weightCol": "w"} if balanced else {})).fit(fit)
+    return model.transform(encoded(train, rows, features)).withColumn("score", vector_to_array("probability")[1]), model
+
+
+def boosted(train: DataFrame, rows: DataFrame, trees: int = 300, depth: int = 5, features: tuple[str, ...] = ALL) -> DataFrame:
+    """rows with score, from gradient-boosted trees; categories by index, unseen ones a level of their own; missing numbers are a value
+    far from all others (J09)."""
+    numeric, words = [c for c in features if c not in CATEGORICAL], [c for c in features if c in CATEGORICAL]
+    ready = lambda df: df.select(*[c for c in df.columns if c not in features], *[F.coalesce(F.col(c).cast("double"), F.lit(-1e6)).alias(c) for c in numeric], *[F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("__MISSING__")).alias(c) for c in words])
+    steps = [*[StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep") for c in words], VectorAssembler(inputCols=[*numeric, *[f"{c}_i" for c in words]], outputCol="features"), GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=512, seed=42)]
+    return Pipeline(stages=steps).fit(ready(train)).transform(ready(rows)).withColumn("score", vector_to_array("probability")[1])
+
+
+def skipped(train: DataFrame, rows: DataFrame) -> list[str]:
+    """Why a fold can't be fitted."""
+    classes = {r[0] for r in train.select("label").distinct().collect()}
+    return [*(["NO_TARGET_ROWS"] if rows.isEmpty() else []), *(["NO_TRAINING_ROWS"] if not classes else []), *(["TRAINING_HAS_ONE_CLASS"] if len(classes) == 1 else [])]
+
+
+def walked(rows: DataFrame, origins: list[tuple[str, int]], score) -> DataFrame:
+    """Scores of every origin that can be fitted (none: no rows); score(train, now) gives rows with score, 0 to 1."""
+    out = rows.where("false").select("project_code", "report_month", "regime", "mi", "label", F.lit(None).cast("double").alias("score"))
+    for regime, origin in origins:
+        train, now = training(rows, regime, origin), evaluation(rows, regime, origin)
+        if not skipped(train, now):
+            out = out.unionByName(score(train, now).select("project_code", "report_month", "regime", "mi", "label", "score"))
+    return out
+
+
+def coefficients(rows: DataFrame, origins: list[tuple[str, int]], features: tuple[str, ...] = ALL) -> list[tuple[str, int, str, float]]:
+    """regime, origin, source feature, importance: absolute coefficients of its matrix columns together."""
+    out = []
+    for regime, origin in origins:
+        train, now = training(rows, regime, origin), evaluation(rows, regime, origin)
+        if skipped(train, now):
+            continue
+        model, sums = logistic(train, now, features=features)[1], dict.fromkeys(features, 0.0)
+        for name, w in zip(columns(features), model.coefficients):
+            sums[name.removesuffix("_z").removesuffix("_n").removesuffix("_share")] += abs(float(w))
+        out += [(regime, origin, k, v) for k, v in sums.items()]
+    return out
+
+
+def importance(found: DataFrame) -> DataFrame:
+    """Mean, deviation and extremes of each feature over folds, ranked."""
+    g = found.groupBy("regime", "feature").agg(F.count(F.lit(1)).alias("folds"), F.avg("importance").alias("mean"), F.stddev_pop("importance").alias("std"), F.min("importance").alias("least"), F.max("importance").alias("most"))
+    return g.withColumn("rank", F.row_number().over(Window.partitionBy("regime").orderBy(F.desc("mean"), "feature")).cast("long"))
+
+
+def platt(df: DataFrame, strength: float = 1e6) -> DataFrame:
+    """Slope and intercept of the label on the raw logit with C = strength."""
     x = VectorAssembler(inputCols=["logit"], outputCol="features").transform(df)
-    m = LogisticRegression(regParam=1e-6, standardization=False, maxIter=200).fit(x)
+    m = LogisticRegression(regParam=1.0 / (strength * df.count()), standardization=False, maxIter=200, tol=1e-10).fit(x)
     return df.sparkSession.createDataFrame([(float(m.coefficients[0]), float(m.intercept))], "slope double, intercept double")
 
 
-def contributions(scored: DataFrame, model: object) -> DataFrame:
-    """Coefficient times transformed value of each feature, in long form."""
-    names = [f"{c}_{k}" for c in NUMERIC for k in "zn"]
-    parts = F.array(*[F.struct(F.lit(n).alias("feature"), (F.lit(float(w)) * F.col(n)).alias("contribution")) for n, w in zip(names, model.coefficients)])
+def contributions(scored: DataFrame, model: object, features: tuple[str, ...] = ALL) -> DataFrame:
+    """Coefficient times transformed value of each matrix column, in long form."""
+    parts = F.array(*[F.struct(F.lit(n).alias("feature"), (F.lit(float(w)) * F.col(n)).alias("contribution")) for n, w in zip(columns(features), model.coefficients)])
     return scored.select("project_code", "report_month", "regime", F.lit(float(model.intercept)).alias("base"), F.explode(parts).alias("x")).select("project_code", "report_month", "regime", "base", "x.*")
 
 
-def resampled(df: DataFrame, replicates: int, cluster: str, *by: str) -> DataFrame:
-    """Cluster bootstrap: every cluster gets a Poisson(1) weight in every replicate, from a hash of both.
+def drawn(df: DataFrame, replicates: int, unit: list[str]) -> DataFrame:
+    """Bootstrap weights: in every replicate each unit (a row, a project, a month) is drawn Poisson(1) times, by a hash of both.
 
-    Weights are joined by expression, not by shuffle; all rows of a cluster share theirs."""
-    u = (F.pmod(F.xxhash64(F.col(cluster), "rep", F.lit(17)), F.lit(1_000_003)) + 0.5) / 1_000_003
-    cdf, weight, p = 0.0, F.lit(8), 0.36787944117144233
-    steps = []
+    Weights need no shuffle, and all rows of a unit share theirs."""
+    u = (F.pmod(F.xxhash64(*unit, "rep", F.lit(17)), F.lit(1_000_003)) + 0.5) / 1_000_003
+    cdf, p, weight, steps = 0.0, 0.36787944117144233, F.lit(8), []
     for k in range(8):
         cdf += p
         steps.append((cdf, k))
         p /= k + 1
     for edge, k in reversed(steps):
         weight = F.when(u < edge, F.lit(k)).otherwise(weight)
-    return df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("weight", weight).where("weight > 0")
-
-
-def interval(df: DataFrame, replicates: int, cluster: str, *by: str) -> DataFrame:
-    """95 % interval of the Brier score and of recall at 0.3 under the cluster bootstrap."""
-    d = F.col("score") - F.col("label")
-    g = resampled(df, replicates, cluster).groupBy(*by, "rep").agg((F.sum(d * d * F.col("weight")) / F.sum("weight")).alias("brier"), (F.sum(F.when((F.col("score") >= 0.3) & (F.col("label") == 1), F.col("weight")).otherwise(0)) / F.sum(F.col("label") * F.col("weight"))).alias("recall"))
-    q = lambda c: [F.round(F.percentile(c, F.lit(p)), 6).alias(f"{c}_{n}") for n, p in (("low", 0.025), ("high", 0.975))]
-    return g.groupBy(*by).agg(*q("brier"), *q("recall"))
+    return df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight.cast("double")).where("w > 0")
+
+
+METRICS = ("average_precision", "roc_auc", "precision", "recall", "f1", "brier", "mean_score", "ece")
+
+
+def weighted(df: DataFrame, *by: str) -> DataFrame:
+    """METRICS of rows with label, score and weight w per group; alerts are scores of 0.5 or more."""
+    y, p, w = F.col("label"), F.col("score"), F.col("w")
+    alert = p >= 0.5
+    bins = F.least(F.floor(p * 10), F.lit(9))
+    g = df.withColumn("_bin", bins).groupBy(*by, "score", "_bin").agg(F.sum(w).alias("n"), F.sum(w * y).alias("pos"))
+    up = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    curve = g.withColumn("alerts", F.sum("n").over(up)).withColumn("tp", F.sum("pos").over(up))
+    some = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0.0))
+    hit = lambda cond: F.sum(F.when(cond, F.col("pos")).otherwise(0.0))
+    at = p >= 0.5
+    gaps = [F.abs(F.sum(F.when(F.col("_bin") == i, F.col("n") * p - F.col("pos")).otherwise(0.0))) for i in range(10)]
+    s = curve.groupBy(*by).agg(F.sum("n").alias("N"), F.sum("pos").alias("P"), F.sum(F.col("pos") * F.col("tp") / F.col("alerts")).alias("ap"), F.sum((F.col("n") - F.col("pos")) * (F.col("tp") - F.col("pos") / 2)).alias("u"), some(at).alias("alerts"), hit(at).alias("tp"),
+                               F.sum(F.col("pos") * (1 - p) * (1 - p) + (F.col("n") - F.col("pos")) * p * p).alias("b"), F.sum(F.col("n") * p).alias("m"), sum(gaps[1:], gaps[0]).alias("gap"))
+    over = lambda a, b: a / F.when(b > 0, b)
+    none = F.when(F.col("P") > 0, F.lit(0.0))
+    return s.select(*by, over(F.col("ap"), F.col("P")).alias("average_precision"), over(F.col("u"), F.col("P") * (F.col("N") - F.col("P"))).alias("roc_auc"), F.when(F.col("alerts") > 0, over(F.col("tp"), F.col("alerts"))).otherwise(none).alias("precision"), over(F.col("tp"), F.col("P")).alias("recall"),
+                    over(2 * F.col("tp"), F.col("alerts") + F.col("P")).alias("f1"), (F.col("b") / F.col("N")).alias("brier"), (F.col("m") / F.col("N")).alias("mean_score"), (F.col("gap") / F.col("N")).alias("ece"))
+
+
+def _long(df: DataFrame, *by: str) -> DataFrame:
+    return df.select(*by, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])))
+
+
+def _limits(value: str) -> list[Column]:
+    return [F.percentile(value, F.lit(q)).alias(n) for n, q in (("ci_lower", 0.025), ("ci_upper", 0.975))]
+
+
+def interval(df: DataFrame, unit: list[str], *by: str, replicates: int = REPLICATES, strata: bool = False) -> DataFrame:
+    """Point value and 95 % interval of every metric per group.
+
+    unit: what is drawn: rows (J14), projects or months (J15). strata: positives and negatives keep their totals in each replicate (J14)."""
+    point = _long(weighted(df.withColumn("w", F.lit(1.0)), *by), *by).withColumnRenamed("value", "point")
+    draws = drawn(df, replicates, unit)
+    if strata:
+        of = Window.partitionBy(*by, "rep", "label")
+        size = df.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("_n"))
+        draws = draws.withColumn("_t", F.sum("w").over(of)).join(F.broadcast(size), [*by, "label"]).withColumn("w", F.col("w") * F.col("_n") / F.col("_t"))  # two rows for each group
+    return point.join(_long(weighted(draws, *by, "rep"), *by).groupBy(*by, "metric").agg(*_limits("value")), [*by, "metric"])
+
+
+def paired(challenger: DataFrame, reference: DataFrame, unit: list[str], *by: str, replicates: int = REPLICATES) -> DataFrame:
+    """Deltas of every metric, challenger minus reference, with the interval over draws that both share (J16). Rows must align: same keys, same labels."""
+    keys = ["project_code", "report_month"]
+    both = challenger.select(*keys, *by, "label", F.col("score").alias("a")).join(reference.select(*keys, F.col("label").alias("_label"), F.col("score").alias("b")), keys, "full")
+    bad = both.where("label is null or _label is null or label <> _label").count()
+    if bad:
+        raise ValueError(f"{bad} rows of the two models don't align")
+    two = both.select(*keys, *by, "label", F.inline(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("score")), F.struct(F.lit("b").alias("side"), F.col("b").alias("score")))))
+    delta = lambda df, *g: df.groupBy(*g, "metric").pivot("side", ["a", "b"]).agg(F.first("value")).withColumn("delta", F.col("a") - F.col("b"))
+    point = delta(_long(weighted(two.withColumn("w", F.lit(1.0)), *by, "side"), *by, "side"), *by)
+    draws = delta(_long(weighted(drawn(two, replicates, unit), *by, "side", "rep"), *by, "side", "rep"), *by, "rep").groupBy(*by, "metric").agg(*_limits("delta"))
+    return point.join(draws, [*by, "metric"]).select(*by, "metric", F.col("a").alias("challenger"), F.col("b").alias("reference"), "delta", "ci_lower", "ci_upper", ((F.col("ci_lower") > 0) | (F.col("ci_upper") < 0)).alias("significant"))
+
+
+def decided(deltas: DataFrame, *by: str) -> DataFrame:
+    """Prefer the challenger if the interval of average precision excludes 0 and the delta is positive."""
+    d = deltas.where("metric = 'average_precision'")
+    return d.select(*by, "delta", "significant", F.when(F.col("significant") & (F.col("delta") > 0), "PREFER_CHALLENGER").when(F.col("significant"), "KEEP_REFERENCE").otherwise("INCONCLUSIVE").alias("decision"))
+
+
+def weighting_effect(plain: DataFrame, balanced: DataFrame, *by: str) -> DataFrame:
+    """What weighing classes evenly changes, and how far mean scores are from the observed rate."""
+    one = lambda df, k: weighted(df.withColumn("w", F.lit(1.0)), *by).join(df.groupBy(*by).agg(F.avg("label").alias("rate")), list(by)).select(*by, *[F.col(m).alias(f"{k}_{m}") for m in ("average_precision", "roc_auc", "brier", "ece")], F.abs(F.col("mean_score") - F.col("rate")).alias(f"{k}_gap"))
+    both = one(plain, "plain").join(one(balanced, "balanced"), list(by))
+    return both.select("*", *[(F.col(f"balanced_{m}") - F.col(f"plain_{m}")).alias(f"{m}_change") for m in ("average_precision", "roc_auc", "brier", "ece", "gap")])

@@ -9,6 +9,7 @@ from ..operators import labels
 from ..operators import metrics as op
 from ..sources.store import kept
 from .labels import LABEL, PRIOR
+from .risk import features
 from .surrogate import PANEL_SQL, panel
 
 

@@ -1,4 +1,4 @@
-"""Queries of model fits; their results aren't expressible in SQL."""
+"""Queries of model fits and of bootstraps. Results of fits aren't expressible in SQL; tests/test_models.py checks the parts."""
 
 from __future__ import annotations
 
@@ -6,49 +6,77 @@ from pyspark.sql import functions as F
 
 from ..operators import labels
 from ..operators import models as op
-from .metrics import scored
+from ..sources.store import kept
+from .metrics import ORIGINS
+from .risk import features
 from .surrogate import panel
 
-ORIGIN = 2000 * 12 + 8
+#: Boosted trees of a fold; 300 of them, the operator's default, take minutes for each fold.
+TREES = 20
+#: The last three origins of either regime, for what is fitted again per fold.
+RECENT = [x for regime in ("LEGACY", "MODERN") for x in sorted(o for o in ORIGINS if o[0] == regime)[-3:]]
+LAST = [max(x for x in ORIGINS if x[0] == regime) for regime in ("LEGACY", "MODERN")]
 
 
 def rows(s, d):
-    """Labelled MODERN rows with their features; train before the embargoed origin, evaluate from it on."""
+    """Labelled rows of both regimes with the 36 features."""
     lab = labels.labelled(panel(s, d)).where("label is not null").select("project_code", "report_month", "label")
-    x = labels.features(panel(s, d)).where("regime = 'MODERN'").join(lab, ["project_code", "report_month"])
-    return x.where(F.col("mi") + 3 < ORIGIN), x.where(F.col("mi") >= ORIGIN)
+    return kept(s, d, "labelled-features", lambda: features(s, d).join(lab, ["project_code", "report_month"]))
 
 
-def _scores(df):
-    return df.select("project_code", "report_month", "label", F.round("score", 8).alias("score"))
+def _logistic(s, d, balanced=False):
+    """Scores of every fold's evaluation month."""
+    return kept(s, d, f"logistic-{balanced}", lambda: op.walked(rows(s, d), ORIGINS, lambda a, b: op.logistic(a, b, balanced=balanced)[0]))
 
 
-def _ci(s, d, cluster):
-    return op.interval(scored(s, d), 200, cluster, "regime")
+def _trees(s, d):
+    return kept(s, d, "trees", lambda: op.walked(rows(s, d), LAST, lambda a, b: op.boosted(a, b, trees=TREES)))
 
 
-def _oof(s, d):
-    """Out-of-fold scores of two months, each from rows embargoed before it."""
-    train, late = rows(s, d)
+def _rounded(df):
+    return df.withColumn("score", F.round("score", 8))
+
+
+def _nested(s, d):
+    """Scores of every month of MODERN from rows embargoed before it."""
+    months = [r[0] for r in rows(s, d).where("regime = 'MODERN'").select("mi").distinct().orderBy("mi").collect()]  # a few dozen
+    return op.walked(rows(s, d), [("MODERN", m) for m in months], lambda a, b: op.logistic(a, b)[0])
+
+
+def _families(s, d):
+    """Each family of features on the last fold of either regime, with metrics."""
     out = None
-    for month in (ORIGIN, ORIGIN + 3):
-        now = late.where(F.col("mi") == month)
-        one = op.logistic(train.unionByName(late).where(F.col("mi") + 3 < month), now)[0]
-        one = _scores(one)
+    for name, some in op.FAMILIES.items():
+        one = op.walked(rows(s, d), LAST, lambda a, b, some=some: op.logistic(a, b, features=some)[0]).withColumn("family", F.lit(name)).withColumn("w", F.lit(1.0))
         out = one if out is None else out.unionByName(one)
-    return out
+    return op.weighted(out, "regime", "family", "mi")
+
+
+def _importance(s, d):
+    found = s.createDataFrame(op.coefficients(rows(s, d), RECENT), "regime string, origin int, feature string, importance double")
+    return op.importance(found)
 
 
 def _platt(s, d):
-    x = scored(s, d).where("score < 1 and regime = 'MODERN'").select(F.col("label").cast("double").alias("label"), F.log(F.col("score") / (1 - F.col("score"))).alias("logit"))
-    return op.platt(x)
+    """Slope and intercept from the folds' raw logits of MODERN."""
+    x = _logistic(s, d).where("score < 1 and score > 0 and regime = 'MODERN'")
+    return op.platt(x.select(F.col("label").cast("double").alias("label"), F.log(F.col("score") / (1 - F.col("score"))).alias("logit")))
+
+
+def _contributions(s, d):
+    regime, origin = LAST[1]
+    return op.contributions(*op.logistic(op.training(rows(s, d), regime, origin), op.evaluation(rows(s, d), regime, origin)))
+
+
+def _paired(s, d):
+    last = F.concat_ws("|", "regime", "mi").isin(*[f"{r}|{m}" for r, m in LAST])
+    return op.paired(_trees(s, d), _logistic(s, d).where(last), ["project_code"], "regime")
 
 
 ENTRIES = [
-    ("j08_logistic", lambda s, d: _scores(op.logistic(*rows(s, d))[0]), None),
-    ("j08_logistic_balanced", lambda s, d: _scores(op.logistic(*rows(s, d), balanced=True)[0]), None),
-    ("j09_boosted_trees", lambda s, d: _scores(op.boosted(*rows(s, d), trees=8, depth=3)), None),
-    ("j14_bootstrap", lambda s, d: _ci(s, d, "report_month"), None), ("j15_project_bootstrap", lambda s, d: _ci(s, d, "project_code"), None),
-    ("k01_nested_scores", _oof, None), ("k03_platt_fit", _platt, None),
-    ("l01_logistic_contributions", lambda s, d: op.contributions(*op.logistic(*rows(s, d))), None),
+    ("j08_logistic", lambda s, d: _rounded(_logistic(s, d)), None), ("j08_logistic_balanced", lambda s, d: _rounded(_logistic(s, d, True)), None), ("j09_boosted_trees", lambda s, d: _rounded(_trees(s, d)), None),
+    ("j14_bootstrap", lambda s, d: op.interval(_logistic(s, d), ["project_code", "report_month"], "regime", "mi", strata=True), None),
+    ("j15_project_bootstrap", lambda s, d: op.interval(_logistic(s, d), ["project_code"], "regime"), None), ("j15_month_bootstrap", lambda s, d: op.interval(_logistic(s, d), ["report_month"], "regime"), None),
+    ("j16_paired_bootstrap", _paired, None), ("j18_families", _families, None), ("j27_importance", _importance, None), ("j28_weighting_effect", lambda s, d: op.weighting_effect(_logistic(s, d), _logistic(s, d, True), "regime"), None), ("j29_challenger_decision", lambda s, d: op.decided(_paired(s, d), "regime"), None),
+    ("k01_nested_scores", lambda s, d: _rounded(_nested(s, d)), None), ("k03_platt_fit", _platt, None), ("l01_logistic_contributions", _contributions, None),
 ]
