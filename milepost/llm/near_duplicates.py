@@ -1,19 +1,25 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 Shingles are runs of 5 words (a text of 1 to 4 words is one shingle). Texts with equal shingle
-sets form a class. MinHash bands of classes give buckets, buckets give links to their smallest
-member, and the links' components tell which classes may be similar at all: no pairs are listed.
-Each component is cut into blocks; every two blocks meet in one task, which walks all pairs of
-theirs: sizes first, then MinHash values a few at a time. With m of n values equal the similarity
-has the posterior Beta(m + 1, n - m + 1); a pair is dropped as soon as the chance that it reaches
-the threshold falls below `TOLERANCE`. What is left is compared exactly. Tasks return, for each
-class, how many documents it is linked to and one link to the block's part of its group.
+sets form a class. Candidates are classes that share a bucket of a MinHash band. In each bucket
+all pairs are walked inside a task, sizes first, then MinHash values a few at a time: with m of n
+values equal the similarity has the posterior Beta(m + 1, n - m + 1), and a pair is dropped as soon
+as the chance that it reaches the threshold falls below `TOLERANCE`. No pairs are listed: a task
+returns, for each class that is left with a partner, one link to the smallest of its part. Of
+buckets with equal members one is walked, and buckets of more than `MOST` classes are dealt in
+blocks, every two of which meet in a task.
+
+The links' components hold classes that are likely to be similar, so texts move only here: blocks
+of a component meet, pairs are pruned again, and what is left is compared exactly. Tasks return,
+for each class, how many documents it is linked to and one link to the block's part of its group.
 
 With 30 bands of 5 values a pair at similarity 0.8 shares no bucket with chance 7e-6.
 
 Defined cases: null and wordless texts have no shingles, no links and stand alone; repeated rows
 and equal texts are one class and linked to each other; a null doc_id is an id like others, but
-only counts as smallest if there is no other; other columns are left alone."""
+only counts as smallest if there is no other; very long texts are one class like others, read in
+one piece; an empty table gives no rows; other columns, of whatever name, are left alone or, by
+near_duplicates, not returned."""
 
 from __future__ import annotations
 
@@ -25,15 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Words, bound_batches, discard, materialise, mixed, slices, text_key
+from .shared import Words, bound_batches, discard, likely, materialise, mixed, slices, text_key, whole_groups
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, PER_BAND = 30, 5
 HASHES, STEP, TOLERANCE = BANDS * PER_BAND, 15, 1e-6
-#: Bits of the map of texts to compare.
-MAP_BITS = 1 << 25
 #: Classes in a block: at least, and at most.
 BLOCK, MOST = 96, 1_024
+#: Rows and pairs that a task walks together.
+ROWS, PAIRS = 4_096, 1 << 17
 
 _rng = np.random.default_rng(20240101)
 _MULTIPLY = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -87,7 +93,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
             sets = shingle_sets(batch.column("text"))
-            names, sigs = [], []
+            names, sigs, sizes = [], [], np.array([len(s) for s in sets], np.int64)
             for s in sets:
                 if len(s):
                     a, b = mixed(s), mixed(s + np.uint64(0x632BE59BD9B4E019))
@@ -96,7 +102,87 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     names.append(None)
                     sigs.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tk"), pa.array(names, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "tk", "c", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tk"), pa.array(names, pa.binary()), pa.array(sizes), pa.array(sigs, pa.binary())], names=["id", "tk", "c", "n", "sig"])
+
+
+def _pairs(block: np.ndarray, own: np.ndarray, first: np.ndarray, n: np.ndarray, both: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers a < b of the pairs to walk in each group (rows first .. first + n), about PAIRS at a time: all pairs, or where
+    both, those of two blocks."""
+    a = np.arange(len(block))
+    later = first[own] + n[own] - a - 1
+    at = 0
+    while at < len(a):
+        to = max(at + 1, int(np.searchsorted(np.cumsum(later[at:]), PAIRS)) + at)
+        rows, k = a[at:to], later[at:to]
+        left = np.repeat(rows, k)
+        right = left + 1 + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        meet = ~both[own[left]] | (block[left] != block[right])
+        yield left[meet], right[meet]
+        at = to
+
+
+def pruned(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, threshold: float, fewest: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that may reach the threshold, by sizes and then by MinHash values, STEP of them at a time."""
+    fit = np.minimum(sizes[left], sizes[right]) >= threshold * np.maximum(sizes[left], sizes[right]) - 1e-9
+    left, right = left[fit], right[fit]
+    equal = np.zeros(len(left), np.int64)
+    for step, least in enumerate(fewest):
+        if not len(left):
+            break
+        part = slice(step * STEP, (step + 1) * STEP)
+        equal = equal + (sigs[left, part] == sigs[right, part]).sum(axis=1)
+        on = equal >= least
+        left, right, equal = left[on], right[on], equal[on]
+    return left, right
+
+
+def _likely(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links between the classes of each bucket that pruning leaves: one for each class, to the smallest of its part."""
+    fewest = fewest_matches(threshold)
+    for rows in whole_groups(batches, "g", ROWS):
+        g, k, block, sizes = (rows.column(c).to_numpy() for c in ("g", "k", "block", "n"))
+        sigs = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+        first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        n = np.diff(np.append(first, len(g)))
+        own = np.repeat(np.arange(len(first)), n)
+        both = rows.column("both").to_numpy(zero_copy_only=False)[first]
+        label = np.arange(len(g))
+
+        def root(x: int) -> int:
+            while label[x] != x:
+                label[x] = label[label[x]]
+                x = label[x]
+            return x
+
+        for left, right in _pairs(block, own, first, n, both):
+            for a, b in zip(*(x.tolist() for x in pruned(left, right, sizes, sigs, threshold, fewest))):
+                a, b = root(a), root(b)
+                if a != b:
+                    label[max(a, b)] = min(a, b)
+        to = np.array([root(x) for x in range(len(g))])
+        head = np.full(len(g), np.iinfo(np.int64).max)
+        np.minimum.at(head, to, k)
+        on = head[to] != k
+        yield pa.RecordBatch.from_arrays([pa.array(k[on]), pa.array(head[to][on])], names=["a", "b"])
+
+
+def likely_links(classes: DataFrame, threshold: float) -> DataFrame:
+    """classes: k, n, sig. Returns a, b with a > b: links whose components hold every pair that may reach the threshold."""
+    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * (4 * PER_BAND) + 1, F.lit(4 * PER_BAND)))))
+    bands = classes.select("k", band.alias("g"))
+    several = bands.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("k", F.lit(3))).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(5))).alias("y")).where("m > 1")
+    # of buckets with equal members one is enough
+    walked = materialise(several.groupBy("m", "x", "y").agg(F.min("g").alias("g")).select("g", "m"), "buckets")
+    blocks = F.ceil(F.col("m") / MOST).cast("int")
+    met = bands.join(walked.hint("merge"), "g").select("g", "k", blocks.alias("blocks"), F.pmod(F.xxhash64("k", F.lit(9)), blocks).cast("int").alias("block"))
+    met = materialise(met, "bucket-members")
+    rows = met.join(classes.hint("merge"), "k").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    i, j = F.least("block", "other"), F.greatest("block", "other")
+    rows = rows.select(F.when(F.col("blocks") > 1, F.xxhash64("g", i, j)).otherwise(F.col("g")).alias("g"), "k", "block", "n", "sig", i.alias("i"), j.alias("j")).withColumn("both", F.col("i") != F.col("j"))
+    links = rows.select("g", "k", "block", "n", "sig", "both").repartition("g").sortWithinPartitions("g").mapInArrow(lambda b: _likely(b, threshold), "a bigint, b bigint")
+    links = materialise(links, "likely-links")
+    discard(walked, met)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -128,7 +214,7 @@ def _met(key: tuple, table: pa.Table, threshold: float) -> pa.Table:
         for part in slices(chunk, "text"):
             sets += shingle_sets(part.column(part.schema.get_field_index("text")))
     n = np.array([len(s) for s in sets])
-    sigs = np.stack([signature(s) for s in sets])
+    sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, HASHES)
     flat = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int64)
     at = np.concatenate([[0], np.cumsum(n)])
     mark = np.zeros(int(flat.max(initial=0)) + 1, bool)
@@ -138,14 +224,7 @@ def _met(key: tuple, table: pa.Table, threshold: float) -> pa.Table:
     rows = np.flatnonzero(block == i)
     for k, a in enumerate(rows):
         others = rows[k + 1 :] if i == j else np.flatnonzero(block == j)
-        others = others[np.minimum(n[a], n[others]) >= threshold * np.maximum(n[a], n[others]) - 1e-9]
-        equal = np.zeros(len(others), np.int64)
-        for step, least in enumerate(fewest):
-            if not len(others):
-                break
-            part = slice(step * STEP, (step + 1) * STEP)
-            equal = equal + (sigs[others, part] == sigs[a, part]).sum(axis=1)
-            others, equal = others[equal >= least], equal[equal >= least]
+        others = pruned(np.full(len(others), a), others, n, sigs, threshold, fewest)[1]
         if not len(others):
             continue
         mark[flat[at[a] : at[a + 1]]] = True
@@ -168,24 +247,6 @@ def _met(key: tuple, table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"c": pa.array([names[x] for x in on], pa.binary()), "to": pa.array([head[label[x]] for x in on], pa.binary()), "classes": pa.array(classes[on]), "docs": pa.array(docs[on])})
 
 
-def key_map(keys: DataFrame) -> np.ndarray:
-    """A bit map of the texts (tk) in keys, MAP_BITS / 8 bytes whatever the input. It keeps most other texts out
-    of a shuffle; a fuller map only lets more of them through."""
-    bit = F.pmod("tk", F.lit(MAP_BITS))
-    words = keys.select(F.floor(bit / 64).alias("w"), (bit % 64).cast("int").alias("i")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, i))").alias("v"))
-    out = np.zeros(MAP_BITS // 64, np.uint64)
-    for r in words.toLocalIterator():
-        out[r["w"]] = np.uint64(r["v"] & (2**64 - 1))
-    return out
-
-
-def _mapped(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        bit = np.mod(batch.column("tk").to_numpy(), MAP_BITS).astype(np.uint64)
-        on = (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-        yield batch.filter(pa.array(on))
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of docs: root (names its group), doc_id, tk (of its text), class_id (smallest doc_id linked to it, over any
     number of links), copy_id (smallest doc_id with equal shingles), n_links (other rows at threshold or more)."""
@@ -193,32 +254,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bound_batches(spark)
     kind = dict(docs.dtypes)[doc_id]
     mine = docs.select(F.col(doc_id).alias("id"), text_key(text).alias("tk"), F.col(text).alias("text"))
-    rows = materialise(mine.mapInArrow(_described, f"id {kind}, tk bigint, c binary, sig binary"), "shingled")
+    rows = materialise(mine.mapInArrow(_described, f"id {kind}, tk bigint, c binary, n bigint, sig binary"), "shingled")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tk"))
-    classes = rows.where("c is not null").groupBy("c").agg(first.alias("rep"), F.count(F.lit(1)).alias("docs"))
-    classes = materialise(classes.select("c", "rep.id", "rep.tk", "docs"), "shingle-classes")
-    # 64 bits of a class's name are enough here: should two classes share them, they are only compared more often
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * (4 * PER_BAND) + 1, F.lit(4 * PER_BAND)))))
-    bands = rows.where("c is not null").select(F.xxhash64("c").alias("k"), band.alias("band"))
-    heads = bands.groupBy("band").agg(F.min("k").alias("head"), F.max("k").alias("last")).where("head <> last").select("band", "head")
-    heads = materialise(heads, "band-heads")
+    classes = rows.where("c is not null").groupBy("c").agg(first.alias("rep"), F.count(F.lit(1)).alias("docs"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    # 64 bits of a class's name are enough for k: should two classes share them, they are only compared more often
+    classes = materialise(classes.select("c", F.xxhash64("c").alias("k"), "rep.id", "rep.tk", "docs", "n", "sig"), "shingle-classes")
     # sides that grow with the corpus meet by sort-merge at every size; AQE splits what is skewed
-    links = bands.join(heads.hint("merge"), "band").where("k <> head").select(F.col("k").alias("a"), F.col("head").alias("b"))
+    links = likely_links(classes.select("k", "n", "sig"), threshold)
     groups = components(links)
-    discard(heads)
     nodes = groups.select(F.col("a").alias("k"), F.col("b").alias("root")).unionByName(groups.select(F.col("b").alias("k"), F.col("b").alias("root")).distinct())
-    members = materialise(classes.withColumn("k", F.xxhash64("c")).join(nodes, "k").drop("k"), "suspects")
+    members = materialise(classes.join(nodes, "k").drop("k", "n"), "suspects")
     size = materialise(members.groupBy("root").agg(F.count(F.lit(1)).alias("m")), "suspect-sizes")
     per = F.least(F.greatest(F.lit(BLOCK), F.ceil(F.col("m") / 16)), F.lit(MOST))
     placed = members.join(size, "root").withColumn("blocks", F.ceil(F.col("m") / per).cast("int")).withColumn("block", F.pmod(F.xxhash64("c", F.lit(1)), F.col("blocks")).cast("int"))
-    placed = materialise(placed.select("c", "root", "blocks", "block", "id", "tk", "docs"), "suspects-placed")
-    bits = key_map(placed)
-    some = mine.mapInArrow(lambda b: _mapped(b, bits), f"id {kind}, tk bigint, text string")
-    texts = placed.alias("p").join(some.alias("m").hint("merge"), F.col("p.id").eqNullSafe(F.col("m.id")) & (F.col("p.tk") == F.col("m.tk"))).select("c", "root", "blocks", "block", "docs", "text")
-    units = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "c", "docs", "block", "text")
-    found = units.groupBy("root", "i", "j").applyInArrow(lambda k, t: _met(k, _distinct(t), threshold), "c binary, to binary, classes bigint, docs bigint")
+    placed = materialise(placed.select("c", "sig", "root", "blocks", "block", "id", "tk", "docs"), "suspects-placed")
+    some = likely(mine, placed).groupBy("id", "tk").agg(F.first("text").alias("text"))  # a repeated row once
+    texts = placed.alias("p").join(some.alias("m").hint("merge"), F.col("p.id").eqNullSafe(F.col("m.id")) & (F.col("p.tk") == F.col("m.tk"))).select("c", "sig", "root", "blocks", "block", "docs", "text")
+    units = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "c", "sig", "docs", "block", "text")
+    found = units.groupBy("root", "i", "j").applyInArrow(lambda k, t: _met(k, t, threshold), "c binary, to binary, classes bigint, docs bigint")
     found = materialise(found, "block-links")
-    discard(groups, members, size, placed)
+    discard(links, groups, members, size, placed)
     linked = materialise(found.groupBy("c").agg(F.sum("docs").alias("linked")), "class-links")
     merged = components(found.where("c <> to").select(F.col("c").alias("a"), F.col("to").alias("b")))
     root = classes.join(merged, classes["c"] == merged["a"], "left").select("c", "id", "docs", F.coalesce("b", "c").alias("root"))
@@ -233,13 +288,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.col("id").alias(doc_id), "tk", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copy_id", "id").alias("copy_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
 
 
-def _distinct(table: pa.Table) -> pa.Table:
-    """Repeated rows bring a class's text more than once."""
-    names = table["c"].to_pylist()
-    seen = dict(zip(reversed(names), range(len(names) - 1, -1, -1)))
-    return table if len(seen) == len(names) else table.take(pa.array(sorted(seen.values()), pa.int64()))
-
-
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row left of each group of near duplicates: that with the smallest doc_id."""
     found = materialise(near_duplicates(docs, threshold=threshold), "near-duplicates")
