@@ -3,26 +3,30 @@
 Components become integers, floor(256 x). Equal vectors form one class that keeps its k + 1
 smallest ids; no result can need more of them. A further coordinate, sqrt(M^2 - |x|^2) with M the
 largest norm (0 for queries), turns the largest inner product into the smallest distance. Every
-class is keyed by its nearest pivot and by the annulus of its distance to it (rings of one width,
-cut into blocks by hash where the data are large).
+class is keyed by its nearest pivot and by its distance to it, in rings of one width; adjacent rings
+of a pivot form annuli of about `BLOCK` classes, and an annulus of more is dealt in blocks by hash.
 
-A query starts from a bound: its k-th best score in a bounded sample. By the triangle inequality an
-annulus [lo, hi) of pivot p holds nothing nearer than max(lo - d(q, p), d(q, p) - hi); annuli
-beyond the bound are never visited. The nearest few annuli are searched first, the bound is drawn
-in, and only what it still reaches is searched then. Every searched annulus meets its queries in a
-join on its key and is scored in exact integers, so the result is exact; ties go to smaller ids.
+By the triangle inequality an annulus [lo, hi) of pivot p holds nothing nearer to q than
+max(lo - d(q, p), d(q, p) - hi). A query first visits the `FIRST` annuli with the smallest bounds;
+its k-th best score there draws the bound of the rest, and annuli that still may hold something
+better are visited then, the others never. Queries of one pivot travel together, `GROUP` at a time,
+so a visit is one row for a block and a group, and scored by one matrix product in exact integers.
 
-Defined cases: vectors that are null, hold null or non-finite components, or have another length
-than most (ties: the longer) take no part, as query or as candidate; repeated rows count once;
-rows without id take no part; fewer than k candidates give as many rows; no candidates give none;
-other columns are left alone."""
+How much the bounds spare depends on the data: of vectors without clusters, such as random ones of
+64 dimensions, hardly anything, as the distances to a pivot hardly differ.
+
+Defined cases: vectors that are null, hold null or non-finite components or components so large that
+an inner product could leave the range of a long, or have another length than most (ties: the
+longer) take no part, as query or as candidate; repeated rows count once; rows without id take no
+part; rows that share an id but not their vector are queries and candidates of their own; equal
+scores: the smaller id first; fewer than k candidates give as many rows; no candidates give none;
+other columns, of whatever name, are left out."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +34,8 @@ from pyspark.sql import functions as F
 from .shared import bound_batches, materialise
 
 PIVOTS, SAMPLE = 64, 1_024
-#: Annuli between no distance and twice the largest norm; classes in a block, about; annuli searched first.
-RINGS, BLOCK, FIRST = 96, 1_024, 6
+#: Rings between no distance and twice the largest norm; classes in a block, about; queries that travel together; annuli searched first.
+RINGS, BLOCK, GROUP, FIRST = 96, 1_024, 256, 2
 
 
 def whole(vec: Column) -> Column:
@@ -66,90 +70,121 @@ def spread(sample: np.ndarray, extra: np.ndarray, n: int) -> np.ndarray:
 
 
 class Index:
-    """What every task needs to key a vector: pivots, largest norm, ring width, blocks."""
+    """What every task needs to key a vector: pivots, largest norm, ring width; and, from the rings' counts, the annuli.
+
+    annuli: pivot, first ring, last ring, blocks of each; of: the number of the annulus of each pivot and ring."""
 
     def __init__(self, sample: np.ndarray, norm2: int, classes: int):
-        self.sample, self.norm2 = sample, norm2
         extra = np.sqrt(np.maximum(norm2 - (sample.astype(np.float64) ** 2).sum(1), 0))
-        at = spread(sample, extra, PIVOTS)
-        self.pivots, self.extra = sample[at], extra[at]
-        self.width = max(2 * np.sqrt(norm2) / RINGS, 1e-9)
-        self.blocks = max(1, round(classes / (len(at) * RINGS / 8 * BLOCK)))
-        self.slack = 1e-6 * (1 + np.sqrt(norm2))  # far above rounding, far below what separates integers' distances
+        at = spread(sample, extra, min(PIVOTS, max(4, classes // 256)))
+        self.norm2, self.pivots, self.extra = norm2, sample[at], extra[at]
+        self.width = max(2 * np.sqrt(float(norm2)) / RINGS, 1e-9)
+        self.slack = 1e-6 * (1 + np.sqrt(float(norm2)))  # far above rounding, far below what separates integers' distances
+        self.annuli, self.of = np.zeros((0, 4), np.int64), np.zeros((len(at), 0), np.int64)
+
+    def arrange(self, counts: dict[tuple[int, int], int]) -> None:
+        """counts: classes of each pivot and ring, PIVOTS * (RINGS + 1) entries at most."""
+        last = max((r for _, r in counts), default=0)
+        self.of = np.zeros((len(self.pivots), last + 1), np.int64)
+        annuli, open_pivot = [], -1
+        for (p, r), n in sorted(counts.items()):
+            if p != open_pivot or annuli[-1][3] + n > BLOCK:
+                annuli.append([p, r, r, 0])
+                open_pivot = p
+            annuli[-1][2] = r
+            annuli[-1][3] += n
+            self.of[p, r] = len(annuli) - 1
+        self.annuli = np.array([[p, a, b, -(-n // (2 * BLOCK))] for p, a, b, n in annuli], np.int64).reshape(-1, 4)
+
+    def distances(self, x: np.ndarray, query: bool) -> np.ndarray:
+        extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.norm2 - (x.astype(np.float64) ** 2).sum(1), 0))
+        return _distances(x, extra, self.pivots, self.extra)
+
+    def key(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pivot and ring of each class."""
+        d = self.distances(x, False)
+        pivot = np.argmin(d, axis=1) if len(x) else np.zeros(0, int)
+        return pivot, (d[np.arange(len(x)), pivot] / self.width).astype(np.int64)
 
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """The least distance of each query to anything in each annulus."""
+        d = self.distances(q, True)[:, self.annuli[:, 0]]
+        return np.maximum(0, np.maximum(self.annuli[:, 1] * self.width - d, d - (self.annuli[:, 2] + 1) * self.width))
 
-def _keyed(batches: Iterator[pa.RecordBatch], index: Index, dims: int) -> Iterator[pa.RecordBatch]:
+
+def _rings(batches: Iterator[pa.RecordBatch], index: Index, dims: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pivot, ring = index.key(_matrix(batch.column("v"), dims))
+        yield pa.RecordBatch.from_arrays([pa.array(pivot, pa.int32()), pa.array(ring, pa.int32())], names=["pivot", "ring"])
+
+
+def _cells(batches: Iterator[pa.RecordBatch], index: Index, dims: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = _matrix(batch.column("v"), dims)
-        d = _distances(x, np.sqrt(np.maximum(index.norm2 - (x.astype(np.float64) ** 2).sum(1), 0)), index.pivots, index.extra)
-        pivot = np.argmin(d, axis=1) if len(x) else np.zeros(0, int)
-        ring = (d[np.arange(len(x)), pivot] / index.width).astype(np.int32)
-        cells = [pa.array(pivot, pa.int32()), pa.array(ring, pa.int32()), batch.column("block")]
-        yield pa.RecordBatch.from_arrays([*cells, pa.array([r.tobytes() for r in x], pa.binary()), batch.column("ids")], names=["pivot", "ring", "block", "vec", "ids"])
+        annulus = index.of[index.key(x)] if len(x) else np.zeros(0, np.int64)
+        block = np.mod(batch.column("h").to_numpy(), index.annuli[annulus, 3]) if len(x) else annulus
+        yield pa.RecordBatch.from_arrays([pa.array(annulus, pa.int32()), pa.array(block, pa.int32()), pa.array([r.tobytes() for r in x], pa.binary()), batch.column("ids")], names=["annulus", "block", "vec", "ids"])
 
 
-def _visits(batches: Iterator[pa.RecordBatch], index: Index, dims: int, k: int, spans: dict[int, tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-    """For each query the annuli that its bound reaches, nearest first."""
+def _visits(batches: Iterator[pa.RecordBatch], index: Index, dims: int, later: bool) -> Iterator[pa.RecordBatch]:
+    """For each annulus the queries that visit it, packed: those it is among the nearest for, or later those its bound reaches."""
+    names = ["annulus", "block", "keys", "ids", "vecs"]
     for batch in batches:
         q = _matrix(batch.column("v"), dims)
         if not len(q):
             continue
-        d = _distances(q, np.zeros(len(q)), index.pivots, index.extra)
-        scores = np.sort(_product(q, index.sample), axis=1)[:, ::-1]
-        rows: list[tuple] = []
-        for i, qid in enumerate(batch.column("query_id").to_pylist()):
-            # the sample may hold the query itself, hence one more than k
-            limit = np.inf if scores.shape[1] <= k else np.sqrt(max(0.0, float((q[i].astype(np.float64) ** 2).sum()) + index.norm2 - 2.0 * scores[i, k]))
-            mine = []
-            for p, (a, b) in spans.items():
-                rings = np.arange(a, b + 1)
-                least = np.maximum(0, np.maximum(rings * index.width - d[i, p], d[i, p] - (rings + 1) * index.width))
-                mine += [(float(x), p, int(r)) for x, r in zip(least, rings) if x <= limit + index.slack]
-            mine.sort()
-            vec = q[i].tobytes()
-            rows += [(qid, vec, p, r, block, x, n < FIRST) for n, (x, p, r) in enumerate(mine) for block in range(index.blocks)]
-            if len(rows) > 20_000:
-                yield _visit_batch(rows, batch.schema.field("query_id").type)
-                rows = []
-        if rows:
-            yield _visit_batch(rows, batch.schema.field("query_id").type)
-
-
-def _visit_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    types = [kind, pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["query_id", "vec", "pivot", "ring", "block", "least", "first"])
-
-
-def _searched(cell: pd.DataFrame, queries: pd.DataFrame, k: int, dims: int) -> pd.DataFrame:
-    """The k best candidates of one block for each query that visits it."""
-    out: dict[str, list] = {"query_id": [], "vec": [], "vec_id": [], "score": []}
-    if len(cell) and len(queries):
-        cell = cell.assign(low=cell["ids"].map(min)).sort_values("low")
-        v = np.frombuffer(b"".join(cell["vec"]), np.int64).reshape(-1, dims)
-        ids = cell["ids"].tolist()
-        for at in range(0, len(queries), 256):
-            part = queries.iloc[at : at + 256]
-            s = _product(np.frombuffer(b"".join(part["vec"]), np.int64).reshape(-1, dims), v)
+        least = index.bounds(q)
+        order = np.argsort(least, axis=1, kind="stable")[:, :FIRST]
+        visit = np.zeros(least.shape, bool)
+        np.put_along_axis(visit, order, True, axis=1)
+        if later:
+            kth = batch.column("kth").to_numpy(zero_copy_only=False).astype(np.float64)  # null: nan
+            limit = np.sqrt(np.maximum(0, (q.astype(np.float64) ** 2).sum(1) + float(index.norm2) - 2 * kth))
+            visit = ~visit & ~(least > limit[:, None] + index.slack)
+        near = np.argmin(index.distances(q, True), axis=1)
+        keys, ids = batch.column("qk").to_numpy(), batch.column("query_id").to_numpy()
+        for a in np.flatnonzero(visit.any(axis=0)).tolist():
+            who = np.flatnonzero(visit[:, a])
+            who = who[np.argsort(near[who], kind="stable")]
+            rows = [[a, b, keys[w].tobytes(), ids[w].tobytes(), q[w].tobytes()] for w in np.array_split(who, -(-len(who) // GROUP)) for b in range(int(index.annuli[a, 3]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=names)
+
+
+def _searched(batches: Iterator[pa.RecordBatch], k: int, dims: int) -> Iterator[pa.RecordBatch]:
+    """The k best candidates of one block for each query of a group."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            cell = {c: batch.column(c)[row] for c in batch.schema.names}
+            keys, qids, q = (np.frombuffer(cell[c].as_py(), np.int64) for c in ("keys", "ids", "vecs"))
+            members = cell["members"].values
+            ids = members.field("ids")
+            v = np.frombuffer(b"".join(members.field("vec").to_pylist()), np.int64).reshape(-1, dims)
+            id_at, flat = ids.offsets.to_numpy() - ids.offsets[0].as_py(), ids.flatten().to_numpy()
+            low = np.minimum.reduceat(flat, id_at[:-1])
+            order = np.argsort(low, kind="stable")
+            s = _product(q.reshape(-1, dims), v[order])
+            out: list[list] = [[], [], [], []]
             if s.shape[1] > 4 * (k + 1):  # what can't be among the k + 1 best stays out of the sort
                 floor = np.partition(s, s.shape[1] - k - 1, axis=1)[:, s.shape[1] - k - 1]
             else:
                 floor = np.full(len(s), np.iinfo(np.int64).min)
-            for row, qid, vec, f in zip(s, part["query_id"], part["vec"], floor):
-                can = np.flatnonzero(row >= f)
-                best = can[np.argsort(-row[can], kind="stable")[: k + 1]]
-                found = sorted((-int(row[j]), int(x)) for j in best for x in ids[j] if x != qid)[:k]
-                out["query_id"] += [qid] * len(found)
-                out["vec"] += [vec] * len(found)
-                out["vec_id"] += [x for _, x in found]
-                out["score"] += [-x for x, _ in found]
-    return pd.DataFrame(out)
+            for scores, key, qid, f in zip(s, keys.tolist(), qids.tolist(), floor):
+                can = np.flatnonzero(scores >= f)
+                best = can[np.argsort(-scores[can], kind="stable")[: k + 1]]
+                found = sorted((-int(scores[j]), x) for j in best for x in flat[id_at[order[j]] : id_at[order[j] + 1]].tolist() if x != qid)[:k]
+                out[0] += [key] * len(found)
+                out[1] += [qid] * len(found)
+                out[2] += [x for _, x in found]
+                out[3] += [-x for x, _ in found]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["qk", "query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score. is_query: over the columns of vectors."""
     spark = vectors.sparkSession
     bound_batches(spark)
-    sound = F.col(vec).isNotNull() & F.col(vec_id).isNotNull() & F.coalesce(F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False)) & (F.size(vec) > 0)
+    fits = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(256.0 * x.cast("double")) < F.sqrt(F.lit(2.0**62) / F.size(vec)))
+    sound = F.col(vec).isNotNull() & F.col(vec_id).isNotNull() & F.coalesce(F.forall(vec, fits), F.lit(False)) & (F.size(vec) > 0)
     rows = vectors.where(sound).select(F.col(vec_id).cast("bigint").alias("id"), F.coalesce(is_query, F.lit(False)).alias("q"), whole(F.col(vec)).alias("v"))
     most = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
     if not most:
@@ -158,27 +193,29 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_i
     rows = rows.where(F.size("v") == dims).dropDuplicates(["id", "v"])
     nth = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     classes = rows.select("id", "v").withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("v").agg(F.collect_list("id").alias("ids"))
-    classes = materialise(classes, "vector-classes")
+    classes = materialise(classes.withColumn("h", F.xxhash64("v")), "vector-classes")
     norm2 = F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x * x)
     size = classes.agg(F.max(norm2).alias("m"), F.count(F.lit(1)).alias("n")).collect()[0]
-    sample = np.array([r["v"] for r in classes.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()], np.int64)
+    sample = np.array([r["v"] for r in classes.select("v", "h").orderBy("h", "v").limit(SAMPLE).collect()], np.int64)
     index = Index(sample, size["m"], size["n"])
-    cells = classes.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(index.blocks)).cast("int")).mapInArrow(lambda b: _keyed(b, index, dims), "pivot int, ring int, block int, vec binary, ids array<bigint>")
-    cells = materialise(cells, "vector-cells")
-    spans = {r["pivot"]: (r["a"], r["b"]) for r in cells.groupBy("pivot").agg(F.min("ring").alias("a"), F.max("ring").alias("b")).collect()}  # PIVOTS rows at most
-    queries = rows.where("q").select(F.col("id").alias("query_id"), "v")
-    visits = materialise(queries.mapInArrow(lambda b: _visits(b, index, dims, k, spans), "query_id bigint, vec binary, pivot int, ring int, block int, least double, first boolean"), "vector-visits")
-    key = ["pivot", "ring", "block"]
-
-    def searched(some: DataFrame) -> DataFrame:
-        left, right = cells.groupBy(*key), some.select("query_id", "vec", *key).groupBy(*key)
-        return left.cogroup(right).applyInPandas(lambda c, q: _searched(c, q, k, dims), "query_id bigint, vec binary, vec_id bigint, score bigint")
-
-    order = Window.partitionBy("query_id", "vec").orderBy(F.desc("score"), "vec_id")
-    first = materialise(searched(visits.where("first")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "vector-first")
-    known = first.where(F.col("rank") == k).select("query_id", "vec", F.col("score").alias("kth"))
-    later = visits.where("not first").join(known, ["query_id", "vec"], "left")
-    own = materialise(queries.groupBy("query_id").agg(F.max(norm2).cast("double").alias("own")), "query-norms")  # the longest, if an id has several
-    later = later.join(own, "query_id").where(F.col("kth").isNull() | (F.col("least") <= F.sqrt(F.greatest(F.lit(0.0), F.col("own") + F.lit(float(index.norm2)) - 2.0 * F.col("kth"))) + F.lit(float(index.slack))))
-    found = first.drop("rank").unionByName(searched(later)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    counts = classes.mapInArrow(lambda b: _rings(b, index, dims), "pivot int, ring int").groupBy("pivot", "ring").count().collect()
+    index.arrange({(r["pivot"], r["ring"]): r["count"] for r in counts})
+    cells = classes.mapInArrow(lambda b: _cells(b, index, dims), "annulus int, block int, vec binary, ids array<bigint>")
+    # a block is one row; it holds about BLOCK classes, as many as rings and hash allow
+    cells = materialise(cells.groupBy("annulus", "block").agg(F.collect_list(F.struct("vec", "ids")).alias("members")), "vector-cells")
+    queries = rows.where("q").select(F.col("id").alias("query_id"), F.xxhash64("id", "v").alias("qk"), "v")
+    packed = "annulus int, block int, keys binary, ids binary, vecs binary"
+    order = Window.partitionBy("query_id", "qk").orderBy(F.desc("score"), "vec_id")
+
+    def searched(visits: DataFrame) -> DataFrame:
+        met = cells.join(visits, ["annulus", "block"])
+        return met.mapInArrow(lambda b: _searched(b, k, dims), "qk bigint, query_id bigint, vec_id bigint, score bigint")
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    first = materialise(best(searched(queries.mapInArrow(lambda b: _visits(b, index, dims, False), packed))), "vector-first")
+    known = first.where(F.col("rank") == k).select("query_id", "qk", F.col("score").alias("kth"))
+    later = queries.join(known, ["query_id", "qk"], "left").select("query_id", "qk", "v", "kth").mapInArrow(lambda b: _visits(b, index, dims, True), packed)
+    found = best(first.drop("rank").unionByName(searched(later)))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
