@@ -11,8 +11,13 @@ is always next, and of several positions in one word only the first is merged at
 Words never depend on each other, so blocks need no shuffle and a lost task is simply run again.
 Blocks bound the memory; a longer text is a block of its own.
 
+A word list of the whole corpus instead would have to split every text a second time, and most of
+its distinct words are rare ones, which are replayed once either way.
+
 Defined cases: null and empty texts have no ids and decode to no bytes; special tokens are
-ordinary text; ids out of the vocabulary make decoding fail; other columns are left alone."""
+ordinary text; ids out of the vocabulary make decoding fail; repeated rows get equal ids; an empty
+table gives no rows; columns ids (encoding) and decoded (decoding) of the input are replaced, other
+columns are left alone."""
 
 from __future__ import annotations
 

@@ -9,8 +9,9 @@ Items of 1 to 9 words are one window of their own length: their single n-gram is
 
 Defined cases: null or wordless texts have no words and are clean; items without words never
 match; repeated rows get equal verdicts, each its own row; rows that share a doc_id but not their
-text are judged apart; an item_id that is null counts as the empty string; any other column, of
-whatever name, is left alone."""
+text are judged apart; an item_id that is null counts as the empty string; items that share an
+item_id count once; very long texts are read in one piece; an empty
+table of either kind gives no rows or no hits; any other column, of whatever name, is left alone."""
 
 from __future__ import annotations
 

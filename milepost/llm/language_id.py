@@ -9,8 +9,10 @@ The score is the product over both levels of the winner's weakest pairwise proba
 of the margin).
 
 Defined cases: a null text or one without a letter is `und` with score 0; so is everything if no
-row can teach; a single language needs no SVM and has score 1; repeated rows get equal predictions;
-other columns are left alone."""
+row can teach; a single language needs no SVM and has score 1; ties of votes and margins go to the
+language first in order; repeated rows get equal predictions; very long texts are read whole, a
+stretch at a time; an empty table gives no rows; columns of the new names are replaced, other
+columns are left alone."""
 
 from __future__ import annotations
 
@@ -145,6 +147,25 @@ def fitted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
     return Model(families, within)
 
 
+LEAST_SCORE = 0.3
+
+
+def accepted(docs: DataFrame, languages: tuple[str, ...] | None = None, least: float = LEAST_SCORE, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of docs whose predicted language is wanted (None: any that can be learned) with at least this score.
+
+    The model learns from docs itself. A row without lang gets the predicted one; all other values stay. Rows whose
+    text is null or without a letter go; if nothing can teach, these are all that go."""
+    model = fitted(docs, text=text, lang=lang)
+    names = ("__mp_lang", "__mp_score")
+    seen = predicted(docs, model, text, names)
+    if model.families is None:
+        return seen.where(F.col(text).rlike(r"\p{L}")).select(*docs.columns)
+    sure = (F.col(names[0]) != "und") & (F.col(names[1]) >= least)
+    if languages is not None:
+        sure = sure & F.col(names[0]).isin(*languages)
+    return seen.where(sure).withColumn(lang, F.coalesce(F.col(lang), F.col(names[0]))).select(*docs.columns)
+
+
 def _predicted(batches: Iterator[pa.RecordBatch], text: str, model: Model, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lang, score = model.predict(no_nulls(batch.column(text)).to_pylist())

@@ -13,7 +13,8 @@ listed, so a lost task leaves nothing that is read.
 Defined cases: null or empty payloads have no bytes and are compared like any other; rows with
 equal payload that share the largest id are all responses; a null id is smaller than any other and
 is left out of the record's name; CR and LF in a url are percent-encoded, a null url is left out;
-payloads under `least` bytes are never revisits; other columns are left alone."""
+payloads under `least` bytes are never revisits; payloads of any length pass in chunks; an empty
+table gives no archive; other columns, of whatever name, are left out."""
 
 from __future__ import annotations
 
