@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import months, numbers, text
 from ..operators import crosswalk as cw
+from ..sources.store import kept
+from .rawrows import P as RAW_P
+from .rawrows import rows as reports_of
 from .surrogate import PANEL_SQL, panel, table
 
 LOW = "lower({})"
@@ -38,13 +41,37 @@ WITH = f"WITH {PANEL_SQL}"
 
 def _sides(s, d):
     """The last LEGACY month and the first MODERN month: the same projects under other codes (G)."""
-    p = panel(s, d)
-    return cw.prepared(p.where("report_month = '1998-12'")), cw.prepared(p.where("report_month = '1999-01'"))
+    side = lambda month: kept(s, d, f"crosswalk-{month}", lambda: cw.prepared(panel(s, d).where(F.col("report_month") == month)))
+    return side("1998-12"), side("1999-01")
 
 
 def _edges(s, d):
-    left, right = _sides(s, d)
-    return cw.credible(cw.candidates(left, right))
+    return kept(s, d, "crosswalk-edges", lambda: cw.credible(cw.candidates(*_sides(s, d))))
+
+
+def _resolved(s, d):
+    return kept(s, d, "crosswalk-resolved", lambda: cw.resolved(_edges(s, d), _sides(s, d)[0]))
+
+
+def _raw_ids(s, d):
+    """Project rows that print identifiers of either style, by report."""
+    r = reports_of(s, d).where("row_class = 'project' and layout in ('NINE', 'EIGHT')").select("source_file", F.array_join("cells", " ").alias("t"))
+    old, new = F.col("t").rlike(r"(?<![A-Z0-9])(?:N[0-9]{8}|[0-9]{9})(?![0-9])"), F.col("t").rlike(r"(?<![0-9])[0-9]{6}(?![0-9])")
+    return r.groupBy("source_file").agg(*[F.count(F.when(c, 1)).alias(n) for c, n in ((old, "old_style"), (new, "six_digits"), (old & new, "both"), (F.contains(F.lower("t"), F.lit("legacy ocms")), "ocms_label"))])
+
+
+_six = lambda c: f"coalesce(regexp_matches(CAST({c} AS VARCHAR), '(^|[^0-9])[0-9]{{6}}([^0-9]|$)'), false)"
+RAW_IDS = RAW_P + f" SELECT source_file, count(*) AS old_style, count(*) FILTER (WHERE six) AS six_digits, count(*) FILTER (WHERE six) AS both, 0::BIGINT AS ocms_label FROM (SELECT source_file, lay = 'EIGHT' OR {_six('original_cost')} OR {_six('revised_cost')} OR {_six('cumulative_expenditure')} AS six FROM p WHERE lay IN ('NINE', 'EIGHT')) GROUP BY 1"
+_key = lambda c: f"nullif(regexp_replace(lower({c}), '[^a-z0-9]', '', 'g'), '')"
+_agency = "CASE WHEN regexp_full_match(agency, '\\s*[A-Za-z][A-Za-z0-9/&.-]{1,15}\\s*') THEN regexp_replace(lower(agency), '[^a-z0-9]', '', 'g') ELSE lower(array_to_string([w[1] FOR w IN regexp_extract_all(agency, '[A-Za-z0-9]+')], '')) END"
+_fields = {**{c: c for c in cw.FIELDS if c.endswith(("date", "cost"))}, "state": _key("state"), "sector": _key("sector"), "agency": f"nullif({_agency}, '')"}
+_list = lambda cond: "concat_ws('|', " + ", ".join(f"CASE WHEN {cond(c)} THEN '{c}' END" for c in cw.FIELDS) + ")"
+_count = " + ".join(f"CASE WHEN a.{c} = b.{c} THEN 1 ELSE 0 END" for c in cw.FIELDS)
+G01 = f"{WITH} SELECT project_code, regexp_replace(lower(project_name), '[^a-z0-9]', '', 'g') AS name_key, " + ", ".join(f"CAST({v} AS VARCHAR) AS {c}" for c, v in _fields.items()) + " FROM panel WHERE report_month = '1998-12'"
+#: All pairs of the two months, as the definition has it.
+G02 = (f"{WITH}, k AS (SELECT project_code, report_month, regexp_replace(lower(project_name), '[^a-z0-9]', '', 'g') AS name_key, " + ", ".join(f"{v} AS {c}" for c, v in _fields.items()) + " FROM panel WHERE report_month IN ('1998-12', '1999-01')), "
+       f"m AS (SELECT a.project_code AS l, b.project_code AS r, a.name_key = b.name_key AS exact_name, {_count} AS agreements, {_list(lambda c: f'a.{c} = b.{c}')} AS evidence, {_list(lambda c: f'a.{c} <> b.{c}')} AS conflicts, {_list(lambda c: f'a.{c} IS NULL OR b.{c} IS NULL')} AS missing "
+       "FROM k a JOIN k b ON a.report_month = '1998-12' AND b.report_month = '1999-01') SELECT * FROM m WHERE exact_name OR agreements >= 2")
 
 
 ENTRIES = [
@@ -68,13 +95,13 @@ ENTRIES = [
     ("b27_effective_cost", lambda s, d: panel(s, d).select("project_code", "report_month", numbers.effective_cost("revised_cost", "original_cost").cast("double").alias("out")), f"{WITH} SELECT project_code, report_month, CAST(CASE WHEN revised_cost > 0 THEN revised_cost WHEN original_cost > 0 THEN original_cost END AS DOUBLE) AS out FROM panel"),
     ("b28_search", lambda s, d: parts(s, d).select("p_partkey", F.col("p_name").ilike("%a_d%").alias("live"), F.lower("p_name").contains("a_d").alias("literal")), "SELECT p_partkey, p_name ILIKE '%a_d%' AS live, contains(lower(p_name), 'a_d') AS literal FROM part"),
     ("b31_code_styles", lambda s, d: panel(s, d).groupBy(text.code_style(F.col("project_code")).alias("style")).agg(F.count(F.lit(1)).alias("n")), f"{WITH} SELECT CASE WHEN regexp_full_match(project_code, '[0-9]{{6}}') THEN 'SIX' WHEN regexp_full_match(project_code, 'N[0-9]{{8}}') THEN 'LEGACY' ELSE 'OTHER' END AS style, count(*) AS n FROM panel GROUP BY 1"),
-    ("g01_prepared", lambda s, d: _sides(s, d)[0].select("project_code", "name_key", "agency", "sector"), f"{WITH} SELECT project_code, regexp_replace(lower(project_name), '[^a-z0-9]', '', 'g') AS name_key, nullif(regexp_replace(lower(agency), '[^a-z0-9]', '', 'g'), '') AS agency, nullif(regexp_replace(lower(sector), '[^a-z0-9]', '', 'g'), '') AS sector FROM panel WHERE report_month = '1998-12'"),
-    ("g02_candidates", lambda s, d: cw.candidates(*_sides(s, d)).select("l", "r", "exact_name", "agreements", F.array_join("evidence", "|").alias("evidence"), F.array_join("conflicts", "|").alias("conflicts"), F.array_join("missing", "|").alias("missing")), None),
+    ("g01_prepared", lambda s, d: _sides(s, d)[0].select("project_code", "name_key", F.col("agency_key").alias("agency"), *[c for c in cw.FIELDS if c != "agency"]), G01),
+    ("g02_candidates", lambda s, d: cw.candidates(*_sides(s, d)).select("l", "r", "exact_name", "agreements", F.array_join("evidence", "|").alias("evidence"), F.array_join("conflicts", "|").alias("conflicts"), F.array_join("missing", "|").alias("missing")), G02),
     ("g03_credible", lambda s, d: _edges(s, d).select("l", "r", F.round("similarity", 6).alias("similarity"), "high"), None),
-    ("g07_resolved", lambda s, d: cw.resolved(_edges(s, d), _sides(s, d)[0]), None), ("g09_summary", lambda s, d: cw.summary(cw.resolved(_edges(s, d), _sides(s, d)[0]), _sides(s, d)[1]), None),
+    ("g04_high_eligible", lambda s, d: _edges(s, d).where("high").select("l", "r", "exact_name", F.col("agreements").cast("long").alias("agreements"), F.round("similarity", 6).alias("similarity")), None),
+    ("g05_certain_pairs", lambda s, d: _resolved(s, d).where("status = 'HIGH'").select("l", "r", "evidence"), None),
+    ("g06_unresolved_edges", lambda s, d: _resolved(s, d).where("status = 'AMBIGUOUS'").select("l", "r", "left_candidates", "right_candidates"), None),
+    ("g07_resolved", lambda s, d: _resolved(s, d), None),
+    ("g08_flags", lambda s, d: _resolved(s, d).where("r is not null").select("l", "r", "status", "evidence", "conflicts", "missing", "flags"), None),
+    ("g09_summary", lambda s, d: cw.summary(_resolved(s, d), _sides(s, d)[1]), None), ("g10_raw_ids", _raw_ids, RAW_IDS),
 ]
-_k = lambda c: f"nullif(regexp_replace(lower(CAST({c} AS VARCHAR)), '[^a-z0-9]', '', 'g'), '')"
-_n = "coalesce(regexp_replace(lower({}.project_name), '[^a-z0-9]', '', 'g'), '')"
-_side = f"SELECT project_code, coalesce(regexp_replace(lower(project_name), '[^a-z0-9]', '', 'g'), '') AS name_key, " + ", ".join(f"{_k(c)} AS {c}" for c in cw.ATTRIBUTES) + " FROM panel WHERE report_month = "
-G02 = f"{WITH}, lf AS ({_side}'1998-12'), rt AS ({_side}'1999-01'), x AS (SELECT l.project_code AS l, r.project_code AS r, l.name_key = r.name_key AS exact_name, CAST(" + " + ".join(f"coalesce(CAST(l.{c} = r.{c} AS INT), 0)" for c in cw.ATTRIBUTES) + " AS INT) AS agreements, concat_ws('|', " + ", ".join(f"CASE WHEN l.{c} = r.{c} THEN '{c}' END" for c in cw.ATTRIBUTES) + ") AS evidence, concat_ws('|', " + ", ".join(f"CASE WHEN l.{c} <> r.{c} THEN '{c}' END" for c in cw.ATTRIBUTES) + ") AS conflicts FROM lf l, rt r) SELECT * FROM x WHERE exact_name OR agreements >= 2"
-ENTRIES = [(n, f, G02 if n == "g02_candidates" else q) for n, f, q in ENTRIES]
