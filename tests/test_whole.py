@@ -1,4 +1,4 @@
-"""Queries over every month, against their SQL without the filters that cut months."""
+"""Queries over every month, against their SQL, which must have no filter that cuts months."""
 
 from pathlib import Path
 
@@ -16,8 +16,7 @@ def same(spark, name, cuts):
     for p in Path(DIR).glob("*.parquet"):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
     sql = catalog.oracles()[name]
-    for c in cuts:
-        sql = sql.replace(c, "")
+    assert not any(c in sql for c in cuts)
     want, got = con.execute(sql).df(), catalog.queries()[name](spark, DIR).toPandas()
     num = lambda df: df.apply(lambda c: c.astype(float) if pd.api.types.is_numeric_dtype(c) and not pd.api.types.is_bool_dtype(c) else c)
     assert sorted(got.columns) == sorted(want.columns)
@@ -31,13 +30,5 @@ def test_every_month_has_risk_and_contributions(spark, name):
 
 @pytest.mark.parametrize("name", ["k09_top_k", "k11_alert_caps"])
 def test_every_month_has_top_k_and_caps(spark, name):
-    sql = catalog.oracles()[name]
-    head, mo = sql.split(", mo AS (")
-    mo = mo.replace(" WHERE report_month IN ('1998-06', '2000-06')", "").replace("PARTITION BY regime", "PARTITION BY regime, report_month").replace(") SELECT regime,", ") SELECT regime, report_month,").replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3")
-    con = duckdb.connect()
-    for p in Path(DIR).glob("*.parquet"):
-        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
-    want, got = con.execute(f"{head}, mo AS ({mo}").df(), catalog.queries()[name](spark, DIR).toPandas()
-    assert got["report_month"].nunique() > 2
-    num = lambda df: df.apply(lambda c: c.astype(float) if pd.api.types.is_numeric_dtype(c) and not pd.api.types.is_bool_dtype(c) else c)
-    assert sorted(got.columns) == sorted(want.columns) and rows(num(got)) == rows(num(want))
+    assert catalog.queries()[name](spark, DIR).select("report_month").distinct().count() > 2
+    same(spark, name, ())
