@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from importlib import import_module
 
 FAMILIES = ("portfolio", "risk", "labels", "validation", "readiness", "metrics", "text", "sources", "models", "rawrows", "cells", "more")
 
 
 def entries() -> list[tuple]:
-    return [e for f in FAMILIES for e in import_module(f".{f}", __package__).ENTRIES]
+    out = [e for f in FAMILIES for e in import_module(f".{f}", __package__).ENTRIES]
+    repeated = [name for name, n in Counter(name for name, _, _ in out).items() if n > 1]
+    if repeated:
+        raise ValueError(f"registered more than once: {repeated}")
+    return out
 
 
 def queries() -> dict:

@@ -68,7 +68,6 @@ ENTRIES = [
     ("b23_consecutive", lambda s, d: panel(s, d).withColumn("p", F.lag("report_month").over(Window.partitionBy("project_code").orderBy("report_month"))).select("project_code", "report_month", months.consecutive("p", "report_month").alias("follows")), f"{ONLY} SELECT {KEY}, mi - lag(mi) OVER (PARTITION BY project_code ORDER BY report_month) = 1 AS follows FROM panel"),
     ("b24_progress_bands", lambda s, d: panel(s, d).groupBy("report_month", band(F.col("physical_progress"), PROGRESS, "over 100").alias("band")).agg(F.count(F.lit(1)).alias("n")), f"{ONLY} SELECT report_month, {BAND.format('physical_progress')} AS band, count(*) AS n FROM panel GROUP BY 1, 2"),
     ("b30_platt", lambda s, d: panel(s, d).select("project_code", "report_month", F.round(platt(F.col("cumulative_expenditure").cast("double") / 1000, -0.5, 0.25), 9).alias("out")), f"{ONLY} SELECT {KEY}, round(1 / (1 + exp(-greatest(-709, least(709, -0.5::DOUBLE * (CAST(cumulative_expenditure AS DOUBLE) / 1000) + 0.25)))), 9) AS out FROM panel"),
-    ("c12_banner_filter", lambda s, d: completed(s, d).withColumn("banner", months.add_months("report_month", 0)).where("banner = report_month and substring(report_month, 6, 2) in ('03', '06')").select("project_code", "report_month"), f"{BOTH} SELECT project_code, report_month FROM completed WHERE report_month[6:7] IN ('03', '06')"),
     ("d20_completed_checks", _completed_checks, f"{BOTH} SELECT report_month, count(*) AS n_rows, count(*) - count(DISTINCT project_code) AS repeated, count(*) FILTER (WHERE NOT regexp_full_match(project_code, '[0-9]{{6}}|N[0-9]{{8}}')) AS bad_code, count(original_cost) AS costs_parsed FROM completed GROUP BY 1"),
     ("e01_union_of_months", lambda s, d: (lambda p: p.where("regime = 'LEGACY'").unionByName(p.where("regime = 'MODERN'")))(panel(s, d).select("project_code", "report_month", "regime", "agency")), f"{ONLY} SELECT {KEY}, regime, agency FROM panel"),
     ("j19_fold_stability", _fold_stability, STABILITY), ("j26_model_ranks", _ranked_models, None), ("k16_calibration_folds", _calibration_table, CALIBRATION),

@@ -23,9 +23,9 @@ NONE = "(NONE)"
 
 
 def _words(s, d):
-    """States and sectors that can be headings: a few dozen and at most 150 names."""
+    """States (nations, or regions where the panel has these) and sectors that can be headings: a few dozen and at most 150 names."""
     one = lambda t, c: [r[0] for r in table(s, d, t).select(c).distinct().orderBy(c).collect()]
-    return [f"{x} REGION" for x in (*one("nation", "n_name"), NONE)], one("part", "p_type")
+    return [f"{x} REGION" for x in (*one("nation", "n_name"), *one("region", "r_name"), NONE)], one("part", "p_type")
 
 
 def _numbered(s, d):
