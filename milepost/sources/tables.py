@@ -36,14 +36,19 @@ def decimal_text(c: Column) -> Column:
 
     The scientific pattern rounds the exact value, which a format by printf does not: that starts from the shortest decimal.
     Numbers below 2.2e-308, which hold fewer than 15 digits, keep the digits they hold."""
-    written = F.call_function("format_number", F.abs(c), F.lit("0.00000000000000E0"))
+    size, long = F.abs(c), F.abs(c).cast("bigint")
+    unit = F.when(size < 1e16, 10).when(size < 1e17, 100).when(size < 1e18, 1000).otherwise(10000).cast("bigint")
+    kept, rest = F.floor(long / unit.cast("decimal(20,0)")).cast("bigint"), long % unit
+    near = (kept + F.when((2 * rest > unit) | ((2 * rest == unit) & (kept % 2 == 1)), 1).otherwise(0)) * unit  # the pattern rounds ties of long integers up
+    size = F.when((size >= 1e15) & (size < 9.2e18) & (size == long.cast("double")), near.cast("double")).otherwise(size)
+    written = F.call_function("format_number", size, F.lit("0.00000000000000E0"))
     power = F.substring_index(written, "E", -1).cast("int")
     digits = F.regexp_replace(F.substring_index(written, "E", 1), r"\.", "")
     tidy = lambda x: F.regexp_replace(x, r"\.?0*$", "")
     fixed = F.when(power >= 14, digits).when(power >= 0, tidy(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(15))))).otherwise(tidy(F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)))
     lifted = F.concat(tidy(F.substring_index(written, "E", 1)), F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
-    size = F.when(c.isNull(), None).when(F.isnan(c), "nan").when(F.abs(c) == float("inf"), "inf").when(power.between(-4, 14), fixed).otherwise(lifted)
-    return F.when(F.isnan(c), size).otherwise(F.concat(F.when(F.substring(c.cast("string"), 1, 1) == "-", "-").otherwise(""), size))
+    text = F.when(c.isNull(), None).when(F.isnan(c), "nan").when(F.abs(c) == float("inf"), "inf").when(power.between(-4, 14), fixed).otherwise(lifted)
+    return F.when(F.isnan(c), text).otherwise(F.concat(F.when(F.substring(c.cast("string"), 1, 1) == "-", "-").otherwise(""), text))
 
 
 def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
