@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from . import bpe, decontaminate, language_id, line_dedup, near_duplicates, suffix_dedup, top_k, toxicity, url_filter, warc
+from . import bpe, decontaminate, language_id, line_dedup, near_duplicates, simhash, suffix_dedup, top_k, toxicity, url_filter, warc
 from .shared import bound_batches
 
 
@@ -78,4 +78,9 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("tk", "root")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_top_k, op4_decontaminate, op5_url_filter, op6_warc, op7_language_id, op8_suffix_dedup, op9_line_dedup, op10_ngram_jaccard)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_top_k, op4_decontaminate, op5_url_filter, op6_warc, op7_language_id, op8_suffix_dedup, op9_line_dedup, op10_ngram_jaccard, op11_simhash)}
