@@ -45,4 +45,16 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(count(*) FILTER (W
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY rid"""
 
-ORACLES = {"op3_top_k": OP3, "op4_decontaminate": OP4, "op5_url_filter": OP5, "op9_line_dedup": OP9}
+OP12 = """
+WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+n AS (SELECT *, row_number() OVER () AS r FROM v),
+s AS (SELECT a.r, a.vec_id AS anchor_id, c.vec_id, a.l = c.l AS same, CAST(list_inner_product(CAST(a.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM n a JOIN n c ON a.r <> c.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT DISTINCT r, anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS k FROM s WHERE same) WHERE k <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.r, positive_id, positive_score ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON p.r = s.r AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score) WHERE rank <= 5"""
+
+ORACLES = {"op3_top_k": OP3, "op4_decontaminate": OP4, "op5_url_filter": OP5, "op9_line_dedup": OP9, "op12_hard_negatives": OP12}

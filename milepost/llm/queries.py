@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from . import bpe, decontaminate, language_id, line_dedup, near_duplicates, simhash, suffix_dedup, top_k, toxicity, url_filter, warc
+from . import bpe, decontaminate, hard_negatives, language_id, line_dedup, near_duplicates, simhash, suffix_dedup, top_k, toxicity, url_filter, warc
 from .shared import bound_batches
 
 
@@ -83,4 +83,9 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_top_k, op4_decontaminate, op5_url_filter, op6_warc, op7_language_id, op8_suffix_dedup, op9_line_dedup, op10_ngram_jaccard, op11_simhash)}
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_top_k, op4_decontaminate, op5_url_filter, op6_warc, op7_language_id, op8_suffix_dedup, op9_line_dedup, op10_ngram_jaccard, op11_simhash, op12_hard_negatives)}
