@@ -57,4 +57,45 @@ SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, posit
 FROM (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.r, positive_id, positive_score ORDER BY s.score DESC, s.vec_id) AS rank
   FROM p JOIN s ON p.r = s.r AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score) WHERE rank <= 5"""
 
-ORACLES = {"op3_top_k": OP3, "op4_decontaminate": OP4, "op5_url_filter": OP5, "op9_line_dedup": OP9, "op12_hard_negatives": OP12}
+
+
+def _best_ways() -> str:
+    """Values of the four states before a row as strings (cost in 8 digits, then the audit), from those behind it: a row's edits, then two inserts."""
+    none, states, after = "99999999", range(4), (2, 2, 3, 2)
+    led = lambda v, cost, letter: f"CASE WHEN {v} = '{none}' THEN '{none}' ELSE lpad(CAST(CAST({v}[1:8] AS INT) + {cost} AS VARCHAR), 8, '0') || '{letter}' || {v}[9:] END"
+    late = "CAST(fault = 't' AS INT)"
+    ways = []
+    for q in states:
+        keep = " ".join(f"WHEN left(role, 1) = '{c}' THEN {led(f'v{to}', late, 'K')}" for c, to in (("s", 1), ("u", 2), ("a", 3)) if to == after[q] or (q, to) == (0, 1))
+        ways.append(f"least({led(f'v{q}', 3, 'D')}, CASE WHEN fault IN ('b', 'd') THEN '{none}' ELSE least({led(f'v{after[q]}', f'2 + {late}', 'R')}, CASE {keep} ELSE '{none}' END) END) AS v{q}")
+    insert = ", ".join(f"least(v{q}, {led(f'v{after[q]}', 2, 'I')}) AS v{q}" for q in states)
+    return f"SELECT g, i, {insert} FROM (SELECT g, i, {insert} FROM (SELECT f.g, f.i, {', '.join(ways)} FROM r JOIN f ON f.g = r.g AND f.i = r.i - 1))"
+
+
+OP13 = rf"""
+WITH RECURSIVE ids AS (SELECT conv_id, row_number() OVER () AS g FROM (SELECT DISTINCT conv_id FROM conversations)),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) t(i))),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS k FROM conversations, crc),
+told AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM src WHERE k <> 0),
+o AS (SELECT g, turn, role, text, row_number() OVER w AS i, lag(role) OVER w AS before
+  FROM told JOIN ids ON told.conv_id IS NOT DISTINCT FROM ids.conv_id WINDOW w AS (PARTITION BY g ORDER BY turn NULLS FIRST, role, text)),
+s AS (SELECT *, row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS seen FROM o),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b' WHEN seen THEN 'd' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 't' ELSE '' END AS fault FROM s),
+n AS (SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+  count(*) FILTER (WHERE i > 1 AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n_rows FROM f GROUP BY g),
+r AS (SELECT g, n_rows + 1 AS i, '00000000' AS v0, '00000004II' AS v1, '00000002I' AS v2, '00000000' AS v3 FROM n UNION ALL {_best_ways()}),
+best AS (SELECT g, CAST(v0[1:8] AS BIGINT) AS cost, v0[9:] AS audit FROM r WHERE i = 1),
+walk AS (SELECT g, 0 AS p, 0 AS i, 0 AS state, CAST(NULL AS VARCHAR) AS body FROM best UNION ALL
+  SELECT g, p, i, CASE letter WHEN 'D' THEN state WHEN 'K' THEN CASE left(role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE CASE state WHEN 2 THEN 3 ELSE 2 END END AS state,
+    CASE WHEN letter = 'D' THEN body ELSE coalesce(body || chr(10), '') || CASE WHEN letter = 'K' THEN role WHEN state = 2 THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END END AS body
+  FROM (SELECT w.g, w.p, w.i, w.state, w.body, w.letter, f.role, f.text FROM (SELECT walk.g, p + 1 AS p, audit[p + 1] AS letter, i + CASE WHEN audit[p + 1] = 'I' THEN 0 ELSE 1 END AS i, state, body FROM walk JOIN best ON walk.g = best.g WHERE p < length(audit)) w LEFT JOIN f ON f.g = w.g AND f.i = w.i)),
+done AS (SELECT walk.g, sha256(coalesce(body, '')) AS sha FROM walk JOIN best ON walk.g = best.g WHERE p = length(audit))
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM ids LEFT JOIN n USING (g) LEFT JOIN best USING (g) LEFT JOIN done USING (g)"""
+
+ORACLES = {"op3_top_k": OP3, "op4_decontaminate": OP4, "op5_url_filter": OP5, "op9_line_dedup": OP9, "op12_hard_negatives": OP12, "op13_conversation_repair": OP13}

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from . import bpe, decontaminate, hard_negatives, language_id, line_dedup, near_duplicates, simhash, suffix_dedup, top_k, toxicity, url_filter, warc
+from . import bpe, conversations, decontaminate, hard_negatives, language_id, line_dedup, near_duplicates, simhash, suffix_dedup, top_k, toxicity, url_filter, warc
 from .shared import bound_batches
 
 
@@ -88,4 +88,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_top_k, op4_decontaminate, op5_url_filter, op6_warc, op7_language_id, op8_suffix_dedup, op9_line_dedup, op10_ngram_jaccard, op11_simhash, op12_hard_negatives)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    return conversations.with_all(rows, conversations.repaired(conversations.damaged(rows, F.crc32(name.cast("binary")) % 20)))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_top_k, op4_decontaminate, op5_url_filter, op6_warc, op7_language_id, op8_suffix_dedup, op9_line_dedup, op10_ngram_jaccard, op11_simhash, op12_hard_negatives, op13_conversation_repair)}
