@@ -1,7 +1,6 @@
-"""Model fits of the walk-forward evaluation with pyspark.ml, bootstraps and comparisons.
+"""Features, boosted trees, weighted metrics and comparisons of the walk-forward evaluation.
 
-Folds are walked one after another on the driver, as there are a few origins; every fit, encoding and score is a Spark job
-over the fold's rows."""
+Logistic fits of all folds are in `walkforward`, bootstraps in `bootstrap`. Boosted trees are fitted fold by fold."""
 
 from __future__ import annotations
 
@@ -9,7 +8,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CATEGORICAL = ("sector", "agency", "state")
@@ -39,46 +38,12 @@ def evaluation(rows: DataFrame, regime: str, origin: int) -> DataFrame:
     return rows.where((F.col("regime") == regime) & (F.col("mi") == origin))
 
 
-def encoded(train: DataFrame, rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
-    """rows with the column features: categories as their share of the training rows (J05), then everything standardised by the
-    training rows, missing as 0 with a missing bit (J06)."""
-    numeric = [c for c in features if c not in CATEGORICAL]
-    n = train.count()
-    level = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("__MISSING__"))
-
-    def shares(df: DataFrame) -> DataFrame:
-        for c in features:
-            if c in CATEGORICAL:
-                seen = train.groupBy(level(c).alias(f"_{c}")).agg((F.count(F.lit(1)) / n).alias(f"{c}_share"))
-                df = df.withColumn(f"_{c}", level(c)).join(seen, f"_{c}", "left").withColumn(f"{c}_share", F.coalesce(f"{c}_share", F.lit(0.0))).drop(f"_{c}")
-        return df
-
-    named = [*numeric, *[f"{c}_share" for c in features if c in CATEGORICAL]]
-    known = shares(train)
-    scale = known.agg(*[F.avg(c).alias(f"{c}_m") for c in named], *[F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"{c}_s") for c in named]).first()  # one row
-    z = lambda c: F.coalesce((F.col(c) - F.lit(scale[f"{c}_m"])) / F.lit(scale[f"{c}_s"]), F.lit(0.0)).cast("double").alias(f"{c}_z")
-    df = shares(rows)
-    df = df.select(*rows.columns, *[z(c) for c in named], *[F.col(c).isNull().cast("double").alias(f"{c}_n") for c in numeric])
-    return VectorAssembler(inputCols=columns(features), outputCol="features").transform(df)
-
-
 def columns(features: tuple[str, ...]) -> list[str]:
     """Names of the matrix columns, in order."""
     numeric = [c for c in features if c not in CATEGORICAL]
     return [*(f"{c}_z" for c in numeric), *(f"{c}_share_z" for c in features if c in CATEGORICAL), *(f"{c}_n" for c in numeric)]
 
 
-def logistic(train: DataFrame, rows: DataFrame, strength: float = 1.0, balanced: bool = False, features: tuple[str, ...] = ALL) -> tuple[DataFrame, object]:
-    """rows with score, from L2 logistic regression with C = strength; balanced weighs classes evenly."""
-    fit = encoded(train, train, features)
-    counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = sum(counts.values())
-    if balanced:
-        fit = fit.withColumn("w", F.when(F.col("label") == 1, n / (2 * counts[1])).otherwise(n / (2 * counts[0])))
-    model = LogisticRegression(regParam=1.0 / (strength * n), elasticNetParam=0.0, standardization=False, maxIter=60, tol=1e-7, **({"weightCol": "w"} if balanced else {})).fit(fit)
-    return model.transform(encoded(train, rows, features)).withColumn("score", vector_to_array("probability")[1]), model
-
-
 def boosted(train: DataFrame, rows: DataFrame, trees: int = 300, depth: int = 5, features: tuple[str, ...] = ALL) -> DataFrame:
     """rows with score, from gradient-boosted trees; categories by index, unseen ones a level of their own; missing numbers are a value
     far from all others (J09)."""
@@ -104,20 +69,6 @@ def walked(rows: DataFrame, origins: list[tuple[str, int]], score) -> DataFrame:
     return out
 
 
-def coefficients(rows: DataFrame, origins: list[tuple[str, int]], features: tuple[str, ...] = ALL) -> list[tuple[str, int, str, float]]:
-    """regime, origin, source feature, importance: absolute coefficients of its matrix columns together."""
-    out = []
-    for regime, origin in origins:
-        train, now = training(rows, regime, origin), evaluation(rows, regime, origin)
-        if skipped(train, now):
-            continue
-        model, sums = logistic(train, now, features=features)[1], dict.fromkeys(features, 0.0)
-        for name, w in zip(columns(features), model.coefficients):
-            sums[name.removesuffix("_z").removesuffix("_n").removesuffix("_share")] += abs(float(w))
-        out += [(regime, origin, k, v) for k, v in sums.items()]
-    return out
-
-
 def importance(found: DataFrame) -> DataFrame:
     """Mean, deviation and extremes of each feature over folds, ranked."""
     g = found.groupBy("regime", "feature").agg(F.count(F.lit(1)).alias("folds"), F.avg("importance").alias("mean"), F.stddev_pop("importance").alias("std"), F.min("importance").alias("least"), F.max("importance").alias("most"))
@@ -131,27 +82,6 @@ def platt(df: DataFrame, strength: float = 1e6) -> DataFrame:
     return df.sparkSession.createDataFrame([(float(m.coefficients[0]), float(m.intercept))], "slope double, intercept double")
 
 
-def contributions(scored: DataFrame, model: object, features: tuple[str, ...] = ALL) -> DataFrame:
-    """Coefficient times transformed value of each matrix column, in long form."""
-    parts = F.array(*[F.struct(F.lit(n).alias("feature"), (F.lit(float(w)) * F.col(n)).alias("contribution")) for n, w in zip(columns(features), model.coefficients)])
-    return scored.select("project_code", "report_month", "regime", F.lit(float(model.intercept)).alias("base"), F.explode(parts).alias("x")).select("project_code", "report_month", "regime", "base", "x.*")
-
-
-def drawn(df: DataFrame, replicates: int, unit: list[str]) -> DataFrame:
-    """Bootstrap weights: in every replicate each unit (a row, a project, a month) is drawn Poisson(1) times, by a hash of both.
-
-    Weights need no shuffle, and all rows of a unit share theirs."""
-    u = (F.pmod(F.xxhash64(*unit, "rep", F.lit(17)), F.lit(1_000_003)) + 0.5) / 1_000_003
-    cdf, p, weight, steps = 0.0, 0.36787944117144233, F.lit(8), []
-    for k in range(8):
-        cdf += p
-        steps.append((cdf, k))
-        p /= k + 1
-    for edge, k in reversed(steps):
-        weight = F.when(u < edge, F.lit(k)).otherwise(weight)
-    return df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight.cast("double")).where("w > 0")
-
-
 METRICS = ("average_precision", "roc_auc", "precision", "recall", "f1", "brier", "mean_score", "ece")
 
 
@@ -175,41 +105,6 @@ def weighted(df: DataFrame, *by: str) -> DataFrame:
                     over(2 * F.col("tp"), F.col("alerts") + F.col("P")).alias("f1"), (F.col("b") / F.col("N")).alias("brier"), (F.col("m") / F.col("N")).alias("mean_score"), (F.col("gap") / F.col("N")).alias("ece"))
 
 
-def _long(df: DataFrame, *by: str) -> DataFrame:
-    return df.select(*by, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])))
-
-
-def _limits(value: str) -> list[Column]:
-    return [F.percentile(value, F.lit(q)).alias(n) for n, q in (("ci_lower", 0.025), ("ci_upper", 0.975))]
-
-
-def interval(df: DataFrame, unit: list[str], *by: str, replicates: int = REPLICATES, strata: bool = False) -> DataFrame:
-    """Point value and 95 % interval of every metric per group.
-
-    unit: what is drawn: rows (J14), projects or months (J15). strata: positives and negatives keep their totals in each replicate (J14)."""
-    point = _long(weighted(df.withColumn("w", F.lit(1.0)), *by), *by).withColumnRenamed("value", "point")
-    draws = drawn(df, replicates, unit)
-    if strata:
-        of = Window.partitionBy(*by, "rep", "label")
-        size = df.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("_n"))
-        draws = draws.withColumn("_t", F.sum("w").over(of)).join(F.broadcast(size), [*by, "label"]).withColumn("w", F.col("w") * F.col("_n") / F.col("_t"))  # two rows for each group
-    return point.join(_long(weighted(draws, *by, "rep"), *by).groupBy(*by, "metric").agg(*_limits("value")), [*by, "metric"])
-
-
-def paired(challenger: DataFrame, reference: DataFrame, unit: list[str], *by: str, replicates: int = REPLICATES) -> DataFrame:
-    """Deltas of every metric, challenger minus reference, with the interval over draws that both share (J16). Rows must align: same keys, same labels."""
-    keys = ["project_code", "report_month"]
-    both = challenger.select(*keys, *by, "label", F.col("score").alias("a")).join(reference.select(*keys, F.col("label").alias("_label"), F.col("score").alias("b")), keys, "full")
-    bad = both.where("label is null or _label is null or label <> _label").count()
-    if bad:
-        raise ValueError(f"{bad} rows of the two models don't align")
-    two = both.select(*keys, *by, "label", F.inline(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("score")), F.struct(F.lit("b").alias("side"), F.col("b").alias("score")))))
-    delta = lambda df, *g: df.groupBy(*g, "metric").pivot("side", ["a", "b"]).agg(F.first("value")).withColumn("delta", F.col("a") - F.col("b"))
-    point = delta(_long(weighted(two.withColumn("w", F.lit(1.0)), *by, "side"), *by, "side"), *by)
-    draws = delta(_long(weighted(drawn(two, replicates, unit), *by, "side", "rep"), *by, "side", "rep"), *by, "rep").groupBy(*by, "metric").agg(*_limits("delta"))
-    return point.join(draws, [*by, "metric"]).select(*by, "metric", F.col("a").alias("challenger"), F.col("b").alias("reference"), "delta", "ci_lower", "ci_upper", ((F.col("ci_lower") > 0) | (F.col("ci_upper") < 0)).alias("significant"))
-
-
 def decided(deltas: DataFrame, *by: str) -> DataFrame:
     """Prefer the challenger if the interval of average precision excludes 0 and the delta is positive."""
     d = deltas.where("metric = 'average_precision'")

@@ -1,21 +1,23 @@
-"""Queries of model fits and of bootstraps. Results of fits aren't expressible in SQL; tests/test_models.py checks the parts."""
+"""Queries of model fits and of bootstraps. Scores of fits aren't expressible in SQL, which folds are fitted is; tests/test_walkforward.py and
+tests/test_models.py check fits and bootstraps against plain versions."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import labels
+from ..functions.months import text_or_null
+from ..operators import bootstrap, labels
 from ..operators import models as op
+from ..operators import walkforward as wf
 from ..sources.store import kept
-from .metrics import ORIGINS
+from .metrics import ORIGINS, SC
 from .risk import features
 from .surrogate import panel
 
 #: Boosted trees of a fold; 300 of them, the operator's default, take minutes for each fold.
 TREES = 20
-#: The last three origins of either regime, for what is fitted again per fold.
-RECENT = [x for regime in ("LEGACY", "MODERN") for x in sorted(o for o in ORIGINS if o[0] == regime)[-3:]]
-LAST = [max(x for x in ORIGINS if x[0] == regime) for regime in ("LEGACY", "MODERN")]
+FAMILIES = {f"family-{name}": some for name, some in op.FAMILIES.items() if name != "full_v1"}
+_walks: dict[tuple[str, str], tuple] = {}
 
 
 def rows(s, d):
@@ -24,59 +26,114 @@ def rows(s, d):
     return kept(s, d, "labelled-features", lambda: features(s, d).join(lab, ["project_code", "report_month"]))
 
 
-def _logistic(s, d, balanced=False):
-    """Scores of every fold's evaluation month."""
-    return kept(s, d, f"logistic-{balanced}", lambda: op.walked(rows(s, d), ORIGINS, lambda a, b: op.logistic(a, b, balanced=balanced)[0]))
+def _writing(s, d, prefix):
+    return lambda df, name: kept(s, d, f"{prefix}-{name}", lambda: df)
+
+
+def _walk(s, d):
+    """All fits, by one aggregation a Newton step: the full model in every month that has labelled rows (K01), its balanced variant and
+    the families at the origins (J08, J18). Returns folds, rows and fits."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _walks:
+        months = [tuple(r) for r in rows(s, d).select("regime", F.col("mi").cast("int")).distinct().orderBy("regime", "mi").collect()]  # a few dozen
+        folds, ready = wf.learnt(rows(s, d), sorted({*months, *ORIGINS}), _writing(s, d, "walk"))
+        full = wf.fitted(folds, ready, {"full": (op.ALL, False)})
+        at = [i for i, o in enumerate(folds.origins) if o in ORIGINS]
+        more = wf.fitted(folds, ready, {"balanced": (op.ALL, True)} | {name: (some, False) for name, some in FAMILIES.items()}, at)
+        _walks[key] = (folds, ready, [*full, *more])
+    return _walks[key]
+
+
+def _scores(s, d, model="full", origins=True):
+    """Scores of a model in every fold's month."""
+    out = kept(s, d, "walk-scores", lambda: wf.scores(*_walk(s, d))).where(F.col("model") == model).drop("model")
+    return out.where(F.concat_ws("|", "regime", "mi").isin(*[f"{r}|{m}" for r, m in ORIGINS])) if origins else out
+
+
+def _last(s, d):
+    """The last origin of either regime that can be fitted."""
+    done = [(a["regime"], a["origin"]) for a in _walk(s, d)[0].audit if a["status"] == "GENERATED" and (a["regime"], a["origin"]) in ORIGINS]
+    return [max(o for o in done if o[0] == regime) for regime in sorted({r for r, _ in done})]
 
 
 def _trees(s, d):
-    return kept(s, d, "trees", lambda: op.walked(rows(s, d), LAST, lambda a, b: op.boosted(a, b, trees=TREES)))
+    return kept(s, d, "trees", lambda: op.walked(rows(s, d), _last(s, d), lambda a, b: op.boosted(a, b, trees=TREES)))
 
 
 def _rounded(df):
-    return df.withColumn("score", F.round("score", 8))
+    return df.select("project_code", "report_month", "regime", "mi", "label", F.round("score", 8).alias("score"))
+
+
+def _audit(s, d, origins=False):
+    a = s.createDataFrame([r for r in _walk(s, d)[0].audit if not origins or (r["regime"], r["origin"]) in ORIGINS], "regime string, origin int, status string, reason string, target_rows long, rows long, positives long, first int, last int")
+    return a.select("regime", "origin", "status", "reason", "target_rows", F.col("rows").alias("training_rows"), "positives", text_or_null(F.col("first")).alias("first_month"), text_or_null(F.col("last")).alias("last_month"))
 
 
 def _nested(s, d):
-    """Scores of every month of MODERN from rows embargoed before it."""
-    months = [r[0] for r in rows(s, d).where("regime = 'MODERN'").select("mi").distinct().orderBy("mi").collect()]  # a few dozen
-    return op.walked(rows(s, d), [("MODERN", m) for m in months], lambda a, b: op.logistic(a, b)[0])
+    """Scores of every month from rows embargoed before it, with the window they were taught by."""
+    a = _audit(s, d).select("regime", F.col("origin").alias("mi"), "training_rows", "first_month", "last_month")
+    return _scores(s, d, origins=False).join(F.broadcast(a), ["regime", "mi"]).select("project_code", "report_month", "regime", "label", F.round("score", 8).alias("raw_probability"), F.round("logit", 8).alias("raw_logit"), "training_rows", "first_month", "last_month")
+
+
+_AUDIT = SC + f""", o AS (SELECT DISTINCT regime, CAST(mi AS INT) AS origin FROM sc UNION SELECT * FROM (VALUES {", ".join(f"('{r}', {m})" for r, m in ORIGINS)}) AS v(regime, origin)),
+t AS (SELECT o.regime, o.origin, count(*) FILTER (WHERE mi = origin) AS target_rows, count(*) FILTER (WHERE mi + 3 < origin) AS training_rows, CAST(coalesce(sum(label) FILTER (WHERE mi + 3 < origin), 0) AS BIGINT) AS positives, min(report_month) FILTER (WHERE mi + 3 < origin) AS first_month, max(report_month) FILTER (WHERE mi + 3 < origin) AS last_month
+  FROM o LEFT JOIN sc ON o.regime = sc.regime GROUP BY 1, 2),
+q AS (SELECT *, concat_ws('|', CASE WHEN target_rows = 0 THEN 'NO_TARGET_ROWS' END, CASE WHEN training_rows = 0 THEN 'NO_TRAINING_ROWS' END, CASE WHEN training_rows > 0 AND positives IN (0, training_rows) THEN 'TRAINING_HAS_ONE_CLASS' END) AS reason FROM t)
+SELECT regime, origin, CASE WHEN reason = '' THEN 'GENERATED' ELSE 'SKIPPED' END AS status, reason, target_rows, training_rows, positives, first_month, last_month FROM q"""
+_ORIGINS_ONLY = " WHERE regime || '|' || origin IN (" + ", ".join(f"'{r}|{m}'" for r, m in ORIGINS) + ")"
 
 
 def _families(s, d):
-    """Each family of features on the last fold of either regime, with metrics."""
-    out = None
-    for name, some in op.FAMILIES.items():
-        one = op.walked(rows(s, d), LAST, lambda a, b, some=some: op.logistic(a, b, features=some)[0]).withColumn("family", F.lit(name)).withColumn("w", F.lit(1.0))
-        out = one if out is None else out.unionByName(one)
-    return op.weighted(out, "regime", "family", "mi")
+    """Each family of features at every origin, with metrics by fold and for all folds of a regime together."""
+    out = _scores(s, d).withColumn("family", F.lit("full_v1"))
+    for name in FAMILIES:
+        out = out.unionByName(_scores(s, d, name).withColumn("family", F.lit(name.removeprefix("family-"))))
+    scored = out.withColumn("w", F.lit(1.0)).withColumn("scope", F.explode(F.array(F.col("report_month"), F.lit("AGGREGATE"))))
+    return op.weighted(scored, "regime", "family", "scope")
 
 
 def _importance(s, d):
-    found = s.createDataFrame(op.coefficients(rows(s, d), RECENT), "regime string, origin int, feature string, importance double")
+    """Importance over every fold that can be fitted."""
+    folds, _, fits = _walk(s, d)
+    found = s.createDataFrame(wf.importances(folds, [f for f in fits if f.name == "full" and folds.origins[f.fold] in ORIGINS]), "regime string, origin int, feature string, importance double")
     return op.importance(found)
 
 
 def _platt(s, d):
     """Slope and intercept from the folds' raw logits of MODERN."""
-    x = _logistic(s, d).where("score < 1 and score > 0 and regime = 'MODERN'")
-    return op.platt(x.select(F.col("label").cast("double").alias("label"), F.log(F.col("score") / (1 - F.col("score"))).alias("logit")))
+    return op.platt(_scores(s, d).where("regime = 'MODERN'").select(F.col("label").cast("double").alias("label"), "logit"))
 
 
 def _contributions(s, d):
-    regime, origin = LAST[1]
-    return op.contributions(*op.logistic(op.training(rows(s, d), regime, origin), op.evaluation(rows(s, d), regime, origin)))
+    """Of the last fold of either regime that can be fitted."""
+    folds, ready, fits = _walk(s, d)
+    return wf.contributions(folds, ready, [f for f in fits if f.name == "full" and folds.origins[f.fold] in _last(s, d)])
 
 
 def _paired(s, d):
-    last = F.concat_ws("|", "regime", "mi").isin(*[f"{r}|{m}" for r, m in LAST])
-    return op.paired(_trees(s, d), _logistic(s, d).where(last), ["project_code"], "regime")
+    last = F.concat_ws("|", "regime", "mi").isin(*[f"{r}|{m}" for r, m in _last(s, d)])
+    return kept(s, d, "paired", lambda: bootstrap.paired(_trees(s, d), _scores(s, d).where(last), ["project_code"], ["regime"], _writing(s, d, "paired")))
+
+
+def _interval(s, d, name, unit, by, strata=False):
+    return bootstrap.interval(_scores(s, d), unit, by, _writing(s, d, name), strata=strata)
 
 
 ENTRIES = [
-    ("j08_logistic", lambda s, d: _rounded(_logistic(s, d)), None), ("j08_logistic_balanced", lambda s, d: _rounded(_logistic(s, d, True)), None), ("j09_boosted_trees", lambda s, d: _rounded(_trees(s, d)), None),
-    ("j14_bootstrap", lambda s, d: op.interval(_logistic(s, d), ["project_code", "report_month"], "regime", "mi", strata=True), None),
-    ("j15_project_bootstrap", lambda s, d: op.interval(_logistic(s, d), ["project_code"], "regime"), None), ("j15_month_bootstrap", lambda s, d: op.interval(_logistic(s, d), ["report_month"], "regime"), None),
-    ("j16_paired_bootstrap", _paired, None), ("j18_families", _families, None), ("j27_importance", _importance, None), ("j28_weighting_effect", lambda s, d: op.weighting_effect(_logistic(s, d), _logistic(s, d, True), "regime"), None), ("j29_challenger_decision", lambda s, d: op.decided(_paired(s, d), "regime"), None),
-    ("k01_nested_scores", lambda s, d: _rounded(_nested(s, d)), None), ("k03_platt_fit", _platt, None), ("l01_logistic_contributions", _contributions, None),
+    ("j08_logistic", lambda s, d: _rounded(_scores(s, d)), None),
+    ("j08_logistic_balanced", lambda s, d: _rounded(_scores(s, d, "balanced")), None),
+    ("j08_fitted_folds", lambda s, d: _audit(s, d, True), f"SELECT * FROM ({_AUDIT}){_ORIGINS_ONLY}"),
+    ("j09_boosted_trees", lambda s, d: _rounded(_trees(s, d)), None),
+    ("j14_bootstrap", lambda s, d: _interval(s, d, "rows", ["project_code", "report_month"], ["regime", "mi"], True), None),
+    ("j15_project_bootstrap", lambda s, d: _interval(s, d, "projects", ["project_code"], ["regime"]), None),
+    ("j15_month_bootstrap", lambda s, d: _interval(s, d, "months", ["report_month"], ["regime"]), None),
+    ("j16_paired_bootstrap", _paired, None),
+    ("j18_families", _families, None),
+    ("j27_importance", _importance, None),
+    ("j28_weighting_effect", lambda s, d: op.weighting_effect(_scores(s, d), _scores(s, d, "balanced"), "regime"), None),
+    ("j29_challenger_decision", lambda s, d: op.decided(_paired(s, d), "regime"), None),
+    ("k01_nested_scores", _nested, None),
+    ("k01_nested_audit", lambda s, d: _audit(s, d), _AUDIT),
+    ("k03_platt_fit", _platt, None),
+    ("l01_logistic_contributions", _contributions, None),
 ]

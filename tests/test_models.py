@@ -42,27 +42,6 @@ def test_weighted_metrics(spark):
     assert {m: got[m] for m in models.METRICS} == pytest.approx(want)
 
 
-def test_bootstrap(spark):
-    df, rows = made(spark)
-    draws = models.drawn(df, 200, ["project_code"])
-    a = draws.groupBy().agg((F.sum("w") / 200 / 300).alias("mean"), F.max("w").alias("most")).first()
-    assert a["mean"] == pytest.approx(1.0, abs=0.03) and a["most"] >= 4
-    assert draws.groupBy("project_code", "rep").agg(F.count_distinct("w").alias("n")).where("n > 1").count() == 0
-    point = metrics([(y, s, 1.0) for *_, y, s in rows])
-    for r in models.interval(df, ["project_code", "report_month"], "regime", replicates=200, strata=True).collect():
-        assert r["point"] == pytest.approx(point[r["metric"]]) and r["ci_lower"] <= r["point"] <= r["ci_upper"]
-
-
-def test_paired_deltas(spark):
-    a, _ = made(spark)
-    b = a.withColumn("score", F.round(1 - F.col("score"), 2))
-    out = {r["metric"]: r for r in models.paired(a, b, ["project_code"], "regime", replicates=100).collect()}
-    assert out["roc_auc"]["delta"] == pytest.approx(2 * out["roc_auc"]["challenger"] - 1) and out["roc_auc"]["significant"]
-    assert models.decided(models.paired(a, a, ["project_code"], "regime", replicates=20), "regime").first()["decision"] == "INCONCLUSIVE"
-    with pytest.raises(ValueError):
-        models.paired(a, b.limit(299), ["project_code"], "regime", replicates=2)
-
-
 def test_platt_fit(spark):
     _, rows = made(spark)
     x = [(float(y), math.log(s / (1 - s))) for *_, y, s in rows if 0 < s < 1]
