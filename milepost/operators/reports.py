@@ -4,8 +4,10 @@ it is a fold over the few rows of a page or the label rows of a file."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -121,36 +123,57 @@ def classified(rows: DataFrame, states: list[str], sectors: list[str]) -> DataFr
     return rows.withColumn("row_class", kind).drop("_coded", "_closed")
 
 
-def _merge(current: Column, piece: Column) -> Column:
+def _key(label: str) -> str:
+    return label.lower().replace(" ", "")
+
+
+def merged_label(current: str | None, piece: str) -> str:
     """A label and a fragment of it: by containment, by words that both share, else one after the other."""
-    key = lambda c: F.replace(F.lower(c), F.lit(" "))
-    a, b = F.split(current, " "), F.split(piece, " ")
-    low = lambda xs: F.transform(xs, lambda x: F.lower(x))
-    least = F.least(F.size(a), F.size(b))
-    shared = F.try_element_at(F.filter(F.sequence(least, F.lit(1), F.lit(-1)), lambda k: F.slice(low(a), -k, k) == F.slice(low(b), 1, k)), F.lit(1))
-    joined = F.when(shared.isNotNull(), F.array_join(F.concat(a, F.slice(b, shared + 1, F.size(b))), " ")).otherwise(F.concat_ws(" ", current, piece))
-    return F.when(current.isNull(), piece).when(F.contains(key(current), key(piece)), current).when(F.contains(key(piece), key(current)), piece).otherwise(joined)
+    if current is None:
+        return piece
+    if _key(piece) in _key(current):
+        return current
+    if _key(current) in _key(piece):
+        return piece
+    a, b = current.split(" "), piece.split(" ")
+    low_a, low_b = [x.lower() for x in a], [x.lower() for x in b]
+    shared = next((k for k in range(min(len(a), len(b)), 0, -1) if low_a[-k:] == low_b[:k]), 0)
+    return " ".join([*a, *b[shared:]])
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of label rows in order the final label of each group. Only the group that is open is held."""
+    file = now = group = None
+    for batch in batches:
+        done = []
+        for source, number, start, label in zip(*(batch.column(c).to_pylist() for c in ("source_file", "grp", "start", "label"))):
+            if source != file:
+                if now is not None:
+                    done.append((file, group, now))
+                file, now, group = source, None, 0
+            if start:
+                if now is not None:
+                    done.append((file, group, now))
+                now, group = now if now is not None and _key(label) in _key(now) else label, number
+            else:
+                now = merged_label(now, label)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["source_file", "grp", "label"])
+    if now is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([group], pa.int64()), pa.array([now])], names=["source_file", "grp", "label"])
 
 
 def group_labels(rows: DataFrame, i: int, name: str) -> DataFrame:
     """Of nine-column files the label (cell i) of each project row: groups begin where a project row has one; fragments that come
-    later complete the label of the whole group (C08). Adds name and the group's number."""
+    later complete the label of the whole group (C08). Adds name.
+
+    The label rows of a file, a few for each page, pass in order through one task, which holds the open group only; rows meet
+    their group's label by file and group number."""
     label = F.nullif(cell(i), F.lit(""))
     starts = (F.col("row_class") == "project") & label.isNotNull()
-    numbered = rows.withColumn(f"_{name}", F.sum(starts.cast("int")).over(so_far()))
-    # the label rows of a file: a handful for each page
-    pieces = numbered.where(label.isNotNull() & F.col("row_class").isin("project", "fragment")).groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct("raw_sequence", starts.alias("start"), label.alias("label")))).alias("pieces"))
-    key = lambda c: F.replace(F.lower(c), F.lit(" "))
-
-    def step(acc: Column, x: Column) -> Column:
-        kept = F.when(acc["now"].isNotNull() & F.contains(key(acc["now"]), key(x["label"])), acc["now"]).otherwise(x["label"])
-        now = F.when(x["start"], kept).otherwise(_merge(acc["now"], x["label"]))
-        done = F.when(x["start"] & acc["now"].isNotNull(), F.concat(acc["labels"], F.array(acc["now"]))).otherwise(acc["labels"])
-        return F.struct(now.alias("now"), done.alias("labels"))
-
-    begin = F.struct(F.lit(None).cast("string").alias("now"), F.array().cast("array<string>").alias("labels"))
-    labels = pieces.select("source_file", F.aggregate("pieces", begin, step, lambda a: F.concat(a["labels"], F.array(a["now"]))).alias("_all"))
-    return numbered.join(labels, "source_file", "left").withColumn(name, F.get("_all", F.col(f"_{name}") - 1)).drop(f"_{name}", "_all")
+    numbered = rows.withColumn("grp", F.sum(starts.cast("int")).over(so_far()))
+    pieces = numbered.where(label.isNotNull() & F.col("row_class").isin("project", "fragment")).select("source_file", "raw_sequence", "grp", starts.alias("start"), label.alias("label"))
+    labels = pieces.repartition("source_file").sortWithinPartitions("source_file", "raw_sequence").drop("raw_sequence").mapInArrow(_labelled, "source_file string, grp bigint, label string")
+    return numbered.join(labels.where("grp > 0").withColumnRenamed("label", name), ["source_file", "grp"], "left").drop("grp")
 
 
 def filled(rows: DataFrame) -> DataFrame:
@@ -245,7 +268,8 @@ def repaired_codes(rows: DataFrame, pages: DataFrame) -> DataFrame:
     have = F.flatten(F.transform("r", lambda x: F.filter(x["lines"], is_code)))
     said = F.transform(F.regexp_extract_all(F.coalesce("page_text", F.lit("")), F.lit(rf"\(({f.CODE})\)")), lambda x: F.concat(F.lit("("), x, F.lit(")")))
     count = lambda xs, v: F.size(F.filter(xs, lambda y: y == v))
-    free = F.filter("said", lambda v: count(F.col("said"), v) > count(F.col("have"), v))
+    # as often as the page prints it beyond the rows that have it
+    free = F.flatten(F.transform(F.array_distinct("said"), lambda v: F.array_repeat(v, F.greatest(count(F.col("said"), v) - count(F.col("have"), v), F.lit(0)))))
     page = page.withColumn("have", have).withColumn("said", said).withColumn("free", free)
     last = F.array_max(F.transform(F.filter("r", lambda x: x["serial"].isNotNull()), lambda x: x["raw_sequence"]))
     sure = (F.size("free") == 1) & (F.element_at("free", 1) == F.element_at("said", -1))

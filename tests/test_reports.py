@@ -36,8 +36,26 @@ def test_legacy_identity(spark, value, want):
 
 
 @pytest.mark.parametrize("now, piece, want", [(None, "UTTAR", "UTTAR"), ("UTTAR PRADESH", "pradesh", "UTTAR PRADESH"), ("UTTAR", "UTTAR PRADESH", "UTTAR PRADESH"), ("ROAD TRANSPORT", "TRANSPORT AND HIGHWAYS", "ROAD TRANSPORT AND HIGHWAYS"), ("ROAD", "AIR", "ROAD AIR")])
-def test_label_fragments(spark, now, piece, want):
-    assert spark.createDataFrame([(now, piece)], "a string, b string").select(reports._merge(F.col("a"), F.col("b")).alias("x")).first()["x"] == want
+def test_label_fragments(now, piece, want):
+    assert reports.merged_label(now, piece) == want
+
+
+def test_group_labels(spark):
+    """Fragments complete the group before them, a shorter label that begins a group again keeps the longer one; each file for itself."""
+    rows = [("f", 1, "project", "UTTAR"), ("f", 2, "project", ""), ("f", 3, "fragment", "PRADESH"), ("f", 4, "project", "Uttar"), ("f", 5, "project", "GOA"), ("f", 6, "total", "x"), ("g", 1, "project", ""), ("g", 2, "project", "ASSAM"), ("g", 3, "fragment", "ASSAM REGION"), ("h", 1, "project", "")]
+    df = spark.createDataFrame([(f, n, k, [c]) for f, n, k, c in rows], "source_file string, raw_sequence int, row_class string, cells array<string>").repartition(3)
+    got = {(r["source_file"], r["raw_sequence"]): r["state"] for r in reports.group_labels(df, 0, "state").collect()}
+    assert got == {("f", 1): "UTTAR PRADESH", ("f", 2): "UTTAR PRADESH", ("f", 3): "UTTAR PRADESH", ("f", 4): "UTTAR PRADESH", ("f", 5): "GOA", ("f", 6): "GOA", ("g", 1): None, ("g", 2): "ASSAM REGION", ("g", 3): "ASSAM REGION", ("h", 1): None}
+
+
+def test_code_printed_twice_and_assigned_once(spark):
+    a = "(N00000001)"
+    df = spark.createDataFrame([("f", 1, 1, 1, ["p1", a]), ("f", 1, 2, 2, ["p2"])], "source_file string, source_page int, raw_sequence int, serial int, lines array<string>")
+    page = lambda said: spark.createDataFrame([("f", 1, said)], "source_file string, source_page int, page_text string")
+    last = lambda said: {r["raw_sequence"]: r["lines"] for r in reports.repaired_codes(df, page(said)).collect()}[2]
+    assert last(f"{a} {a}") == ["p2", a]
+    assert last(f"{a} {a} {a}") == ["p2"]  # two are free
+    assert last(a) == ["p2"]
 
 
 def test_displaced_codes(spark):
