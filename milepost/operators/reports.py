@@ -162,18 +162,20 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([group], pa.int64()), pa.array([now])], names=["source_file", "grp", "label"])
 
 
-def group_labels(rows: DataFrame, i: int, name: str) -> DataFrame:
-    """Of nine-column files the label (cell i) of each project row: groups begin where a project row has one; fragments that come
-    later complete the label of the whole group (C08). Adds name.
+def group_labels(rows: DataFrame, *labels: tuple[int, str]) -> DataFrame:
+    """Of nine-column files the labels of each project row, by (cell, name): groups begin where a project row has one; fragments that come
+    later complete the label of the whole group (C08). Adds the names.
 
     The label rows of a file, a few for each page, pass in order through one task, which holds the open group only; rows meet
-    their group's label by file and group number."""
-    label = F.nullif(cell(i), F.lit(""))
-    starts = (F.col("row_class") == "project") & label.isNotNull()
-    numbered = rows.withColumn("grp", F.sum(starts.cast("int")).over(so_far()))
-    pieces = numbered.where(label.isNotNull() & F.col("row_class").isin("project", "fragment")).select("source_file", "raw_sequence", "grp", starts.alias("start"), label.alias("label"))
-    labels = pieces.repartition("source_file").sortWithinPartitions("source_file", "raw_sequence").drop("raw_sequence").mapInArrow(_labelled, "source_file string, grp bigint, label string")
-    return numbered.join(labels.where("grp > 0").withColumnRenamed("label", name), ["source_file", "grp"], "left").drop("grp")
+    their group's label by file and group number. rows is read once for each label and once more."""
+    given = {name: F.nullif(cell(i), F.lit("")) for i, name in labels}
+    starts = {name: (F.col("row_class") == "project") & label.isNotNull() for name, label in given.items()}
+    out = numbered = rows.select("*", *[F.sum(start.cast("int")).over(so_far()).alias(f"grp_{name}") for name, start in starts.items()])
+    for name, label in given.items():
+        pieces = numbered.where(label.isNotNull() & F.col("row_class").isin("project", "fragment")).select("source_file", "raw_sequence", F.col(f"grp_{name}").alias("grp"), starts[name].alias("start"), label.alias("label"))
+        found = pieces.repartition("source_file").sortWithinPartitions("source_file", "raw_sequence").drop("raw_sequence").mapInArrow(_labelled, "source_file string, grp bigint, label string")
+        out = out.join(found.where("grp > 0").withColumnsRenamed({"label": name, "grp": f"grp_{name}"}), ["source_file", f"grp_{name}"], "left")
+    return out.drop(*[f"grp_{name}" for name in given])
 
 
 def filled(rows: DataFrame) -> DataFrame:

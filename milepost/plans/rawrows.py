@@ -80,12 +80,12 @@ def rows(s, d):
 
 
 def _rows(s, d):
-    r = op.filled(op.classified(op.with_layout(raw(s, d)), *_words(s, d)))
-    return op.group_labels(op.group_labels(r, 0, "state"), 1, "sector")
+    r = kept(s, d, "report-classes", lambda: op.filled(op.classified(op.with_layout(raw(s, d)), *_words(s, d))), "source_file")
+    return op.group_labels(r, (0, "state"), (1, "sector"))
 
 
 def found(s, d):
-    return op.records(op.merged(rows(s, d)), _words(s, d)[0])
+    return op.records(kept(s, d, "report-merged", lambda: op.merged(rows(s, d))), _words(s, d)[0])
 
 
 P = (f"WITH {PANEL_SQL}, q AS (SELECT *, coalesce(ministry, '{NONE}') AS mn, coalesce(state, '{NONE}') || ' REGION' AS st, 'N' || lpad(CAST(ent AS VARCHAR), 8, '0') AS long, ['NINE', 'EIGHT', 'ANNEXURE', 'MILESTONES'][CAST(mi % 4 AS INT) + 1] AS lay FROM panel), "

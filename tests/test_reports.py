@@ -44,7 +44,7 @@ def test_group_labels(spark):
     """Fragments complete the group before them, a shorter label that begins a group again keeps the longer one; each file for itself."""
     rows = [("f", 1, "project", "UTTAR"), ("f", 2, "project", ""), ("f", 3, "fragment", "PRADESH"), ("f", 4, "project", "Uttar"), ("f", 5, "project", "GOA"), ("f", 6, "total", "x"), ("g", 1, "project", ""), ("g", 2, "project", "ASSAM"), ("g", 3, "fragment", "ASSAM REGION"), ("h", 1, "project", "")]
     df = spark.createDataFrame([(f, n, k, [c]) for f, n, k, c in rows], "source_file string, raw_sequence int, row_class string, cells array<string>").repartition(3)
-    got = {(r["source_file"], r["raw_sequence"]): r["state"] for r in reports.group_labels(df, 0, "state").collect()}
+    got = {(r["source_file"], r["raw_sequence"]): r["state"] for r in reports.group_labels(df, (0, "state")).collect()}
     assert got == {("f", 1): "UTTAR PRADESH", ("f", 2): "UTTAR PRADESH", ("f", 3): "UTTAR PRADESH", ("f", 4): "UTTAR PRADESH", ("f", 5): "GOA", ("f", 6): "GOA", ("g", 1): None, ("g", 2): "ASSAM REGION", ("g", 3): "ASSAM REGION", ("h", 1): None}
 
 
