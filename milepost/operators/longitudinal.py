@@ -94,13 +94,33 @@ def name_change(a: Column, b: Column) -> Column:
     return F.when(compact(a) == compact(b), "SUPERFICIAL_ONLY").otherwise("SUBSTANTIVE_TEXT_CHANGE")
 
 
-def with_raw_cells(found: DataFrame, panel: DataFrame, raw: DataFrame) -> DataFrame:
-    """Events with the raw cells of both months beside them, found by month, page and row."""
-    where = panel.select("project_code", "report_month", "source_page", "source_row_number")
-    cells = raw.select(F.col("source_file").alias("report_month"), "source_page", F.col("raw_sequence").alias("source_row_number"), "cells")
-    of = where.join(cells, ["report_month", "source_page", "source_row_number"], "left").select("project_code", "report_month", "cells")
-    side = lambda month, name: of.select("project_code", F.col("report_month").alias(month), F.col("cells").alias(name))
-    return found.join(side("month_a", "previous_raw_cells"), ["project_code", "month_a"], "left").join(side("month_b", "current_raw_cells"), ["project_code", "month_b"], "left")
+#: Where a row stands in a report.
+PLACE = ["report_month", "source_page", "source_row_number"]
+
+
+def bucketed(cells: DataFrame, name: str, path: str) -> DataFrame:
+    """cells (PLACE, cells) as a table in as many buckets of PLACE as shuffles have partitions, so that joins on it leave it where it is."""
+    spark = cells.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells.select(*PLACE, "cells").repartition(n, *PLACE).write.bucketBy(n, *PLACE).sortBy(*PLACE).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+def with_places(found: DataFrame, panel: DataFrame) -> DataFrame:
+    """Events with the page and row of both months."""
+    for side in ("a", "b"):
+        at = panel.select("project_code", F.col("report_month").alias(f"month_{side}"), F.col("source_page").alias(f"page_{side}"), F.col("source_row_number").alias(f"row_{side}"))
+        found = found.join(at, ["project_code", f"month_{side}"], "left")
+    return found
+
+
+def with_raw_cells(found: DataFrame, cells: DataFrame) -> DataFrame:
+    """Events (with_places) with the raw cells of both months beside them (E19). cells: `bucketed`; only events are shuffled."""
+    for side, name in (("a", "previous_raw_cells"), ("b", "current_raw_cells")):
+        at = cells.withColumnsRenamed({"report_month": f"month_{side}", "source_page": f"page_{side}", "source_row_number": f"row_{side}", "cells": name})
+        found = found.join(at.hint("shuffle_merge"), [f"month_{side}", f"page_{side}", f"row_{side}"], "left")
+    return found
 
 
 def events(paired: DataFrame) -> DataFrame:
