@@ -72,6 +72,28 @@ G01 = f"{WITH} SELECT project_code, regexp_replace(lower(project_name), '[^a-z0-
 G02 = (f"{WITH}, k AS (SELECT project_code, report_month, regexp_replace(lower(project_name), '[^a-z0-9]', '', 'g') AS name_key, " + ", ".join(f"{v} AS {c}" for c, v in _fields.items()) + " FROM panel WHERE report_month IN ('1998-12', '1999-01')), "
        f"m AS (SELECT a.project_code AS l, b.project_code AS r, a.name_key = b.name_key AS exact_name, {_count} AS agreements, {_list(lambda c: f'a.{c} = b.{c}')} AS evidence, {_list(lambda c: f'a.{c} <> b.{c}')} AS conflicts, {_list(lambda c: f'a.{c} IS NULL OR b.{c} IS NULL')} AS missing "
        "FROM k a JOIN k b ON a.report_month = '1998-12' AND b.report_month = '1999-01') SELECT * FROM m WHERE exact_name OR agreements >= 2")
+#: The same pairs with the ratio of matching blocks: the longest common run (earliest in the left name, then in the right), then what is left and right of it.
+_LONGEST = "coalesce(list_max(flatten(list_transform(range(1, length({a}) + 1), lambda i: list_transform(range(1, length({a}) - i + 2), lambda k: CASE WHEN contains({b}, {a}[i:i + k - 1]) THEN k * 1000 + 999 - i ELSE 0 END)))), 0)"
+_WORDS = "list_distinct(regexp_extract_all(lower(project_name), '[a-z0-9]+'))"
+EDGES = (G02.replace("WITH ", "WITH RECURSIVE ", 1).replace("AS name_key, ", f"AS name_key, {_WORDS} AS words, ").replace("AS l, b.project_code AS r,", "AS l, b.project_code AS r, a.name_key AS an, b.name_key AS bn, a.words AS aw, b.words AS bw,").replace(" SELECT * FROM m WHERE exact_name OR agreements >= 2", f""", c AS (SELECT *, len(list_intersect(aw, bw))::DOUBLE / len(list_distinct(list_concat(aw, bw))) AS alike FROM m WHERE exact_name OR agreements >= 2),
+piece AS (SELECT l, r, an AS a, bn AS b, {_LONGEST.format(a='an', b='bn')} AS best FROM c WHERE NOT exact_name UNION ALL
+  SELECT l, r, x.a, x.b, {_LONGEST.format(a='x.a', b='x.b')} AS best FROM (SELECT l, r, unnest([{{'a': a[1:i - 1], 'b': b[1:j - 1]}}, {{'a': a[i + k:], 'b': b[j + k:]}}]) AS x FROM (SELECT *, instr(b, a[i:i + k - 1]) AS j FROM (SELECT *, best // 1000 AS k, 999 - best % 1000 AS i FROM piece WHERE best > 0))) WHERE length(x.a) > 0 AND length(x.b) > 0),
+ratio AS (SELECT l, r, sum(best // 1000) AS same FROM piece GROUP BY 1, 2),
+s AS (SELECT c.*, CASE WHEN an = '' OR bn = '' THEN 0 WHEN exact_name THEN 1 ELSE greatest(alike, coalesce(2.0::DOUBLE * same / (length(an) + length(bn)), 0)) END AS similarity FROM c LEFT JOIN ratio USING (l, r)),
+e AS (SELECT *, len(list_intersect(string_split(conflicts, '|'), ['approval_date', 'original_cost', 'state'])) = 0 AND len(list_intersect(string_split(evidence, '|'), ['agency', 'state'])) > 0
+    AND ((exact_name AND agreements >= 3) OR (similarity >= 0.8::DOUBLE AND agreements >= 4) OR (similarity >= 0.65::DOUBLE AND agreements >= 5)) AS high
+  FROM s WHERE exact_name OR (similarity >= 0.68::DOUBLE AND agreements >= 2) OR (similarity >= 0.5::DOUBLE AND agreements >= 4)),
+one AS (SELECT * FROM (SELECT *, count(*) FILTER (WHERE high) OVER (PARTITION BY l) AS hl, count(*) FILTER (WHERE high) OVER (PARTITION BY r) AS hr FROM e) WHERE high AND hl = 1 AND hr = 1),
+rest AS (SELECT *, count(*) OVER (PARTITION BY l) AS nl, count(*) OVER (PARTITION BY r) AS nr FROM e WHERE l NOT IN (SELECT l FROM one) AND r NOT IN (SELECT r FROM one)),
+met AS (SELECT 'HIGH' AS status, l, r, exact_name, evidence, conflicts, missing, similarity, 1::BIGINT AS nl, 1::BIGINT AS nr FROM one UNION ALL SELECT 'AMBIGUOUS', l, r, exact_name, evidence, conflicts, missing, similarity, nl, nr FROM rest),
+done AS (SELECT l, r, status, concat_ws('|', CASE WHEN exact_name THEN 'project_name_exact' ELSE 'project_name_near' END, nullif(evidence, '')) AS evidence, conflicts, missing,
+    concat_ws('|', CASE WHEN nl > 1 THEN 'ONE_LEGACY_TO_MULTIPLE_NEW_CANDIDATES' END, CASE WHEN nr > 1 THEN 'MULTIPLE_LEGACY_TO_ONE_NEW_CANDIDATE' END, CASE WHEN similarity < 0.68::DOUBLE THEN 'SUBSTANTIAL_PROJECT_NAME_CHANGE' END,
+      CASE WHEN list_contains(string_split(conflicts, '|'), 'agency') THEN 'AGENCY_CHANGED' END, CASE WHEN len(list_intersect(string_split(conflicts, '|'), ['original_cost', 'revised_cost', 'original_completion_date', 'revised_completion_date'])) > 0 THEN 'COST_OR_COMPLETION_CHANGED' END) AS flags,
+    nl AS left_candidates, nr AS right_candidates FROM met UNION ALL
+  SELECT project_code, NULL, 'UNMATCHED', '', '', '', '', 0, 0 FROM k WHERE report_month = '1998-12' AND project_code NOT IN (SELECT l FROM met))"""))
+G09 = EDGES + """ SELECT count(*) FILTER (WHERE status = 'HIGH') AS high, count(*) FILTER (WHERE status = 'AMBIGUOUS') AS ambiguous, count(*) FILTER (WHERE status = 'UNMATCHED') AS unmatched,
+(SELECT count(*) FROM (SELECT l FROM met GROUP BY 1 HAVING count(DISTINCT r) > 1)) AS split, (SELECT count(*) FROM (SELECT r FROM met GROUP BY 1 HAVING count(DISTINCT l) > 1)) AS merged,
+(SELECT count(*) FROM k WHERE report_month = '1999-01' AND project_code NOT IN (SELECT r FROM met)) AS right_unmatched, (SELECT count(*) FROM k WHERE report_month = '1999-01' AND project_code NOT IN (SELECT r FROM one)) AS right_not_high FROM done"""
 
 
 ENTRIES = [
@@ -97,11 +119,11 @@ ENTRIES = [
     ("b31_code_styles", lambda s, d: panel(s, d).groupBy(text.code_style(F.col("project_code")).alias("style")).agg(F.count(F.lit(1)).alias("n")), f"{WITH} SELECT CASE WHEN regexp_full_match(project_code, '[0-9]{{6}}') THEN 'SIX' WHEN regexp_full_match(project_code, 'N[0-9]{{8}}') THEN 'LEGACY' ELSE 'OTHER' END AS style, count(*) AS n FROM panel GROUP BY 1"),
     ("g01_prepared", lambda s, d: _sides(s, d)[0].select("project_code", "name_key", F.col("agency_key").alias("agency"), *[c for c in cw.FIELDS if c != "agency"]), G01),
     ("g02_candidates", lambda s, d: cw.candidates(*_sides(s, d)).select("l", "r", "exact_name", "agreements", F.array_join("evidence", "|").alias("evidence"), F.array_join("conflicts", "|").alias("conflicts"), F.array_join("missing", "|").alias("missing")), G02),
-    ("g03_credible", lambda s, d: _edges(s, d).select("l", "r", F.round("similarity", 6).alias("similarity"), "high"), None),
-    ("g04_high_eligible", lambda s, d: _edges(s, d).where("high").select("l", "r", "exact_name", F.col("agreements").cast("long").alias("agreements"), F.round("similarity", 6).alias("similarity")), None),
-    ("g05_certain_pairs", lambda s, d: _resolved(s, d).where("status = 'HIGH'").select("l", "r", "evidence"), None),
-    ("g06_unresolved_edges", lambda s, d: _resolved(s, d).where("status = 'AMBIGUOUS'").select("l", "r", "left_candidates", "right_candidates"), None),
-    ("g07_resolved", lambda s, d: _resolved(s, d), None),
-    ("g08_flags", lambda s, d: _resolved(s, d).where("r is not null").select("l", "r", "status", "evidence", "conflicts", "missing", "flags"), None),
-    ("g09_summary", lambda s, d: cw.summary(_resolved(s, d), _sides(s, d)[1]), None), ("g10_raw_ids", _raw_ids, RAW_IDS),
+    ("g03_credible", lambda s, d: _edges(s, d).select("l", "r", F.round("similarity", 6).alias("similarity"), "high"), EDGES + " SELECT l, r, round(similarity, 6) AS similarity, high FROM e"),
+    ("g04_high_eligible", lambda s, d: _edges(s, d).where("high").select("l", "r", "exact_name", F.col("agreements").cast("long").alias("agreements"), F.round("similarity", 6).alias("similarity")), EDGES + " SELECT l, r, exact_name, CAST(agreements AS BIGINT) AS agreements, round(similarity, 6) AS similarity FROM e WHERE high"),
+    ("g05_certain_pairs", lambda s, d: _resolved(s, d).where("status = 'HIGH'").select("l", "r", "evidence"), EDGES + " SELECT l, r, evidence FROM done WHERE status = 'HIGH'"),
+    ("g06_unresolved_edges", lambda s, d: _resolved(s, d).where("status = 'AMBIGUOUS'").select("l", "r", "left_candidates", "right_candidates"), EDGES + " SELECT l, r, left_candidates, right_candidates FROM done WHERE status = 'AMBIGUOUS'"),
+    ("g07_resolved", lambda s, d: _resolved(s, d), EDGES + " SELECT * FROM done"),
+    ("g08_flags", lambda s, d: _resolved(s, d).where("r is not null").select("l", "r", "status", "evidence", "conflicts", "missing", "flags"), EDGES + " SELECT l, r, status, evidence, conflicts, missing, flags FROM done WHERE r IS NOT NULL"),
+    ("g09_summary", lambda s, d: cw.summary(_resolved(s, d), _sides(s, d)[1]), G09), ("g10_raw_ids", _raw_ids, RAW_IDS),
 ]
