@@ -16,13 +16,13 @@ columns are left alone."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -43,7 +43,7 @@ FAMILIES = {
     "fi": "uralic", "et": "uralic", "hu": "uralic", "tr": "turkic", "az": "turkic", "kk": "turkic",
     "hi": "indic", "bn": "indic", "ur": "indic", "mr": "indic", "zh": "sinitic", "ja": "japonic", "ko": "koreanic", "ar": "semitic", "he": "semitic", "am": "semitic",
 }
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def vector(text: str) -> np.ndarray:

@@ -311,10 +311,12 @@ def refined(units: DataFrame, kind: str, seed: int) -> DataFrame:
         else:
             small, rest = left, None
         if wide == 1:
-            starts = left.select("h", "more", "id", "tk", F.col("start").alias("pos"))
-            firsts = materialise(_firsts(starts, "h"), "suffix-start-buckets")
+            # one start a row: those of the same bytes repeat, whatever their names
+            body = F.substring("hull", F.col("start") - F.col("pos") + 1, F.lit(SPAN)).alias("body")
+            starts = left.select(body, "more", "id", "tk", F.col("start").alias("pos"))
+            firsts = materialise(_firsts(starts, "body"), "suffix-start-buckets")
             tables.append(firsts)
-            found = _not_first(starts, firsts, "h").select("id", "tk", F.col("pos").alias("a"), (F.col("pos") + SPAN).alias("b"))
+            found = _not_first(starts, firsts, "body").select("id", "tk", F.col("pos").alias("a"), (F.col("pos") + SPAN).alias("b"))
         else:
             found = small.repartition("h").sortWithinPartitions("h", F.asc_nulls_first("id"), "tk", "pos").mapInArrow(_refined, cut)
         found = materialise(found, "suffix-refined")

@@ -31,7 +31,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bound_batches, materialise, scratch_path, text_key
+from .shared import bound_batches, materialise, qualified, scratch_path, text_key
 
 #: Bytes in a chunk row, and in an archive before the next one begins.
 CHUNK, ARCHIVE = 1 << 20, 1 << 28
@@ -91,7 +91,7 @@ def _head(x: dict) -> bytes:
 
 
 def _written(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    fs, path = pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pyarrow.fs.LocalFileSystem(), folder)
+    fs, path = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
     name, out, packer, listed, records, size = "", None, None, [], 0, 0
     for batch in batches:
@@ -123,7 +123,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0,
     """Write the archives; returns archive, records for each of them."""
     spark = pages.sparkSession
     bound_batches(spark)
-    folder = folder or scratch_path(spark, "archives")
+    folder = qualified(spark, folder or scratch_path(spark, "archives"))
     chunks = chunk_rows(pages, page_id, url, payload, chunk)
     what = decided(chunks, least)
     met = chunks.join(what, chunks["id"].eqNullSafe(what["id"]) & (chunks["key"] == what["key"]))
@@ -134,7 +134,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0,
 
 
 def _chunks(archive: str, most: int) -> Iterator[dict]:
-    fs, path = pyarrow.fs.FileSystem.from_uri(archive) if "://" in archive or archive.startswith("file:") else (pyarrow.fs.LocalFileSystem(), archive)
+    fs, path = pyarrow.fs.FileSystem.from_uri(archive)
     with fs.open_input_stream(path, compression=None, buffer_size=1 << 20) as raw, gzip.GzipFile(fileobj=raw) as f:
         for number in itertools.count():
             line = f.readline()
@@ -189,9 +189,10 @@ def _read(batches: Iterator[pa.RecordBatch], payload: bool, chunk: int) -> Itera
 
 
 def read_archives(archives: DataFrame, payload: bool = True, chunk: int = CHUNK) -> DataFrame:
-    """The chunk rows of the archives, each archive read by one task; payload=False leaves data null."""
-    n = archives.count()
-    return archives.select("archive").repartition(max(1, min(n, 10_000)), "archive").mapInArrow(lambda b: _read(b, payload, chunk), READ)
+    """The chunk rows of the archives, each archive read by one task; payload=False leaves data null. A path without scheme is one of Spark's default file system."""
+    n, root = archives.count(), qualified(archives.sparkSession, "/").rstrip("/")
+    full = F.when(F.col("archive").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("archive")).otherwise(F.concat(F.lit(root), "archive"))
+    return archives.select(full.alias("archive")).repartition(max(1, min(n, 10_000)), "archive").mapInArrow(lambda b: _read(b, payload, chunk), READ)
 
 
 def records(chunks: DataFrame) -> DataFrame:

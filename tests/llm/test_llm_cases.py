@@ -142,3 +142,24 @@ def linked(rows):
     for x, (i, _) in enumerate(rows):
         smallest[find(x)] = min(smallest.get(find(x), i), i)
     return {(i, smallest[find(x)], links[x]) for x, (i, _) in enumerate(rows)}
+
+
+def test_letters_are_those_of_unicode():
+    """Digits, fractions and numerals of other scripts are no letters, marks alone neither; one letter of any script is enough."""
+    from milepost.llm.language_id import LETTER
+
+    assert not any(LETTER.search(t) for t in ("²", "½", "Ⅷ", "①", "٣", "_", "12 !?", "́", "🙂", ""))
+    assert all(LETTER.search(t) for t in ("a", "É", "ж", "日", "ª", "1 x"))
+
+
+def test_archives_in_a_folder_without_scheme(spark, tmp_path):
+    from milepost.llm import warc
+
+    pages = spark.createDataFrame([(1, "http://a.b/", "x" * 40), (2, "http://a.b/c", "x" * 40), (3, None, None)], "page_id bigint, url string, html string")
+    archives = warc.write_archives(pages, str(tmp_path / "archives"))
+    paths = [r["archive"] for r in archives.collect()]
+    assert paths and all(p.startswith("file:///") for p in paths)
+    bare = archives.selectExpr("substring(archive, 8) as archive")
+    for a in (archives, bare):
+        got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.records(warc.read_archives(a)).collect()}
+        assert got == {2: ("response", None), 1: ("revisit", 2), 3: ("response", None)}
