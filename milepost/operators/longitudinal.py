@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bands import decrease_band
 from ..functions.months import months_between
 from ..functions.numbers import change, count_if, state_of
 from ..functions.text import compact, gestalt
@@ -128,7 +129,7 @@ def events(paired: DataFrame) -> DataFrame:
     drop = lambda c: (F.col(f"a_{c}") - F.col(f"b_{c}")).cast("double")
     one = lambda rule, cond, detail, size=None: F.when(cond, F.struct(F.lit(rule).alias("rule"), detail.alias("detail"), (F.lit(None).cast("double") if size is None else size).alias("size")))
     spent, done = drop("cumulative_expenditure"), drop("physical_progress")
-    band = F.when(done <= 1, "0-1").when(done <= 5, "1-5").when(done <= 20, "5-20").otherwise("over 20")
+    band = decrease_band(F.round(done, 6))
     found = [
         one("agency_changed", _differs("agency"), agency_category(F.col("a_agency"), F.col("b_agency"))), one("project_name_changed", _differs("project_name"), name_change(F.col("a_project_name"), F.col("b_project_name")), F.round(gestalt(compact(F.col("a_project_name")), compact(F.col("b_project_name"))), 6)),
         one("state_changed", _differs("state"), F.concat_ws(" -> ", "a_state", "b_state")), one("expenditure_decreased", spent > 0, F.when((F.col("a_cumulative_expenditure") > 0) & (F.col("b_cumulative_expenditure") == 0), "positive_to_zero").otherwise("other"), spent),

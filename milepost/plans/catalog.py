@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from importlib import import_module
 
-FAMILIES = ("portfolio", "risk", "labels", "validation", "readiness", "metrics", "text", "sources", "models", "rawrows", "cells", "more", "evaluation", "gates")
+FAMILIES = ("portfolio", "risk", "labels", "validation", "readiness", "metrics", "text", "sources", "models", "rawrows", "cells", "more", "evaluation", "gates", "bands")
 
 
 def entries() -> list[tuple]:

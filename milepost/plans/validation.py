@@ -60,7 +60,7 @@ EVENTS = PAIR + f""", ev AS (SELECT project_code, month_a, month_b, 'agency_chan
 UNION ALL SELECT project_code, month_a, month_b, 'project_name_changed', CASE WHEN {_co('a_project_name')} = {_co('b_project_name')} THEN 'SUPERFICIAL_ONLY' ELSE 'SUBSTANTIVE_TEXT_CHANGE' END, round(2.0 * {_shared} / (length({_co('a_project_name')}) + length({_co('b_project_name')})), 6) FROM pr WHERE a_project_name IS DISTINCT FROM b_project_name
 UNION ALL SELECT project_code, month_a, month_b, 'state_changed', concat_ws(' -> ', a_state, b_state), NULL FROM pr WHERE a_state IS DISTINCT FROM b_state
 UNION ALL SELECT project_code, month_a, month_b, 'expenditure_decreased', CASE WHEN a_cumulative_expenditure > 0 AND b_cumulative_expenditure = 0 THEN 'positive_to_zero' ELSE 'other' END, {_dr('cumulative_expenditure')} FROM pr WHERE a_cumulative_expenditure > b_cumulative_expenditure
-UNION ALL SELECT project_code, month_a, month_b, 'progress_decreased', CASE WHEN {_dr('physical_progress')} <= 1 THEN '0-1' WHEN {_dr('physical_progress')} <= 5 THEN '1-5' WHEN {_dr('physical_progress')} <= 20 THEN '5-20' ELSE 'over 20' END, {_dr('physical_progress')} FROM pr WHERE a_physical_progress > b_physical_progress
+UNION ALL SELECT project_code, month_a, month_b, 'progress_decreased', CASE WHEN round({_dr('physical_progress')}, 6) < 1 THEN '<1' WHEN round({_dr('physical_progress')}, 6) <= 5 THEN '1-5' WHEN round({_dr('physical_progress')}, 6) <= 10 THEN '5-10' ELSE '>10' END, {_dr('physical_progress')} FROM pr WHERE a_physical_progress > b_physical_progress
 UNION ALL SELECT project_code, month_a, month_b, 'revised_cost_decreased', '', {_dr('revised_cost')} FROM pr WHERE a_revised_cost > b_revised_cost)"""
 
 
