@@ -52,6 +52,7 @@ def labelled(panel: DataFrame, horizon: int = HORIZON) -> DataFrame:
         unclear = unclear | (seen & here.isNull())
         seen = seen | here.isNotNull()
     p = p.withColumn("event_step", event)
+    # Reason codes.
     reason = (F.when(F.col("mi") + horizon > segment_end(), "STRUCTURAL_GAP_OR_REGIME_BOUNDARY").when(F.col("ahead") < horizon, "PROJECT_DISAPPEARED_OR_MONTH_MISSING")
               .when(F.col("baseline").isNull(), "MISSING_BASELINE_COMPLETION_COMMITMENT").when(rev.isNull() & F.col("seen_before"), "BASELINE_REVISION_PERSISTENCE_AMBIGUOUS")
               .when(F.col("event_step").isNotNull(), "ELIGIBLE_POSITIVE").when(unclear, "FUTURE_REVISION_PERSISTENCE_AMBIGUOUS").otherwise("ELIGIBLE_NEGATIVE"))

@@ -41,6 +41,7 @@ features AS (SELECT project_code, report_month, regime, segment, mi, sector, age
   CAST(revised_cost IS NOT NULL AS INT) AS revised_cost_is_present, CAST(revised_completion_date IS NOT NULL AS INT) AS revised_date_is_present, CAST(physical_progress IS NOT NULL AS INT) AS physical_progress_is_present, CAST(report_month >= '1997-06' AS INT) AS physical_progress_supported,
   CAST(start_date IS NOT NULL AS INT) AS start_date_is_present, CAST(report_month >= '1999-02' AS INT) AS start_date_supported, CAST(exp_delta_1m IS NOT NULL AS INT) AS exp_delta_1m_is_supported, CAST(exp_delta_3m IS NOT NULL AS INT) AS exp_delta_3m_is_supported, CAST(past_progress_delta_3m IS NOT NULL AS INT) AS progress_delta_3m_is_supported FROM feat)"""
 
+# Names of features.
 A, B, C, D = ["sector", "agency", "state", "original_cost", "cumulative_expenditure_t", "revised_cost_t", "physical_progress_t", "project_age_months", "months_to_original_schedule", "months_to_effective_schedule", "schedule_revision_lag_months", "months_since_start"], ["expenditure_to_original_cost_ratio", "revised_to_original_cost_ratio", "schedule_has_been_revised", "cost_has_been_revised"], ["exp_delta_1m", "exp_delta_3m", "past_exp_stagnant_3m", "past_progress_delta_3m", "past_progress_stagnant_3m"], [
     "state_is_missing", "approval_date_is_missing", "original_completion_date_is_missing", "revised_cost_is_present", "revised_date_is_present", "physical_progress_is_present", "physical_progress_supported", "start_date_is_present", "start_date_supported", "exp_delta_1m_is_supported", "exp_delta_3m_is_supported", "progress_delta_3m_is_supported"]
 KEY = ["project_code", "report_month"]
