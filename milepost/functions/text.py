@@ -1,4 +1,4 @@
-"""Text and parse functions (B01-B18, B20, B31), pure Catalyst expressions; B19 and B21 as Arrow UDFs."""
+"""Text and parse functions (B01-B17, B20, B31), pure Catalyst expressions; what B19 and B21 need of Python as Arrow UDFs. Keys made of them are in keys.py."""
 
 from __future__ import annotations
 
@@ -13,7 +13,6 @@ from pyspark.sql.types import DoubleType, StringType
 # Texts that mean that a value is missing; month names.
 MISSING = ("", "-", "/", "(-)", "na", "n/a", "n.a.", "nil", "none")
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-STOP_WORDS = ("of", "and", "the", "for")
 
 
 def squeeze(c: Column) -> Column:
@@ -116,12 +115,6 @@ def tokens(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]+)"))))
 
 
-def acronym(c: Column) -> Column:
-    """First letters of the words but stop words."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]+)"))
-    return F.array_join(F.transform(F.filter(words, lambda w: ~w.isin(*STOP_WORDS)), lambda w: F.substring(w, 1, 1)), "")
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """Shared over all tokens; 0 if there are none."""
     n = F.size(F.array_union(a, b))
@@ -136,7 +129,7 @@ def code_style(c: Column) -> Column:
 @F.pandas_udf(StringType())
 def ascii_fold(text: pd.Series) -> pd.Series:
     """NFKD without what isn't ASCII."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
+    return text.map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode(), na_action="ignore")
 
 
 @F.pandas_udf(DoubleType())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bands import decrease_band
+from ..functions.keys import acronym, without_brackets, without_unit
 from ..functions.months import months_between
 from ..functions.numbers import change, count_if, state_of
 from ..functions.text import compact, gestalt
@@ -50,35 +51,20 @@ def identity(paired: DataFrame) -> DataFrame:
     return paired.groupBy("month_a").agg(*[count_if(_differs(c)).alias(f"{c}_changed") for c in FIELDS[:5]], *[count_if(_differs(c, True)).alias(f"{c}_changed_normalised") for c in ("sector", "state")])
 
 
-# Words that an acronym leaves out; short names of known agencies and words of their long forms; headings of groups.
-IGNORED = ("and", "of", "the", "limited", "ltd", "corporation", "company", "ministry", "department")
+# Short names of known agencies and words of their long forms; headings of groups.
 SHORT = ("nhai", "wclcil", "seclcil", "eclcil", "nclcil", "cclcil", "iocl", "bpcl", "hpcl", "gail", "ongc")
 SPELLED = ("nationalhighwaysauthority", "coalfields", "petroleum", "naturalgas", "oilcorporation")
 HEADINGS = ("Ministry of Coal", "Ministry of Railways", "Ministry of Petroleum & Natural Gas", "MinistryofPetroleumNaturalGas")
 SPELLING = 0.82
 
 
-def without_brackets(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s*[\[(][^\])]*[\])]\s*", " "))
-
-
-def without_unit(c: Column) -> Column:
-    """A roman number at the end goes."""
-    return F.trim(F.regexp_replace(c, r"(?i)\s*-\s*(?:I|II|III)\s*$", ""))
-
-
-def _acronym(c: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(without_brackets(c)), F.lit("([a-z0-9]+)"))
-    return F.array_join(F.transform(F.filter(words, lambda w: ~w.isin(*IGNORED)), lambda w: F.substring(w, 1, 1)), "")
-
-
 def agency_category(a: Column, b: Column) -> Column:
     """Six rules in order: formatting, abbreviation or acronym, group heading, spelling, another agency."""
     a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
     x, y = compact(a), compact(b)
     both = lambda f: compact(f(a)) == compact(f(b))
     given = F.transform(F.regexp_extract_all(F.concat_ws(" ", a, b), F.lit(r"[\[(]([A-Za-z0-9/-]{2,})[\])]")), lambda t: F.lower(t))
-    initials = F.filter(F.array(_acronym(a), _acronym(b)), lambda t: t != "")
+    initials = F.filter(F.array(acronym(a), acronym(b)), lambda t: t != "")
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"))
     starts = F.exists(initials, lambda t: (F.length(t) >= 3) & (x.startswith(t) | y.startswith(t)))
     group = F.array_contains(F.concat(words(a), words(b)), "cil") & F.arrays_overlap(words(a), words(b))

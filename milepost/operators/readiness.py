@@ -112,8 +112,13 @@ def distribution(panel: DataFrame, field: str, *by: str) -> DataFrame:
     return panel.groupBy(*by).agg(*spread(field))
 
 
-def depth_band(n: Column) -> Column:
-    return F.when(n >= 24, "24+").when(n >= 12, "12-23").when(n >= 6, "6-11").when(n >= 3, "3-5").otherwise("1-2")
+def depth_summary(rows: DataFrame, n: str) -> DataFrame:
+    """How deep histories are: fewest, most, median, mean, and the share with at least 3, 6 and 12 observations.
+
+    Depths are counted first, so that the median reads one row for each depth."""
+    c = rows.groupBy(n).agg(F.count(F.lit(1)).alias("k"))
+    deep = lambda at: F.round(100 * F.sum(F.when(F.col(n) >= at, F.col("k")).otherwise(0)) / F.sum("k"), 4).alias(f"from_{at}")
+    return c.agg(F.sum("k").alias("projects"), F.min(n).alias("least"), F.max(n).alias("most"), F.expr(f"percentile({n}, 0.5, k)").alias("median"), F.round(F.sum(F.col(n) * F.col("k")) / F.sum("k"), 4).alias("mean"), deep(3), deep(6), deep(12))
 
 
 def linked(panel: DataFrame, done: DataFrame) -> DataFrame:

@@ -34,7 +34,9 @@ def _embargoed(s, d):
     return out
 
 
+DEPTH_SQL = "CASE WHEN n <= 2 THEN '1-2' WHEN n <= 5 THEN '3-5' WHEN n <= 11 THEN '6-11' WHEN n <= 17 THEN '12-17' WHEN n <= 26 THEN '18-26' ELSE '27+' END"
 ENTRIES = [
+    ("b24_depth_bands", lambda s, d: panel(s, d).groupBy("regime", "project_code").agg(F.count(F.lit(1)).alias("n")).groupBy("regime", bands.depth_band(F.col("n")).alias("band")).agg(F.count(F.lit(1)).alias("projects")), f"{ONLY} SELECT regime, {DEPTH_SQL} AS band, count(*) AS projects FROM (SELECT regime, project_code, count(*) AS n FROM panel GROUP BY 1, 2) GROUP BY 1, 2"),
     ("b24_age_bands", lambda s, d: panel(s, d).groupBy("report_month", bands.age_band("start_date", "report_month").alias("band")).agg(F.count(F.lit(1)).alias("n")), f"{ONLY} SELECT report_month, {AGE_SQL} AS band, count(*) AS n FROM panel GROUP BY 1, 2"),
     ("b24_progress_ranges", lambda s, d: panel(s, d).groupBy("report_month", bands.progress_band(F.col("physical_progress")).alias("band")).agg(F.count(F.lit(1)).alias("n")), f"{ONLY} SELECT report_month, {PROGRESS_SQL} AS band, count(*) AS n FROM panel GROUP BY 1, 2"),
     ("b24_decrease_bands", _falls, ONLY + f" SELECT a.report_month AS month_a, CASE WHEN {FALL_SQL} < 1 THEN '<1' WHEN {FALL_SQL} <= 5 THEN '1-5' WHEN {FALL_SQL} <= 10 THEN '5-10' ELSE '>10' END AS band, count(*) AS n FROM panel a JOIN panel b ON a.project_code = b.project_code AND b.mi = a.mi + 1 WHERE {FALL_SQL} > 0 GROUP BY 1, 2"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.bands import depth_band
 from ..functions.numbers import count_if
 from ..operators import longitudinal as lg
 from ..operators import readiness as op
@@ -60,7 +61,7 @@ def link(s, d):
 
 
 LINK = LINK.replace("cm AS (SELECT project_code, min(mi)", "cm AS (SELECT CASE WHEN ent % 5 = 0 THEN '9' || project_code ELSE project_code END AS project_code, min(CASE WHEN ent % 12 = 0 THEN mi - 12 ELSE mi END)")
-BAND = "CASE WHEN observations >= 24 THEN '24+' WHEN observations >= 12 THEN '12-23' WHEN observations >= 6 THEN '6-11' WHEN observations >= 3 THEN '3-5' ELSE '1-2' END"
+BAND = "CASE WHEN observations <= 2 THEN '1-2' WHEN observations <= 5 THEN '3-5' WHEN observations <= 11 THEN '6-11' WHEN observations <= 17 THEN '12-17' WHEN observations <= 26 THEN '18-26' ELSE '27+' END"
 IS = "last_seen IS NOT NULL AND completed_mi IS NOT NULL"
 
 
@@ -88,7 +89,8 @@ ENTRIES = [
     ("h01_earliest_completion", lambda s, d: completed(s, d).groupBy("project_code").agg(F.min("report_month").alias("completion_month")), f"{BOTH} SELECT project_code, min(report_month) AS completion_month FROM completed GROUP BY 1"),
     ("h02_match_counts", lambda s, d: link(s, d).agg(count_if(F.col("last_seen").isNotNull() & F.col("completed_mi").isNotNull()).alias("matched"), count_if(F.col("last_seen").isNull()).alias("completed_only"), count_if(F.col("completed_mi").isNull()).alias("ongoing_only")), f"{LINK} SELECT count(*) FILTER (WHERE {IS}) AS matched, count(*) FILTER (WHERE last_seen IS NULL) AS completed_only, count(*) FILTER (WHERE completed_mi IS NULL) AS ongoing_only FROM lk"),
     ("h03_match_by_code_style", lambda s, d: link(s, d).where("completed_mi is not null").groupBy(F.when(F.col("project_code").rlike("^9?N"), "LEGACY").otherwise("MODERN").alias("style")).agg(F.count(F.lit(1)).alias("completed"), F.count("last_seen").alias("matched")), f"{LINK} SELECT CASE WHEN regexp_matches(project_code, '^9?N') THEN 'LEGACY' ELSE 'MODERN' END AS style, count(*) AS completed, count(last_seen) AS matched FROM lk WHERE completed_mi IS NOT NULL GROUP BY 1"),
-    ("h04_depth_of_matched", lambda s, d: link(s, d).where("last_seen is not null and completed_mi is not null").groupBy(op.depth_band(F.col("observations")).alias("band")).agg(F.count(F.lit(1)).alias("projects"), F.min("observations").alias("least"), F.max("observations").alias("most")), f"{LINK} SELECT {BAND} AS band, count(*) AS projects, min(observations) AS least, max(observations) AS most FROM lk WHERE {IS} GROUP BY 1"),
+    ("h04_depth_of_matched", lambda s, d: link(s, d).where("last_seen is not null and completed_mi is not null").groupBy(depth_band(F.col("observations")).alias("band")).agg(F.count(F.lit(1)).alias("projects"), F.min("observations").alias("least"), F.max("observations").alias("most")), f"{LINK} SELECT {BAND} AS band, count(*) AS projects, min(observations) AS least, max(observations) AS most FROM lk WHERE {IS} GROUP BY 1"),
+    ("h04_depth_summary", lambda s, d: op.depth_summary(link(s, d).where("last_seen is not null and completed_mi is not null"), "observations"), f"{LINK} SELECT count(*) AS projects, min(observations) AS least, max(observations) AS most, median(observations) AS median, round(avg(observations), 4) AS mean, " + ", ".join(f"round(100 * count(*) FILTER (WHERE observations >= {k}) / count(*), 4) AS from_{k}" for k in (3, 6, 12)) + f" FROM lk WHERE {IS}"),
     ("h05_completion_lag", lambda s, d: link(s, d).select((F.col("completed_mi") - F.col("last_seen")).alias("lag")).where("lag is not null").groupBy("lag").agg(F.count(F.lit(1)).alias("n")), f"{LINK} SELECT completed_mi - last_seen AS lag, count(*) AS n FROM lk WHERE {IS} GROUP BY 1"),
     ("h06_reappearance", lambda s, d: link(s, d).where("completed_mi < last_seen").select("project_code", (F.col("completed_mi") - F.col("last_seen")).alias("lag"), F.array_join(F.array_compact(F.array(F.lit("REAPPEARS"), F.when(F.col("last_seen") - F.col("completed_mi") > 6, "LONG_OVERLAP"), F.when(F.col("physical_progress") < 100, "NOT_FINISHED"))), "|").alias("flags")), f"{LINK} SELECT project_code, completed_mi - last_seen AS lag, concat_ws('|', 'REAPPEARS', CASE WHEN last_seen - completed_mi > 6 THEN 'LONG_OVERLAP' END, CASE WHEN physical_progress < 100 THEN 'NOT_FINISHED' END) AS flags FROM lk WHERE completed_mi < last_seen"),
     ("h07_terminal_snapshot", lambda s, d: link(s, d).where("last_seen is not null and completed_mi is not null").select("project_code", "report_month", "completion_month", F.col("cumulative_expenditure").cast("double").alias("cumulative_expenditure")), f"{LINK} SELECT project_code, report_month, completion_month, CAST(cumulative_expenditure AS DOUBLE) AS cumulative_expenditure FROM lk WHERE {IS}"),

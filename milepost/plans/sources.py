@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import tables as io
-from ..sources.store import folder
+from ..sources.store import folder, on_file_system
 from ..streaming.append import append_new_months
 from .risk import CONTRIB, RISK, contrib, risk
 from .surrogate import PANEL_SQL, panel
 
 ONLY = f"WITH {PANEL_SQL}"
+#: The second of a load whose label stands in the ledger already; reports to leave out.
+LOADED, UNWANTED = 1_700_000_000, ["Report_1996-03.txt", "Report_1999-11.txt"]
 KEY = "project_code, report_month"
 TEXT = ["project_code", "report_month", "project_name", "agency", "cumulative_expenditure", "physical_progress"]
 
@@ -35,10 +37,12 @@ def _loaded(s, d):
 
 def _ledger(s, d):
     p = panel(s, d)
-    empty = s.createDataFrame([], "version string, status string, n_rows bigint, months array<string>")
+    empty = s.createDataFrame([], "version string, status string, n_rows bigint, n_projects bigint, months array<string>")
     one = io.ledger(empty, "v1", p.where("regime = 'LEGACY'"), F.lit(True))
     two = io.ledger(one, "v2", p, F.lit(True))
-    return io.ledger(two, "v3", p.where("false"), F.lit(True)).select("version", "status", "n_rows", F.size("months").cast("long").alias("months"))
+    three = io.ledger(two, "v3", p.where("false"), F.lit(True))
+    four = io.ledger(three, "v2", p.where("regime = 'LEGACY'"), F.lit(False), F.lit(LOADED))
+    return io.ledger(four, "v1", p.where("regime = 'MODERN'"), F.lit(False), replace=True).select("version", "status", "n_rows", "n_projects", F.size("months").cast("long").alias("months"))
 
 
 def _streamed(s, d):
@@ -51,12 +55,16 @@ def _streamed(s, d):
 
 
 def _discovered(s, d):
-    """Monthly report folders with one file each and a file to leave out; what is found, by year."""
+    """A report for each month in folders of years; every fifth is a synopsis, two are excluded by name."""
     path = folder(s, "reports")
-    p = panel(s, d).select("report_month", F.substring("report_month", 1, 4).alias("year"), F.concat_ws(",", "project_code", "agency").alias("value"))
-    p.repartition("report_month").write.partitionBy("year", "report_month").text(path)
-    found = io.discovered(s, path, "part-*", [])
-    return found.select(F.regexp_extract("folder", "report_month=([0-9-]+)", 1).alias("report_month")).groupBy("report_month").agg((F.count(F.lit(1)) > 0).alias("found"))
+    p = panel(s, d).select(F.substring("report_month", 1, 4).alias("year"), F.concat_ws("_", F.when(F.col("mi") % 5 == 0, "Synopsis").otherwise("Report"), "report_month").alias("name"), F.concat_ws(",", "project_code", "agency").alias("value"))
+    p.repartition("name").write.partitionBy("year", "name").text(path)
+    written, fs = on_file_system(s, f"{path}/year=*/name=*/part-*")
+    for file in fs.globStatus(written):  # one for each month
+        name = file.getPath().getParent().getName().removeprefix("name=")
+        fs.rename(file.getPath(), on_file_system(s, f"{file.getPath().getParent().getParent()}/{name}.txt")[0])
+    found = io.discovered(s, path, "*.txt", UNWANTED, ["synopsis"])
+    return found.select(F.regexp_extract("folder", "year=([0-9]+)$", 1).alias("year"), "file_name", "length")
 
 
 def _written(s, d):
@@ -114,11 +122,12 @@ ENTRIES = [
     ("a02_typed", lambda s, d: io.typed(_csv(s, d), {"cumulative_expenditure": "double", "physical_progress": "double"}).select("project_code", "report_month", "cumulative_expenditure", "physical_progress"), f"{ONLY} SELECT {KEY}, CAST(cumulative_expenditure AS DOUBLE) AS cumulative_expenditure, CAST(physical_progress AS DOUBLE) AS physical_progress FROM panel"),
     ("a03_raw_rows", _raw, f"{ONLY} SELECT report_month AS source_file, CAST(ent AS INT) AS raw_sequence, project_code || '|' || agency || '|' || CAST(original_cost AS VARCHAR) AS cells FROM panel"),
     ("a07_load", _loaded, f"{ONLY} SELECT project_code, CASE WHEN ent % 43 <> 0 THEN project_name ELSE 'UNNAMED PROJECT' END AS project_name, report_month FROM panel WHERE ent % 41 <> 0"),
-    ("a08_ledger", _ledger, f"{ONLY} SELECT 'v1' AS version, 'SUPERSEDED' AS status, count(*) AS n_rows, count(DISTINCT report_month) AS months FROM panel WHERE regime = 'LEGACY' UNION ALL SELECT 'v2', 'ACTIVE', count(*), count(DISTINCT report_month) FROM panel UNION ALL SELECT 'v3', 'EMPTY', 0, 0"),
+    ("a08_ledger", _ledger, f"{ONLY} SELECT 'v1' AS version, 'INGESTED_UNVERIFIED' AS status, count(*) AS n_rows, count(DISTINCT project_code) AS n_projects, count(DISTINCT report_month) AS months FROM panel WHERE regime = 'MODERN' UNION ALL SELECT 'v2', 'ACTIVE', count(*), count(DISTINCT project_code), count(DISTINCT report_month) FROM panel "
+     f"UNION ALL SELECT 'v3', 'EMPTY', 0, 0, 0 UNION ALL SELECT 'v2-{LOADED}', 'INGESTED_UNVERIFIED', count(*), count(DISTINCT project_code), count(DISTINCT report_month) FROM panel WHERE regime = 'LEGACY'"),
     ("a09_keyed_append", lambda s, d: (lambda p: io.appended(p.where("mi % 3 = 0"), p.where("mi % 2 = 0").withColumn("agency", F.lit("new")), "project_code", "report_month"))(panel(s, d).select("project_code", "report_month", "mi", "agency")).drop("mi"), f"{ONLY} SELECT {KEY}, CASE WHEN mi % 3 = 0 THEN agency ELSE 'new' END AS agency FROM panel WHERE mi % 3 = 0 OR mi % 2 = 0"),
     ("a09_streamed_append", _streamed, f"{ONLY} SELECT {KEY}, mi FROM panel"),
     ("a10_fingerprint", lambda s, d: (lambda p: io.fingerprint(p).alias("a").join(io.fingerprint(p.repartition(7)).alias("b"), "n_rows").select("n_rows", ((F.col("a.x") == F.col("b.x")) & (F.col("a.s") == F.col("b.s"))).alias("same")))(panel(s, d)), f"{ONLY} SELECT count(*) AS n_rows, true AS same FROM panel"),
-    ("a04_discovered", _discovered, f"{ONLY} SELECT report_month, true AS found FROM panel GROUP BY 1"),
+    ("a04_discovered", _discovered, f"{ONLY} SELECT report_month[1:4] AS year, 'Report_' || report_month || '.txt' AS file_name, CAST(sum(strlen(concat_ws(',', project_code, agency)) + 1) AS BIGINT) AS length FROM panel WHERE mi % 5 <> 0 AND report_month NOT IN ('1996-03', '1999-11') GROUP BY report_month"),
     ("a05_fixed_csv", _written, f"{ONLY} SELECT project_code || ',' || printf('%.15g', CAST(cumulative_expenditure AS DOUBLE) / 3) || ',' || coalesce(state, '') AS line FROM panel"),
     ("a06_json_documents", _documents, f"{ONLY} SELECT project_code, count(*) AS months, min(report_month) AS first, count(*) FILTER (WHERE state IS NULL) AS without_state FROM panel GROUP BY 1"),
     ("a10_gates", _gates, f"{ONLY} SELECT report_month, CASE WHEN max(mi) % 11 = 0 THEN 'MISSING' WHEN max(mi) % 7 = 0 THEN 'CONTENT_DIFFERS' WHEN max(mi) % 5 = 0 THEN 'ROW_COUNT_DIFFERS' ELSE 'ACCEPTED' END AS status FROM panel GROUP BY 1"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import months, numbers, text
+from ..functions import keys, months, numbers, text
 from ..operators import crosswalk as cw
 from ..sources.store import kept
 from .rawrows import P as RAW_P
@@ -96,6 +96,33 @@ G09 = EDGES + """ SELECT count(*) FILTER (WHERE status = 'HIGH') AS high, count(
 (SELECT count(*) FROM k WHERE report_month = '1999-01' AND project_code NOT IN (SELECT r FROM met)) AS right_unmatched, (SELECT count(*) FROM k WHERE report_month = '1999-01' AND project_code NOT IN (SELECT r FROM one)) AS right_not_high FROM done"""
 
 
+_norm = lambda c: f"lower(regexp_replace({c}, '[^A-Za-z0-9]', '', 'g'))"
+SIMILARITY = (f"""WITH RECURSIVE p AS (SELECT p_partkey, {_norm('p_name')} AS an, {_norm('p_type')} AS bn, {_WORDS.replace('project_name', 'p_name')} AS aw, {_WORDS.replace('project_name', 'p_type')} AS bw FROM part),
+piece AS (SELECT p_partkey, an AS a, bn AS b, {_LONGEST.format(a='an', b='bn')} AS best FROM p UNION ALL
+  SELECT p_partkey, x.a, x.b, {_LONGEST.format(a='x.a', b='x.b')} AS best FROM (SELECT p_partkey, unnest([{{'a': a[1:i - 1], 'b': b[1:j - 1]}}, {{'a': a[i + k:], 'b': b[j + k:]}}]) AS x FROM (SELECT *, instr(b, a[i:i + k - 1]) AS j FROM (SELECT *, best // 1000 AS k, 999 - best % 1000 AS i FROM piece WHERE best > 0))) WHERE length(x.a) > 0 AND length(x.b) > 0),
+same AS (SELECT p_partkey, sum(best // 1000) AS n FROM piece GROUP BY 1)
+SELECT p_partkey, round(CASE WHEN an = '' OR bn = '' THEN 0 ELSE greatest(2.0::DOUBLE * n / (length(an) + length(bn)), len(list_intersect(aw, bw))::DOUBLE / len(list_distinct(list_concat(aw, bw)))) END, 8) AS out FROM p JOIN same USING (p_partkey)""")
+
+
+def _keys(s, d):
+    """All keys of names with accents, short forms in brackets and roman numbers at their ends."""
+    k, name, brand = F.col("p_partkey"), F.col("p_name"), F.replace("p_brand", F.lit("#"), F.lit("-"))
+    unit = F.element_at(F.array(*map(F.lit, ("I", "ii", "III", "IV"))), (k % 4 + 1).cast("int"))
+    t = F.when(k % 5 == 0, brand).otherwise(F.concat(F.when(k % 3 == 0, F.replace(name, F.lit("e"), F.lit("é"))).otherwise(name), F.when(k % 5 == 1, F.lit(" of the Company")).otherwise(F.concat(F.lit(" ["), brand, F.lit("]"))), F.lit(" - "), unit))
+    p, t = table(s, d, "part").select("p_partkey", t.alias("t")), F.col("t")
+    return p.select("p_partkey", keys.normal(t).alias("normal"), F.replace(keys.normal(t), F.lit(" "), F.lit("")).alias("compact"), keys.alnum(t).alias("alnum"), F.array_join(keys.words(t), "|").alias("words"),
+                    keys.without_brackets(t).alias("bare"), keys.without_unit(t).alias("unnumbered"), keys.acronym(keys.folded(t)).alias("acronym"), keys.agency_key(t).alias("agency_key"))
+
+
+_bare = lambda c: f"trim(regexp_replace({c}, '\\s*[\\[(][^\\])]*[\\])]\\s*', ' ', 'g'))"
+KEYS = f"""WITH b AS (SELECT p_partkey, p_name, replace(p_brand, '#', '-') AS brand FROM part),
+t AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN brand ELSE CASE WHEN p_partkey % 3 = 0 THEN replace(p_name, 'e', 'é') ELSE p_name END || CASE WHEN p_partkey % 5 = 1 THEN ' of the Company' ELSE ' [' || brand || ']' END || ' - ' || ['I', 'ii', 'III', 'IV'][p_partkey % 4 + 1] END AS t FROM b),
+f AS (SELECT *, lower(strip_accents(t)) AS a, regexp_extract_all(replace(lower(t), 'é', 'e '), '[a-z0-9]+') AS parted, regexp_extract(t, '\\[(.*)\\]', 1) AS short FROM t)
+SELECT p_partkey, array_to_string(parted, ' ') AS normal, array_to_string(parted, '') AS compact, regexp_replace(a, '[^a-z0-9]', '', 'g') AS alnum, array_to_string(regexp_extract_all(a, '[a-z0-9]+'), '|') AS words,
+  {_bare('t')} AS bare, trim(regexp_replace(t, '(?i)\\s*-\\s*(I|II|III)\\s*$', '')) AS unnumbered, array_to_string([w[1] FOR w IN regexp_extract_all({_bare('a')}, '[a-z0-9]+') IF w NOT IN {keys.IGNORED}], '') AS acronym,
+  CASE WHEN p_partkey % 5 = 0 THEN lower(replace(t, '-', '')) WHEN short <> '' THEN lower(replace(short, '-', '')) ELSE lower(array_to_string([w[1] FOR w IN regexp_extract_all(t, '[A-Za-z0-9]+')], '')) END AS agency_key FROM f"""
+
+
 ENTRIES = [
     ("b01_squeeze", lambda s, d: parts(s, d).select("p_partkey", text.squeeze(F.col("t")).alias("out")), f"{P} SELECT p_partkey, {SQ('t')} AS out FROM p"),
     ("b02_is_missing", lambda s, d: parts(s, d).select("p_partkey", text.is_missing(F.col("t")).alias("out")), f"{P} SELECT p_partkey, {MISS('t')} AS out FROM p"),
@@ -107,10 +134,10 @@ ENTRIES = [
     ("b08_pair", lambda s, d: parts(s, d).select("p_partkey", text.parenthesized_pair(F.concat("p_brand", F.lit("\n("), "p_type", F.lit(")"))).alias("x")).select("p_partkey", "x.*"), "SELECT p_partkey, p_brand AS first, p_type AS second FROM part"),
     ("b12_composite", lambda s, d: parts(s, d).select("p_partkey", text.composite(F.concat_ws("\n", "p_name", "p_brand", F.lpad(F.col("p_partkey").cast("string"), 6, "0"))).alias("x")).select("p_partkey", "x.*"), "SELECT p_partkey, p_name AS name, p_brand AS agency, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS code FROM part"),
     ("b17_banner_month", lambda s, d: orders(s, d).select("o_orderkey", text.banner_month(F.col("b")).alias("out")), f"SELECT o_orderkey, {YM} AS out FROM orders"),
-    ("b18_text_keys", lambda s, d: parts(s, d).select("p_partkey", text.compact(F.col("p_type")).alias("key"), text.acronym(F.col("p_type")).alias("acronym")), "SELECT p_partkey, regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') AS key, array_to_string([w[1] FOR w IN regexp_extract_all(lower(p_type), '[a-z0-9]+') IF w NOT IN ('of', 'and', 'the', 'for')], '') AS acronym FROM part"),
-    ("b19_ascii_fold", lambda s, d: table(s, d, "documents").select("doc_id", F.length(text.ascii_fold("text")).cast("long").alias("n")), None),
+    ("b18_text_keys", _keys, KEYS),
+    ("b19_ascii_fold", lambda s, d: table(s, d, "documents").select("doc_id", keys.folded("text").alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.sha2("t", 256).alias("sha256")), "SELECT doc_id, length(t) AS n, sha256(t) AS sha256 FROM (SELECT doc_id, regexp_replace(strip_accents(coalesce(text, '')), '[^\\x00-\\x7F]', '', 'g') AS t FROM documents)"),
     ("b20_jaccard", lambda s, d: parts(s, d).select("p_partkey", F.round(text.jaccard(text.tokens(F.col("p_type")), text.tokens(F.col("p_name"))), 8).alias("out")), "WITH q AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_type), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS b FROM part) SELECT p_partkey, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 8) AS out FROM q"),
-    ("b21_name_similarity", lambda s, d: parts(s, d).select("p_partkey", F.round(text.gestalt("p_name", "p_type"), 8).alias("out")), None),
+    ("b21_name_similarity", lambda s, d: parts(s, d).select("p_partkey", F.round(keys.similarity(keys.normal("p_name"), keys.normal("p_type")), 8).alias("out")), SIMILARITY),
     ("b22_month_arithmetic", lambda s, d: panel(s, d).select("project_code", "report_month", months.add_months("report_month", 5).alias("later"), months.months_between("approval_date", "report_month").alias("between"), F.array_join(months.following("report_month", 3), "|").alias("next")), f"{WITH} SELECT project_code, report_month, printf('%04d-%02d', (mi+5)//12, (mi+5)%12+1) AS later, mi - (CAST(approval_date[1:4] AS INT)*12 + CAST(approval_date[6:7] AS INT) - 1) AS between, concat_ws('|', printf('%04d-%02d', (mi+1)//12, (mi+1)%12+1), printf('%04d-%02d', (mi+2)//12, (mi+2)%12+1), printf('%04d-%02d', (mi+3)//12, (mi+3)%12+1)) AS next FROM panel"),
     ("b25_states", lambda s, d: panel(s, d).groupBy("report_month", numbers.state_of("cumulative_expenditure").alias("state")).agg(F.count(F.lit(1)).alias("n")), f"{WITH} SELECT report_month, CASE WHEN cumulative_expenditure IS NULL THEN 'missing' WHEN cumulative_expenditure = 0 THEN 'zero' WHEN cumulative_expenditure > 0 THEN 'positive' ELSE 'negative' END AS state, count(*) AS n FROM panel GROUP BY 1, 2"),
     ("b26_ratio", lambda s, d: panel(s, d).select("project_code", "report_month", F.round(numbers.ratio("revised_cost", "cumulative_expenditure"), 6).alias("out")), f"{WITH} SELECT project_code, report_month, round(CAST(revised_cost AS DOUBLE) / nullif(CAST(cumulative_expenditure AS DOUBLE), 0), 6) AS out FROM panel"),

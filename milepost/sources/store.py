@@ -13,7 +13,8 @@ _made: list[tuple[SparkSession, str]] = []
 _kept: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
-def _path(spark: SparkSession, path: str):
+def on_file_system(spark: SparkSession, path: str):
+    """The path as Hadoop knows it, and its file system."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -35,7 +36,7 @@ def folder(spark: SparkSession, name: str) -> str:
 def _clear() -> None:
     for spark, path in _made:
         try:
-            p, fs = _path(spark, path)
+            p, fs = on_file_system(spark, path)
             fs.delete(p, True)
         except Exception:  # noqa: BLE001  the session is gone
             return
@@ -48,7 +49,7 @@ def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFr
     key = (spark.sparkContext.applicationId, sf_dir, name)
     found = _kept.get(key)
     if found:
-        p, fs = _path(spark, f"{found[0]}/_SUCCESS")
+        p, fs = on_file_system(spark, f"{found[0]}/_SUCCESS")
         if not fs.exists(p):
             found = None
     if not found:

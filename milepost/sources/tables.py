@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +27,17 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW).json(path)
 
 
-def discovered(spark: SparkSession, folder: str, pattern: str, without: list[str]) -> DataFrame:
-    """Files below a folder that match, but those excluded."""
+def discovered(spark: SparkSession, folder: str, pattern: str, without: Sequence[str] = (), holding: Sequence[str] = ()) -> DataFrame:
+    """Files below a folder that match, by path, but those of excluded names and those whose names hold an excluded
+    word in any case (A04). No file at all is an error. Contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    return files.select(F.col("_metadata.file_name").alias("file_name"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), "length").where(~F.col("file_name").isin(without))
+    files = files.select(F.col("_metadata.file_name").alias("file_name"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), "length", "path")
+    for word in holding:
+        files = files.where(~F.contains(F.lower("file_name"), F.lit(word.lower())))
+    files = files.where(~F.col("file_name").isin(*without)) if without else files
+    if files.isEmpty():
+        raise ValueError(f"no file below {folder} matches {pattern}")
+    return files.orderBy("path").drop("path")
 
 
 def decimal_text(c: Column) -> Column:
@@ -69,7 +78,7 @@ def write_json(df: DataFrame, path: str, *keys: str) -> None:
 def contents(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 and size of every file below a folder, by name (A10)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.col("_metadata.file_name").alias("file_name"), F.sha2("content", 256).alias("sha256"), "length")
+    files = files.select(F.col("_metadata.file_name").alias("file_name"), F.sha2("content", 256).alias("sha256"), "length")
 
 
 def gate(found: DataFrame, contract: DataFrame, *keys: str) -> DataFrame:
@@ -106,13 +115,22 @@ def loadable(df: DataFrame) -> DataFrame:
     return df.where(keyed).withColumn("project_name", F.coalesce(F.nullif(F.col("project_name"), F.lit("")), F.lit("UNNAMED PROJECT")))
 
 
-def ledger(old: DataFrame, version: str, loaded: DataFrame, verified: Column) -> DataFrame:
-    """The version ledger with one more entry; a new active one supersedes the old."""
-    new = loaded.agg(F.count(F.lit(1)).alias("n_rows"), F.array_sort(F.collect_set("report_month")).alias("months"), F.bool_and(verified).alias("ok"))
-    new = new.select(F.lit(version).alias("version"), F.when(F.col("n_rows") == 0, "EMPTY").when(F.col("ok"), "ACTIVE").otherwise("INGESTED_UNVERIFIED").alias("status"), "n_rows", "months")
-    active = new.select((F.col("status") == "ACTIVE").alias("a")).withColumn("_k", F.lit(1))
-    kept = old.withColumn("_k", F.lit(1)).join(F.broadcast(active), "_k").withColumn("status", F.when(F.col("a") & (F.col("status") == "ACTIVE"), "SUPERSEDED").otherwise(F.col("status"))).select("version", "status", "n_rows", "months")  # one row
-    return kept.unionByName(new)
+def ledger(old: DataFrame, version: str, loaded: DataFrame, verified: Column, at: Column | None = None, replace: bool = False) -> DataFrame:
+    """The version ledger with one more entry; a new active one supersedes the old.
+
+    Where the label stands in the ledger already, the new entry takes its place if replace, else it is called by the label and the second of
+    the load (at; now). Whatever is loaded, the ledger gets an entry: empty, unverified or active."""
+    at = F.unix_timestamp() if at is None else at
+    new = loaded.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("project_code").alias("n_projects"), F.array_sort(F.collect_set("report_month")).alias("months"), F.bool_and(verified).alias("ok"))
+    seen = old.agg(F.coalesce(F.bool_or(F.col("version") == version), F.lit(False)).alias("seen"))
+    label = F.lit(version) if replace else F.when(F.col("seen"), F.concat_ws("-", F.lit(version), at.cast("string"))).otherwise(version)
+    status = F.when(F.col("n_rows") == 0, "EMPTY").when(F.col("ok"), "ACTIVE").otherwise("INGESTED_UNVERIFIED")
+    one = lambda df: df.withColumn("_k", F.lit(1))  # noqa: E731  both sides below are one row
+    new = one(new).join(F.broadcast(one(seen)), "_k").select(label.alias("version"), status.alias("status"), "n_rows", "n_projects", "months")
+    active = new.select((F.col("status") == "ACTIVE").alias("a"))
+    stays = old.where(F.col("version") != version) if replace else old
+    kept = one(stays).join(F.broadcast(one(active)), "_k").withColumn("status", F.when(F.col("a") & (F.col("status") == "ACTIVE"), "SUPERSEDED").otherwise(F.col("status")))
+    return kept.select(*new.columns).unionByName(new)
 
 
 def appended(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
