@@ -1,5 +1,6 @@
 """Writers: text of doubles."""
 
+import hashlib
 import math
 import random
 import struct
@@ -16,3 +17,11 @@ def test_decimal_text_rounds_the_exact_value(spark):
     got = {r["i"]: r["t"] for r in df.select("i", tables.decimal_text(df["v"]).alias("t")).collect()}
     assert got.pop(len(values)) is None
     assert [got[i] for i in range(len(values))] == ["%.15g" % v for v in values]
+
+
+def test_contents_are_digests_of_files(spark, tmp_path):
+    for folder, name, text in (("a", "one", "x"), ("b", "two", "x"), ("b", "three", "y")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_text(text)
+    found = {r["file_name"]: (r["sha256"], r["length"]) for r in tables.contents(spark, str(tmp_path)).collect()}
+    assert found["one"] == found["two"] == (hashlib.sha256(b"x").hexdigest(), 1) and found["three"] == (hashlib.sha256(b"y").hexdigest(), 1)
