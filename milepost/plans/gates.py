@@ -22,6 +22,13 @@ def _eligible(s, d):
     return labels.labelled(p).where("label is not null").select("project_code", "report_month", "label").join(p.select("project_code", "report_month", "regime", "ent", "mi"), ["project_code", "report_month"])
 
 
+def moved(rows):
+    """The months of some projects become one outside of every segment; of a project's moved months the earliest stays."""
+    late = rows.withColumn("report_month", F.when(F.col("ent") % 43 == 0, F.lit("2031-01")).otherwise(F.col("report_month")))
+    first = Window.partitionBy("regime", "project_code", "report_month").orderBy("mi")
+    return late.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
 def _gates(s, d):
     """The eligible rows of both regimes, as they are and with faults put in, against a contract with their counts."""
     rows = kept(s, d, "eligible", lambda: _eligible(s, d))
@@ -32,7 +39,7 @@ def _gates(s, d):
     twice = as_is.unionByName(as_is.where("ent % 31 = 0")).withColumn("variant", F.lit("key_twice"))
     fewer = as_is.where("ent % 37 <> 0").withColumn("variant", F.lit("rows_lost"))
     flipped = as_is.withColumn("variant", F.lit("label_flipped")).withColumn("label", F.when(F.col("ent") % 41 == 0, 1 - F.col("label")).otherwise(F.col("label")))
-    late = as_is.withColumn("variant", F.lit("month_moved")).withColumn("report_month", F.when(F.col("ent") % 43 == 0, F.lit("2031-01")).otherwise(F.col("report_month"))).dropDuplicates(["regime", "project_code", "report_month"])
+    late = moved(as_is.withColumn("variant", F.lit("month_moved")))
     return contracts.gates(as_is.unionByName(relabelled).unionByName(twice).unionByName(fewer).unionByName(flipped).unionByName(late), contract, "regime", "variant")
 
 
@@ -42,7 +49,7 @@ v AS (SELECT 'as_built' AS variant, * FROM e UNION ALL SELECT 'label_two', regim
   UNION ALL SELECT 'key_twice', * FROM e UNION ALL SELECT 'key_twice', * FROM e WHERE ent % 31 = 0 UNION ALL SELECT 'rows_lost', * FROM e WHERE ent % 37 <> 0
   UNION ALL SELECT 'label_flipped', regime, project_code, report_month, CASE WHEN ent % 41 = 0 THEN 1 - label ELSE label END, ent FROM e
   UNION ALL SELECT 'month_moved', regime, project_code, report_month, label, ent FROM e WHERE ent % 43 <> 0
-  UNION ALL SELECT DISTINCT ON (regime, project_code) 'month_moved', regime, project_code, '2031-01', label, ent FROM e WHERE ent % 43 = 0),
+  UNION ALL SELECT * FROM (SELECT DISTINCT ON (regime, project_code) 'month_moved', regime, project_code, '2031-01', label, ent FROM e WHERE ent % 43 = 0 ORDER BY regime, project_code, e.report_month)),
 c AS (SELECT regime, variant, count(*) AS n_rows, count(*) FILTER (WHERE label = 1) AS positives, count(*) FILTER (WHERE label = 0) AS negatives, count(*) FILTER (WHERE label NOT IN (0, 1)) AS bad_labels, count(*) - count(DISTINCT project_code || '|' || report_month) AS repeated,
   0 AS no_key, count(*) FILTER (WHERE report_month = '2031-01') AS outside FROM v GROUP BY 1, 2)
 SELECT c.*, CASE WHEN repeated > 0 THEN 'KEY_REPEATED' WHEN bad_labels > 0 THEN 'LABEL_DOMAIN' WHEN outside > 0 THEN 'SEGMENT' WHEN n_rows <> n THEN 'ROW_COUNT' WHEN positives <> p THEN 'POSITIVE_COUNT' ELSE 'PASS' END AS status FROM c JOIN x USING (regime)"""

@@ -3,7 +3,7 @@
 import duckdb
 
 from milepost.operators import reports
-from milepost.plans import rawrows
+from milepost.plans import gates, rawrows
 
 
 def test_brackets_of_a_six_column_state_go_in_query_and_sql(spark):
@@ -13,3 +13,10 @@ def test_brackets_of_a_six_column_state_go_in_query_and_sql(spark):
     expression = rawrows.LEDGER_STATE.format(NONE=rawrows.NONE)
     want = duckdb.connect().execute(f"SELECT {expression} FROM (SELECT 'SIX' AS lay, NULL::VARCHAR AS state)").fetchone()[0]
     assert got == want == "NONE"
+
+
+def test_of_moved_months_the_earliest_stays(spark):
+    rows = spark.createDataFrame([(f"{m:04}", "LEGACY", "p", "1995-%02d" % m, 43, m, int(m == 1)) for m in range(12, 0, -1)], "x string, regime string, project_code string, report_month string, ent long, mi int, label int").drop("x")
+    for parts in (1, 3, 7):
+        kept = gates.moved(rows.repartition(parts)).collect()
+        assert [(r["report_month"], r["label"], r["mi"]) for r in kept] == [("2031-01", 1, 1)]
