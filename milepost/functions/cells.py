@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import MONTHS, _wrapped, cell_lines, identifier, is_missing, squeeze, unwrapped
+from .text import MONTHS, _wrapped, cell_lines, identifier, is_missing, let, squeeze, unwrapped
 
 # Month names.
 MONTH_NAMES = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 CODE = "N[0-9]{8}|[0-9]{9}"
+#: A line of two brackets, a line that is one.
+PAIR, ALONE = r"^\(([^()]*)\)\s+\(([^()]*)\)$", r"^\(([^()]*)\)$"
 
 
 def _null(c: Column) -> Column:
@@ -33,24 +35,29 @@ def project_identity(c: Column) -> Column:
     """name, agency, six-digit code, legacy code, pmgid of a composite cell, read from its last line on.
 
     The last line `(legacy) (pmgid)` names both; without one, lines in brackets right after the code do."""
-    lines = cell_lines(c)
-    pair, alone = r"^\(([^()]*)\)\s+\(([^()]*)\)$", r"^\(([^()]*)\)$"
-    at_pair = _last(lines, lambda x, i: x.rlike(pair))
-    end = F.coalesce(at_pair - 1, F.size(lines))
-    at_code = _last(lines, lambda x, i: x.rlike(r"^\([0-9]{6}\)$") & (i <= end))
+    end = lambda lines, at_pair: F.coalesce(at_pair - 1, F.size(lines))
+    code = lambda lines, at_pair: _last(lines, lambda x, i: x.rlike(r"^\([0-9]{6}\)$") & (i <= end(lines, at_pair)))
+    return let(cell_lines(c), lambda lines: let(_last(lines, lambda x, i: x.rlike(PAIR)), lambda at_pair: let(code(lines, at_pair), lambda at_code: _identity(lines, at_pair, at_code, F.coalesce(at_code - 1, end(lines, at_pair))))))
+
+
+def _after(lines: Column, at_pair: Column, at_code: Column) -> Column:
+    """The lines in brackets right after the code, up to the first that isn't alone in its brackets."""
     after = F.when(at_code.isNotNull() & at_pair.isNull(), _from(lines, at_code + 1)).otherwise(F.array().cast("array<string>"))
-    stop = F.array_min(F.transform(after, lambda x, i: F.when(~x.rlike(alone), i)))
-    after = F.slice(after, 1, F.coalesce(stop, F.size(after)))
-    of_pair = lambda k: identifier(F.regexp_extract(F.try_element_at(lines, at_pair), pair, k))
-    single = lambda k: identifier(F.regexp_extract(F.try_element_at(after, F.lit(k)), alone, 1))
-    stop_agency = F.coalesce(at_code - 1, end)
+    stop = lambda xs: F.array_min(F.transform(xs, lambda x, i: F.when(~x.rlike(ALONE), i)))
+    return let(after, lambda xs: F.slice(xs, 1, F.coalesce(stop(xs), F.size(xs))))
+
+
+def _identity(lines: Column, at_pair: Column, at_code: Column, stop_agency: Column) -> Column:
+    of_pair = lambda k: let(F.regexp_extract(F.try_element_at(lines, at_pair), PAIR, k), identifier)
+    single = lambda k: let(F.regexp_extract(F.try_element_at(_after(lines, at_pair, at_code), F.lit(k)), ALONE, 1), identifier)
     closed = F.coalesce(F.try_element_at(lines, F.nullif(stop_agency, F.lit(0))).endswith(")"), F.lit(False))
-    at_agency = F.when(closed, _last(lines, lambda x, i: x.startswith("(") & (i <= stop_agency)))
-    agency = F.array_join(F.slice(lines, at_agency, stop_agency - at_agency + 1), " ")
-    return F.struct(
-        squeeze(F.array_join(_upto(lines, F.coalesce(at_agency - 1, stop_agency)), " ")).alias("project_name"), _null(squeeze(F.substring(agency, F.lit(2), F.length(agency) - 2))).alias("agency"),
+    begin = F.when(closed, _last(lines, lambda x, i: x.startswith("(") & (i <= stop_agency)))
+    agency = lambda at: let(F.array_join(F.slice(lines, at, stop_agency - at + 1), " "), lambda t: _null(squeeze(F.substring(t, F.lit(2), F.length(t) - 2))))
+    named = let(begin, lambda at: F.struct(squeeze(F.array_join(_upto(lines, F.coalesce(at - 1, stop_agency)), " ")).alias("project_name"), agency(at).alias("agency")))
+    return let(named, lambda x: F.struct(
+        x["project_name"].alias("project_name"), x["agency"].alias("agency"),
         F.regexp_extract(F.try_element_at(lines, at_code), r"([0-9]{6})", 1).alias("project_code"),
-        F.when(at_pair.isNotNull(), of_pair(1)).otherwise(single(1)).alias("legacy_ocms_code"), F.when(at_pair.isNotNull(), of_pair(2)).otherwise(single(2)).alias("pmgid"))
+        F.when(at_pair.isNotNull(), of_pair(1)).otherwise(single(1)).alias("legacy_ocms_code"), F.when(at_pair.isNotNull(), of_pair(2)).otherwise(single(2)).alias("pmgid")))
 
 
 def _bracketed_end(c: Column) -> Column:
@@ -67,10 +74,12 @@ def _counted(a: Column, x: Column) -> Column:
 
 def legacy_identity(c: Column) -> Column:
     """`name (agency) (code)`, the agency by balanced brackets from the right."""
-    t = squeeze(c)
     form = rf"^(.*)\s*\(({CODE})\)$"
-    head, has = F.rtrim(F.regexp_extract(t, form, 1)), t.rlike(form)
-    n = _bracketed_end(head)
+    return let(squeeze(c), lambda t: let(F.rtrim(F.regexp_extract(t, form, 1)), lambda head: let(_bracketed_end(head), lambda n: _legacy(t, form, head, n))))
+
+
+def _legacy(t: Column, form: str, head: Column, n: Column) -> Column:
+    has = t.rlike(form)
     name = F.when(~has, t).when(n.isNull(), head).otherwise(squeeze(F.substring(head, F.lit(1), F.length(head) - n)))
     agency = F.when(has & n.isNotNull(), _null(squeeze(F.substring(head, F.length(head) - n + 2, n - 2))))
     return F.struct(name.alias("project_name"), agency.alias("agency"), F.when(has, F.regexp_extract(t, form, 2)).alias("project_code"))
@@ -78,8 +87,10 @@ def legacy_identity(c: Column) -> Column:
 
 def six_column_identity(c: Column) -> Column:
     """Lines name..., agency, (code), state of the six-column layout; null without a code after a line."""
-    lines = cell_lines(c)
-    at = _last(lines, lambda x, i: x.rlike(rf"\(({CODE})\)"))
+    return let(cell_lines(c), lambda lines: let(_last(lines, lambda x, i: x.rlike(rf"\(({CODE})\)")), lambda at: _six_column(lines, at)))
+
+
+def _six_column(lines: Column, at: Column) -> Column:
     bare = lambda x: F.regexp_replace(x, r"^[()]+|[()]+$", "")
     agency = F.try_element_at(lines, at - 1)
     return F.when(at >= 2, F.struct(
@@ -94,10 +105,12 @@ def five_column_identity(c: Column) -> Column:
     t = F.coalesce(c, F.lit(""))
     pick = lambda k: F.when(t.rlike(form), F.regexp_extract(t, form, k)).otherwise(F.regexp_extract(t, anywhere, k))
     head = F.rtrim(F.regexp_replace(F.regexp_replace(pick(1), r"\s+$", ""), r"-$", ""))
-    head = F.regexp_replace(head, r"\s+$", "")
-    n = _bracketed_end(head)
+    return let(F.regexp_replace(head, r"\s+$", ""), lambda head: let(_bracketed_end(head), lambda n: _five_column(head, n, pick(2))))
+
+
+def _five_column(head: Column, n: Column, code: Column) -> Column:
     name, agency = squeeze(F.substring(head, F.lit(1), F.length(head) - n)), squeeze(F.substring(head, F.length(head) - n + 2, n - 2))
-    return F.when(n.isNotNull() & (pick(2) != "") & (name != "") & (agency != ""), F.struct(name.alias("project_name"), agency.alias("agency"), pick(2).alias("project_code")))
+    return F.when(n.isNotNull() & (code != "") & (name != "") & (agency != ""), F.struct(name.alias("project_name"), agency.alias("agency"), code.alias("project_code")))
 
 
 def milestone_identity(c: Column, states: list[str]) -> Column:

@@ -112,3 +112,14 @@ def test_parsers(spark):
     assert [one(text.month, v) for v in ("03/2021", "3/2021", "13/2021", "03/1821")] == ["2021-03", None, None, None]
     assert [one(text.legacy_month, v) for v in ("3-2021", "Mar-21", "M a r - 2 0 2 1", "13/2021", "Foo-21")] == ["2021-03", "2021-03", "2021-03", None, None]
     assert one(text.banner_month, "Report for April, 2023 (final)") == "2023-04"
+
+
+def test_an_identity_cell_is_split_once(spark):
+    """However often its lines are named, a cell is read once a row."""
+    from milepost.functions import cells, text
+
+    df = spark.createDataFrame([("Canal\nPhase 2\n(ABC\nGroup)\n(000012)\n(N00000012) (77)",)], "c string")
+    for parse, most in ((cells.project_identity, 1), (cells.six_column_identity, 1), (text.triplet, 1), (text.parenthesized_pair, 1), (text.composite, 1)):
+        out = df.select(parse(F.col("c")).alias("x"))
+        assert out._jdf.queryExecution().analyzed().toString().count("split(") == most
+    assert tuple(df.select(cells.project_identity(F.col("c")).alias("x")).first()["x"]) == ("Canal Phase 2", "ABC Group", "000012", "N00000012", "77")
