@@ -49,7 +49,7 @@ def _streamed(s, d):
     source, target, check = (folder(s, n) for n in ("arrivals", "target", "stream"))
     rows = panel(s, d).select("project_code", "report_month", F.col("mi").cast("int").alias("mi"))
     for part in ("mi % 3 = 0", "mi % 3 <> 1", "true"):
-        rows.where(part).coalesce(1).write.mode("append").parquet(source)
+        rows.where(part).write.mode("append").parquet(source)
         append_new_months(s, source, "project_code string, report_month string, mi int", target, check, ["project_code", "report_month"])
     return s.read.schema("project_code string, report_month string, mi int").parquet(target)
 
