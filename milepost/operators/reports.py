@@ -49,13 +49,17 @@ def _populated() -> Column:
 
 def header_layout(cells: Column) -> Column:
     """The one layout whose words a header row holds and whose forbidden words it doesn't; null if none or several fit."""
+    return text.let(F.transform(cells, lambda x: F.lower(text.squeeze(x))), _layout)
+
+
+def _layout(cells: Column) -> Column:
+    """The layout of cells that are squeezed and in lower case."""
     fits = []
     for name, (columns, never) in SIGNATURES.items():
-        at = lambda i: F.lower(text.squeeze(F.try_element_at(cells, F.lit(i))))
+        at = lambda i: F.try_element_at(cells, F.lit(i))
         ok = [F.size(cells) == len(columns), *(F.contains(at(i), F.lit(w)) for i, words in enumerate(columns, 1) for w in words), *(~F.contains(at(i), F.lit(w)) for i, w in never.items())]
         fits.append(F.when(reduce(lambda a, b: a & b, ok), F.lit(name)))
-    found = F.array_compact(F.array(*fits))
-    return F.when(F.size(found) == 1, F.element_at(found, 1))
+    return text.let(F.array_compact(F.array(*fits)), lambda found: F.when(F.size(found) == 1, F.try_element_at(found, F.lit(1))))
 
 
 def page_kind(page: Column) -> Column:

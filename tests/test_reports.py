@@ -66,3 +66,12 @@ def test_displaced_codes(spark):
     assert mend(f"{a} {b} {c} {d}") == {1: ["p1", a], 2: ["p2", b], 3: ["p3", c], 4: ["p4", d], 5: ["total"]}
     assert mend(f"{d} {a} {b} {c}")[4] == ["p4"]  # free, but not the last one on the page
     assert mend("")[4] == ["p4"]
+
+
+def test_cells_of_a_header_are_read_once(spark):
+    """All layouts look at the same squeezed cells; a file's first words decide, whatever their case and blanks."""
+    cells = [" Si.No", "PROJECT", "Approval ", "Com\nCommissioning", "Cost", None]
+    df = spark.createDataFrame([(cells,), ([*cells[:5], "expenditure"],), (None,)], "cells array<string>")
+    out = df.select(reports.header_layout(F.col("cells")).alias("x"))
+    assert out._jdf.queryExecution().analyzed().toString().count("regexp_replace(") == 1
+    assert [r["x"] for r in out.collect()] == [None, "ANNEXURE", None]
