@@ -73,3 +73,16 @@ def test_ledger_labels_collide(spark):
     assert say(tables.ledger(old, "v2", rows, F.lit(False))) == [("v1", "ACTIVE", 1, 1, ["2020-01"]), ("v2", "INGESTED_UNVERIFIED", 3, 2, both)]
     assert say(tables.ledger(old, "v1", rows.limit(0), F.lit(True), F.lit(78))) == [("v1", "ACTIVE", 1, 1, ["2020-01"]), ("v1-78", "EMPTY", 0, 0, [])]
     assert say(tables.ledger(old.limit(0), "v1", rows, F.lit(True))) == [("v1", "ACTIVE", 3, 2, both)]
+
+
+def test_ratios_of_many_pairs_are_difflibs():
+    """Pairs are compared together; each has difflib's ratio, empty, long and accented texts too."""
+    import random
+    from difflib import SequenceMatcher
+
+    from milepost.functions.text import repeated_ratios
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcé ") for _ in range(rng.randrange(0, 30)))
+    a, b = [word() for _ in range(300)] + ["", None, "a" * 210, "x" * 199], [word() for _ in range(300)] + ["", "a", "ab" * 110, "x" * 199]
+    assert repeated_ratios(a + a, b + b).tolist() == 2 * [SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)]
