@@ -123,3 +123,13 @@ def test_an_identity_cell_is_split_once(spark):
         out = df.select(parse(F.col("c")).alias("x"))
         assert out._jdf.queryExecution().analyzed().toString().count("split(") == most
     assert tuple(df.select(cells.project_identity(F.col("c")).alias("x")).first()["x"]) == ("Canal Phase 2", "ABC Group", "000012", "N00000012", "77")
+
+
+def test_month_texts_are_not_formatted_row_by_row(spark):
+    """Every row of the panel has six of them; format_string took most of the time in which the panel is derived."""
+    from milepost.functions.months import index_of, month_text, text_or_null
+
+    want = [f"{y:04}-{m:02}" for y in (1, 987, 1995, 2001, 9999) for m in range(1, 13)]
+    df = spark.createDataFrame([(w, index_of(w)) for w in want], "w string, i long").select("w", month_text("i").alias("a"), text_or_null(F.col("i").cast("int")).alias("b"), text_or_null(F.lit(None).cast("int")).alias("none"))
+    assert all(r["a"] == r["b"] == r["w"] and r["none"] is None for r in df.collect())
+    assert "format_string" not in df._jdf.queryExecution().analyzed().toString()
