@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import longitudinal as lg
+from ..operators import ranks
 from ..operators import validation as op
+from ..sources.store import kept
 from .surrogate import PANEL_SQL, panel
 
 SOURCES = (*op.DATES, *op.NUMBERS)
@@ -85,13 +87,15 @@ SERIAL = "row_number() OVER (PARTITION BY report_month ORDER BY project_code)"
 
 def _serials(s, d):
     """Rows of a month numbered by code; every 29th number is left out, every 31st comes twice."""
-    from pyspark.sql import Window
-    p = panel(s, d).withColumn("n", F.row_number().over(Window.partitionBy("report_month").orderBy("project_code")))
-    rows = p.where("n % 29 <> 0").select("report_month", F.explode(F.when(F.col("n") % 31 == 0, F.array("n", "n")).otherwise(F.array("n"))).alias("n"))
-    top = rows.groupBy("report_month").agg(F.max("n").alias("m"))
-    missing = top.select("report_month", F.explode(F.sequence(F.lit(1), "m")).alias("n")).join(rows, ["report_month", "n"], "left_anti").groupBy("report_month").agg(F.count(F.lit(1)).alias("gaps"))
-    twice = rows.groupBy("report_month", "n").count().where("count > 1").groupBy("report_month").agg(F.count(F.lit(1)).alias("repeats"))
-    return top.select("report_month").join(missing, "report_month", "left").join(twice, "report_month", "left").na.fill(0)
+    codes = ranks.numbered(panel(s, d).select("report_month", "project_code"), ["report_month"], [F.col("project_code")], lambda df, name: kept(s, d, f"serials-{name}", lambda: df))
+    return serial_gaps(codes.select("report_month", (F.col("position") + 1).alias("n")))
+
+
+def serial_gaps(numbered):
+    """Gaps and repeats of the numbers of a month, of which every 29th is left out and every 31st comes twice. All of it is counted by one grouping of the numbers."""
+    rows = numbered.where("n % 29 <> 0").select("report_month", F.explode(F.when(F.col("n") % 31 == 0, F.array("n", "n")).otherwise(F.array("n"))).alias("n"))
+    each = rows.groupBy("report_month", "n").agg(F.count(F.lit(1)).alias("times"))
+    return each.groupBy("report_month").agg((F.max("n") - F.count(F.lit(1))).alias("gaps"), F.count_if(F.col("times") > 1).alias("repeats"))
 
 
 SERIALS = f"""{ONLY}, n0 AS (SELECT report_month, {SERIAL} AS n FROM panel), r AS (SELECT report_month, n FROM n0 WHERE n % 29 <> 0 UNION ALL SELECT report_month, n FROM n0 WHERE n % 31 = 0 AND n % 29 <> 0), t AS (SELECT report_month, max(n) AS m, max(n) - count(DISTINCT n) AS gaps FROM r GROUP BY 1)

@@ -133,3 +133,28 @@ def test_month_texts_are_not_formatted_row_by_row(spark):
     df = spark.createDataFrame([(w, index_of(w)) for w in want], "w string, i long").select("w", month_text("i").alias("a"), text_or_null(F.col("i").cast("int")).alias("b"), text_or_null(F.lit(None).cast("int")).alias("none"))
     assert all(r["a"] == r["b"] == r["w"] and r["none"] is None for r in df.collect())
     assert "format_string" not in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_contributions_are_ordered_without_a_shuffle(spark):
+    """Six contributions of a row were sent to a window each; the row holds all of them."""
+    from milepost.operators import risk
+
+    weights = {"a": 0.5, "b": -0.25, "c": 1.0, "d": 2.0}
+    df = spark.createDataFrame([("p", "2000-01", "MODERN", 2, 4, None, -3), ("q", "2000-01", "MODERN", 0, 0, 0, 0)], "project_code string, report_month string, regime string, a int, b int, c int, d int")
+    out = risk.directed(df, weights)
+    assert [(r["feature"], r["value"], r["contribution"], r["direction"], r["contribution_rank"]) for r in out.where("project_code = 'p'").collect()] == [("d", -3.0, -6.0, "NEGATIVE", 1), ("a", 2.0, 1.0, "POSITIVE", 2), ("b", 4.0, -1.0, "NEGATIVE", 3), ("c", None, 0.0, "ZERO", 4)]
+    top = risk.top_contributors(df, weights, 1)
+    assert sorted((r["project_code"], r["direction"], r["nth"], r["feature"], r["contribution_rank"]) for r in top.collect()) == [("p", "NEGATIVE", 1, "d", 1), ("p", "POSITIVE", 1, "a", 2)]
+    assert all("Exchange" not in x._jdf.queryExecution().executedPlan().toString() for x in (out, top))
+
+
+def test_additivity_and_serials_take_one_grouping(spark):
+    from milepost.plans import risk, validation
+
+    long = spark.createDataFrame([("p", "2000-01", n, w) for n, w in risk.WEIGHTS.items()] + [("q", "2000-01", n, -w) for n, w in risk.WEIGHTS.items()], "project_code string, report_month string, feature string, contribution double")
+    out = risk._additive(long)
+    assert tuple(out.first()) == (2, True)
+    months = spark.range(1, 63).select(F.lit("2000-01").alias("report_month"), F.col("id").alias("n")).unionByName(spark.range(1, 29).select(F.lit("2000-02").alias("report_month"), F.col("id").alias("n")))
+    gaps = validation.serial_gaps(months)
+    assert sorted(map(tuple, gaps.collect())) == [("2000-01", 2, 2), ("2000-02", 0, 0)]
+    assert all("Join" not in x._jdf.queryExecution().optimizedPlan().toString() for x in (out, gaps))
