@@ -57,16 +57,6 @@ def _persist_sql() -> str:
     return f"{WITH} " + " UNION ALL ".join(map(one, ("revised_completion_date", "revised_cost", "physical_progress")))
 
 
-def _variants(s, d):
-    p = panel(s, d)
-    out = None
-    for h in (1, 3, 6):
-        for e in (False, True):
-            one = op.variant(p, h, e)
-            out = one if out is None else out.unionByName(one)
-    return out
-
-
 def _variants_sql() -> str:
     def one(h: int, e: bool) -> str:
         f = f"OVER (PARTITION BY project_code, segment ORDER BY mi RANGE BETWEEN {h if e else 1} FOLLOWING AND {h} FOLLOWING)"
@@ -87,6 +77,6 @@ ENTRIES = [
     ("i12_completion_metadata", lambda s, d: panel(s, d).select(*KEY).join(completed(s, d).groupBy("project_code").agg(F.min("report_month").alias("completion_month")), "project_code", "left").withColumn("ever_completed", F.col("completion_month").isNotNull()), f"WITH {COMPLETED_SQL}, f AS (SELECT project_code, min(report_month) AS completion_month FROM completed GROUP BY 1) SELECT p.project_code, p.report_month, completion_month, completion_month IS NOT NULL AS ever_completed FROM panel p LEFT JOIN f USING (project_code)"),
     ("i13_regime_summary", lambda s, d: op.regime_summary(op.labelled(panel(s, d))), f"{WITH}, {LABEL} SELECT regime, count(*) AS n_rows, CAST(sum(label) AS BIGINT) AS positives, sum(label)::DOUBLE / count(*) AS rate, count(*) FILTER (WHERE extension_type = 'FIRST_REVISION') AS first, count(*) FILTER (WHERE extension_type = 'SUBSEQUENT_REVISION') AS subsequent FROM lab WHERE label IS NOT NULL GROUP BY 1"),
     ("i14_embargo", lambda s, d: (lambda m: m.alias("t").join(F.broadcast(m.where("mi % 12 = 0").alias("e")), F.col("t.mi") + 3 < F.col("e.mi")).groupBy(F.col("e.mi").alias("origin")).agg(F.count(F.lit(1)).alias("months")))(panel(s, d).select("mi").distinct()), f"{WITH}, m AS (SELECT DISTINCT mi FROM panel) SELECT e.mi AS origin, count(*) AS months FROM m t JOIN m e ON t.mi + 3 < e.mi WHERE e.mi % 12 = 0 GROUP BY 1"),
-    ("i15_label_variants", _variants, _variants_sql()),
+    ("i15_label_variants", lambda s, d: op.variants(panel(s, d)), _variants_sql()),
     ("i16_calendar", lambda s, d: op.calendar(panel(s, d)), f"{WITH} SELECT project_code, report_month, CAST((mi%12+1-4+12)%12+1 AS INT) AS fiscal_month, CAST(mi%12 = 2 AS INT) AS fiscal_year_end, mi AS month_index, round(sign(CAST(cumulative_expenditure AS DOUBLE))*ln(1+abs(CAST(cumulative_expenditure AS DOUBLE))), 6) AS signed_log FROM panel"),
 ]

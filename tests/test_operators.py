@@ -144,7 +144,7 @@ def test_contributions_are_ordered_without_a_shuffle(spark):
     out = risk.directed(df, weights)
     assert [(r["feature"], r["value"], r["contribution"], r["direction"], r["contribution_rank"]) for r in out.where("project_code = 'p'").collect()] == [("d", -3.0, -6.0, "NEGATIVE", 1), ("a", 2.0, 1.0, "POSITIVE", 2), ("b", 4.0, -1.0, "NEGATIVE", 3), ("c", None, 0.0, "ZERO", 4)]
     top = risk.top_contributors(df, weights, 1)
-    assert sorted((r["project_code"], r["direction"], r["nth"], r["feature"], r["contribution_rank"]) for r in top.collect()) == [("p", "NEGATIVE", 1, "d", 1), ("p", "POSITIVE", 1, "a", 2)]
+    assert sorted((r["project_code"], r["direction"], r["nth"], r["feature"], r["contribution"]) for r in top.collect()) == [("p", "NEGATIVE", 1, "d", -6.0), ("p", "POSITIVE", 1, "a", 1.0)]
     assert all("Exchange" not in x._jdf.queryExecution().executedPlan().toString() for x in (out, top))
 
 
@@ -158,3 +158,13 @@ def test_additivity_and_serials_take_one_grouping(spark):
     gaps = validation.serial_gaps(months)
     assert sorted(map(tuple, gaps.collect())) == [("2000-01", 2, 2), ("2000-02", 0, 0)]
     assert all("Join" not in x._jdf.queryExecution().optimizedPlan().toString() for x in (out, gaps))
+
+
+def test_label_variants_take_one_pass(spark):
+    rows = [("p", "1995-%02d" % (m + 1), 1995 * 12 + m, "SEGMENT_1", "LEGACY", float(m < 2), 5.0 - m, 10.0 + m) for m in range(5)]
+    df = spark.createDataFrame(rows, "project_code string, report_month string, mi int, segment string, regime string, cumulative_expenditure double, physical_progress double, revised_cost double")
+    out = labels.variants(df)
+    got = {(r["horizon"], r["endpoint"]): tuple(r)[3:] for r in out.collect()}
+    assert got == {(1, False): (4, 3, 4, 4, 4, 4), (1, True): (4, 3, 4, 4, 4, 4), (3, False): (2, 1, 2, 2, 2, 2), (3, True): (2, 0, 2, 2, 2, 2)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Union" not in plan
