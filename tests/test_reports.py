@@ -75,3 +75,13 @@ def test_cells_of_a_header_are_read_once(spark):
     out = df.select(reports.header_layout(F.col("cells")).alias("x"))
     assert out._jdf.queryExecution().analyzed().toString().count("regexp_replace(") == 1
     assert [r["x"] for r in out.collect()] == [None, "ANNEXURE", None]
+
+
+def test_only_nine_column_files_get_group_labels(spark):
+    """The serial of another layout stands in the cell of the state; it is no label, and such rows are not joined."""
+    from milepost.plans import rawrows
+
+    rows = [("f", 1, "NINE", "project", ["UTTAR", "Rail"]), ("f", 2, "NINE", "fragment", ["PRADESH", ""]), ("g", 1, "EIGHT", "project", ["1", "Bridge"]), ("h", 1, None, "unclassified", ["x", "y"])]
+    df = spark.createDataFrame(rows, "source_file string, raw_sequence int, layout string, row_class string, cells array<string>")
+    got = {(r["source_file"], r["raw_sequence"]): (r["state"], r["sector"]) for r in rawrows.labelled(df).collect()}
+    assert got == {("f", 1): ("UTTAR PRADESH", "Rail"), ("f", 2): ("UTTAR PRADESH", "Rail"), ("g", 1): (None, None), ("h", 1): (None, None)}
