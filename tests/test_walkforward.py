@@ -92,6 +92,44 @@ def test_all_folds_equal_plain_fits(walked, name, features, balanced):
     assert all(abs(got[k][0] - 1 / (1 + math.exp(-want[k]))) < 1e-6 for k in want)
 
 
+def test_fits_that_start_from_some_rows_end_on_all(walked, monkeypatch):
+    _, folds, ready = walked
+    want, names = wf.fitted(folds, ready, {"full": (FEATURES, False)}), []
+    monkeypatch.setattr(wf, "START", 60)
+    got = wf.fitted(folds, ready, {"full": (FEATURES, False)}, written=lambda df, name: names.append(name) or df.persist())
+    assert names == ["fold-start"] and [f.fold for f in got] == [f.fold for f in want] and all(f.done for f in got)
+    assert all(np.abs(a.w - b.w).max() < 1e-6 for a, b in zip(got, want))
+
+
+def test_rows_for_fits_hold_no_shares(walked):
+    """A share for each fold in every row was most of what moved."""
+    assert [c for c, kind in walked[2].dtypes if kind.startswith("array")] == ["x"]
+
+
+def test_folds_are_judged_and_trees_grown_without_fits(spark, monkeypatch):
+    from milepost.plans import models as plans
+
+    def none(*args, **kinds):
+        raise AssertionError("a fit")
+
+    monkeypatch.setattr(wf, "fitted", none)
+    monkeypatch.setattr(wf, "learnt", none)
+    assert plans._audit(spark, "/root/testdata/sf0.001", True).count() == len(plans.ORIGINS)
+    assert set(plans._last(spark, "/root/testdata/sf0.001")) <= {*plans.ORIGINS}
+
+
+def test_a_query_fits_only_its_folds(monkeypatch):
+    from milepost.plans import models as plans
+
+    asked, folds = [], wf.Folds([("LEGACY", 1), *plans.ORIGINS], (), [], np.zeros(0), np.zeros(0))
+    monkeypatch.setattr(plans, "_folds", lambda s, d: (folds, None))
+    monkeypatch.setattr(plans, "_walk", lambda s, d, walk={"fits": {}}: walk)
+    monkeypatch.setattr(plans, "_audited", lambda s, d: [{"regime": g, "origin": o, "status": "GENERATED"} for g, o in folds.origins])
+    monkeypatch.setattr(wf, "fitted", lambda folds, ready, models, at, written: asked.append((*models, at)) or [wf.Fit("x", i, np.zeros(0)) for i in at])
+    assert [len(plans._fits(None, "d", "full", scope)) for scope in ("last", "origins", "all")] == [2, len(plans.ORIGINS), len(plans.ORIGINS) + 1]
+    assert [len(at) for _, at in asked] == [2, len(plans.ORIGINS) - 2, 1]
+
+
 def test_contributions_add_up(walked):
     _, folds, ready = walked
     fits = wf.fitted(folds, ready, {"full": (FEATURES, False)}, [2])
