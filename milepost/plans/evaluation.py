@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics, ranks, snapshots
 from ..operators import walkforward as wf
 from ..sources.store import folder, kept
-from .metrics import EDGE, OV, SC, origins, scored
+from .metrics import EDGE, OV, SC, origins, scored, with_progress
 from .risk import features
 
 WORDS = ("sector", "agency", "state")
@@ -127,8 +127,7 @@ FROM m r JOIN m o ON r.regime = o.regime AND r.fold = o.fold AND r.kind = 'raw'
 
 def _three_models(s, d):
     """Scores of three models: revisions so far, distance of progress from full, and the regime's rate."""
-    f = features(s, d).select("project_code", "report_month", "physical_progress_t")
-    x = scored(s, d).join(f, ["project_code", "report_month"])
+    x = with_progress(s, d)
     shortfall = 1 - F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.coalesce(F.col("physical_progress_t").cast("double"), F.lit(50.0)))) / 100
     models = F.array(F.struct(F.lit("revisions").alias("model"), F.col("score").alias("score")), F.struct(F.lit("shortfall").alias("model"), shortfall.alias("score")), F.struct(F.lit("rate").alias("model"), F.lit(0.5).alias("score")))
     return x.select("project_code", "report_month", "regime", "fold", "label", F.inline(models))

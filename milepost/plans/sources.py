@@ -113,7 +113,9 @@ def _star(s, d):
 
 
 def _joined(t):
-    return t["contributors"].join(t["risk_records"].select("record_id", "project_code", "report_month"), "record_id").join(t["feature_catalog"], "feature_id").groupBy("project_code", "report_month").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("contribution"), 6).alias("total"))
+    """Contributors are added up for each record where they lie, before they meet the records."""
+    found = t["contributors"].join(F.broadcast(t["feature_catalog"]), "feature_id").groupBy("record_id").agg(F.count(F.lit(1)).alias("n"), F.sum("contribution").alias("total"))
+    return found.join(t["risk_records"].select("record_id", "project_code", "report_month"), "record_id").groupBy("project_code", "report_month").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 6).alias("total"))
 
 
 STAR = f"{CONTRIB}, {RISK} SELECT project_code, report_month, count(*) AS n, round(sum(contribution), 6) AS total FROM long JOIN risk USING (project_code, report_month, regime) GROUP BY 1, 2"

@@ -206,3 +206,26 @@ def test_intervals_and_paired_deltas(spark):
     assert models.decided(bootstrap.paired(a, a, ["project_code"], ["regime"], held, 20), "regime").first()["decision"] == "INCONCLUSIVE"
     with pytest.raises(ValueError):
         bootstrap.paired(a, b.where("report_month < '2000-05'"), ["project_code"], ["regime"], held, 2)
+
+
+def test_scored_rows_take_one_pass(spark):
+    """Labels, counts so far and progress come from the same sorted rows: nothing is joined."""
+    from milepost.plans import metrics
+    from milepost.plans.surrogate import panel
+
+    d = "/root/testdata/sf0.001"
+    found = metrics._scored(panel(spark, d))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and found.where("physical_progress_t is not null").count() > 0
+    assert "physical_progress_t" not in metrics.scored(spark, d).columns
+
+
+def test_contributors_are_added_up_before_they_meet_records(spark):
+    from milepost.plans import sources
+
+    t = {"risk_records": spark.createDataFrame([(1, "p", "m"), (2, "p", "m"), (3, "q", "m")], "record_id long, project_code string, report_month string"), "feature_catalog": spark.createDataFrame([(1, "a"), (2, "b")], "feature_id int, feature string"),
+         "contributors": spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.25), (2, 1, 1.0), (3, 2, -1.0), (3, 9, 7.0)], "record_id long, feature_id int, contribution double")}
+    out = sources._joined(t)
+    assert sorted(map(tuple, out.collect())) == [("p", "m", 3, 1.75), ("q", "m", 1, -1.0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [record_id") == 1
